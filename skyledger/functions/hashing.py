@@ -1,0 +1,21 @@
+"""Reproducible random columns: functions of a key and a seed, not of partitions."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, functions as F
+
+_STEPS = 2**52
+
+
+def uniform(seed: int, stream: int, *keys: Column) -> Column:
+    """Uniform number strictly inside (0, 1), fixed by seed, stream and keys."""
+    hashed = F.xxhash64(F.lit(seed), F.lit(stream), *keys)
+    return (F.pmod(hashed, F.lit(_STEPS)).cast("double") + 0.5) / float(_STEPS)
+
+
+def normal(seed: int, stream: int, *keys: Column) -> Column:
+    """Standard normal number (Box-Muller on two hashed uniforms)."""
+    radius = F.sqrt(-2.0 * F.ln(uniform(seed, 2 * stream, *keys)))
+    return radius * F.cos(2 * math.pi * uniform(seed, 2 * stream + 1, *keys))
