@@ -138,12 +138,13 @@ def boxplot_outliers(df: DataFrame, bin_column: str, y: str) -> DataFrame:
 def kernel_density(
     df: DataFrame, column: str, by: Sequence[str] = (), limits: Limits = None, points: int = KDE_POINTS
 ) -> DataFrame:
-    """E15. Gaussian kernel density curve over the data's range, one per group.
+    """E15. Gaussian kernel density curve, one per group.
 
-    Each value's weight is split between the two nearest points of a fixed
-    grid; the grid is smoothed with the kernel and read off by linear
-    interpolation. So the rows are touched by one aggregation into ``points``
-    cells per group, and the smoothing works on those cells alone.
+    Curves run over the limits (rows outside are dropped first) or over the
+    range of all rows. Each value's weight is split between the two nearest
+    points of a fixed grid; the grid is smoothed with the kernel and read off
+    by linear interpolation. So the rows are touched by one aggregation into
+    ``points`` cells per group, and the smoothing works on those cells alone.
     """
     keys = list(by)
     values = censor(
@@ -153,6 +154,14 @@ def kernel_density(
     spread = values.groupBy(*keys).agg(
         F.stddev_samp("_v").alias("_sd"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
     )
+    # the curves are few, so their table needs no partitions
+    every = Window.partitionBy()
+    spread = spread.withColumns(
+        {
+            "_from": F.min("_min").over(every) if limits is None else F.lit(float(limits[0])),
+            "_to": F.max("_max").over(every) if limits is None else F.lit(float(limits[1])),
+        }
+    )
     quartiles = grouped_quantiles(values, keys, "_v", [0.25, 0.75])
     shape = quartiles.join(spread, keys) if keys else quartiles.withColumn(
         "_s", spread.select(F.struct("*")).scalar()
@@ -160,12 +169,13 @@ def kernel_density(
     sd, iqr = F.col("_sd"), (F.col("quantiles")[1] - F.col("quantiles")[0]) / IQR_PER_SD
     smaller = F.least(sd, iqr)
     width = F.when(smaller > 0, smaller).when(sd > 0, sd).when(F.col("_min") != 0, F.abs("_min")).otherwise(1.0)
+    curve_columns = ["n", "_from", "_to", "bw"]
     shape = shape.select(
-        *keys, "n", "_min", "_max",
+        *keys, "n", "_from", "_to",
         (BANDWIDTH_FACTOR * width * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"),
     )
-    lower = F.col("_min") - KDE_CUT * F.col("bw")
-    step = (F.col("_max") - F.col("_min") + 2 * KDE_CUT * F.col("bw")) / (points - 1)
+    lower = F.col("_from") - KDE_CUT * F.col("bw")
+    step = (F.col("_to") - F.col("_from") + 2 * KDE_CUT * F.col("bw")) / (points - 1)
 
     if keys:
         placed = values.join(shape, keys)
@@ -174,12 +184,12 @@ def kernel_density(
     place = (F.col("_v") - lower) / step
     cells = (
         placed.withColumn("_cell", F.floor(place).cast("int"))
-        .groupBy(*keys, "n", "_min", "_max", "bw", "_cell")
+        .groupBy(*keys, *curve_columns, "_cell")
         .agg(F.sum(F.lit(1.0)).alias("_rows"), F.sum(place - F.floor(place)).alias("_over"))
     )
     # weight of a grid point: the near shares of its own cell and the far shares of the cell below
     weights = cells.select(
-        *keys, "n", "_min", "_max", "bw",
+        *keys, *curve_columns,
         F.inline(
             F.array(
                 F.struct(F.col("_cell"), (F.col("_rows") - F.col("_over")).alias("_w")),
@@ -191,18 +201,18 @@ def kernel_density(
     distance = (F.col("_point") - F.col("_cell")) * step / F.col("bw")
     kernel = F.exp(-0.5 * distance * distance) / (F.col("bw") * math.sqrt(2 * math.pi))
     smooth = (
-        weights.groupBy(*keys, "n", "_min", "_max", "bw", "_cell").agg(F.sum("_w").alias("_w"))
+        weights.groupBy(*keys, *curve_columns, "_cell").agg(F.sum("_w").alias("_w"))
         .withColumn("_point", F.explode(grid))
-        .groupBy(*keys, "n", "_min", "_max", "bw", "_point")
+        .groupBy(*keys, *curve_columns, "_point")
         .agg((F.sum(F.col("_w") * kernel) / F.col("n")).alias("_density"))
     )
     # one short array of grid densities per group, read off at the output points
     curve = (
-        smooth.groupBy(*keys, "n", "_min", "_max", "bw")
+        smooth.groupBy(*keys, *curve_columns)
         .agg(F.sort_array(F.collect_list(F.struct("_point", "_density"))).alias("_curve"))
         .withColumn("_i", F.explode(grid))
     )
-    x = F.col("_min") + F.col("_i") * (F.col("_max") - F.col("_min")) / (points - 1)
+    x = F.col("_from") + F.col("_i") * (F.col("_to") - F.col("_from")) / (points - 1)
     at = (x - lower) / step
     left = F.floor(at).cast("int")
     here, there = F.col("_curve")[left]["_density"], F.col("_curve")[left + 1]["_density"]

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.scalars import inverse_logit
 from ..schema import MINUTES_PER_HOUR
 from ..session import checkpointed
 
@@ -141,3 +142,15 @@ def _sums(cells: DataFrame, theta: np.ndarray, shift: float, scale: float, trial
             yield pd.DataFrame([[float(w @ part) for part in parts]], columns=names)
 
     return cells.mapInPandas(partial, ", ".join(f"{c} double" for c in names)).agg(*(F.sum(c) for c in names))
+
+
+def zero_inflated_mean(rows: DataFrame, fit: DataFrame, x: str = "t_2m", trials: int = MINUTES_PER_HOUR) -> DataFrame:
+    """Add the fitted chance ``p`` of a gust minute (B26) and the ``expected`` count at each row's ``x``."""
+    fitted = rows.withColumn("_fit", fit.select(F.struct("p_zero", "a", "b1", "b2")).scalar())
+    at, f = F.col(x), F.col("_fit")
+    chance = inverse_logit(f["a"] + f["b1"] * at + f["b2"] * at * at)
+    return (
+        fitted.withColumn("p", chance)
+        .withColumn("expected", (1 - F.col("_fit.p_zero")) * trials * F.col("p"))
+        .drop("_fit")
+    )
