@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import interval_index, log_share
+from .joins import spread_join
 from .quality import censor
 from .quantiles import grouped_quantiles
 
@@ -178,14 +179,16 @@ def kernel_density(
     step = (F.col("_to") - F.col("_from") + 2 * KDE_CUT * F.col("bw")) / (points - 1)
 
     if keys:
-        placed = values.join(shape, keys)
+        placed = spread_join(values, shape, keys)
     else:
-        placed = values.withColumn("_s", shape.select(F.struct("*")).scalar()).select("_v", "_s.*")
+        placed = values.withColumn("_s", shape.select(F.struct("*")).scalar()).select(
+            "_v", F.lit(1).alias("_w"), "_s.*"
+        )
     place = (F.col("_v") - lower) / step
     cells = (
         placed.withColumn("_cell", F.floor(place).cast("int"))
         .groupBy(*keys, *curve_columns, "_cell")
-        .agg(F.sum(F.lit(1.0)).alias("_rows"), F.sum(place - F.floor(place)).alias("_over"))
+        .agg(F.sum("_w").alias("_rows"), F.sum(F.col("_w") * (place - F.floor(place))).alias("_over"))
     )
     # weight of a grid point: the near shares of its own cell and the far shares of the cell below
     weights = cells.select(

@@ -40,8 +40,22 @@ def at_instants(df: DataFrame, instants: DataFrame, by_site: bool = False) -> Da
     Without ``by_site`` the distinct hours are bounded by the calendar, some
     9,000 a year; adaptive execution broadcasts them when they turn out small.
     """
-    on = ["site", "date"] if by_site else ["date"]
-    return df.join(instants.select(*on).distinct(), on, "left_semi")
+    if by_site:
+        return df.join(instants.select("site", "date"), ["site", "date"], "left_semi")
+    return df.join(instants.select("date").distinct(), "date", "left_semi")
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], salts: int = 64) -> DataFrame:
+    """Join ``rows`` to a table of one row per key, however unevenly the rows spread over the keys.
+
+    Equal rows are counted first (``_w`` says how many), then each key's rows
+    are dealt over ``salts`` partitions and the table is repeated for each.
+    """
+    values = [c for c in rows.columns if c not in keys]
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_w"))
+    dealt = counted.withColumn("_salt", F.pmod(F.xxhash64(*values), F.lit(salts)).cast("int"))
+    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(repeated, [*keys, "_salt"]).drop("_salt")
 
 
 def interval_join(

@@ -16,9 +16,11 @@ from operator import or_
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-ACCURACY = 10_000
+from .joins import spread_join
+
+ACCURACY = 100_000
 _MARGIN = 20.0 / ACCURACY    # many times the sketch's rank error, and still a small share of the rows
-_SMALL = 5_000               # groups up to this size are ordered whole; beyond it the margin spans many ranks
+_SMALL = 50_000              # groups up to this size are ordered whole; beyond it the margin spans many ranks
 
 
 def grouped_quantiles(
@@ -29,7 +31,8 @@ def grouped_quantiles(
     Between two order statistics the result is interpolated linearly, as
     ``percentile`` does. NULL and NaN values are left out. ``few_groups``
     promises a fixed number of groups (bins, months): their brackets are then
-    broadcast instead of joined.
+    broadcast. Otherwise equal values are counted and joined to the brackets
+    in portions, so that no group has to fit a task.
     """
     keys = list(group)
     probes = [p for q in probabilities for p in (max(q - _MARGIN, 0.0), min(q + _MARGIN, 1.0))]
@@ -43,10 +46,13 @@ def grouped_quantiles(
     ]
     if keys:
         cuts = values.groupBy(*keys).agg(*sketch)
-        tagged = values.join(F.broadcast(cuts) if few_groups else cuts, keys)
+        if few_groups:
+            tagged = values.withColumn("_w", F.lit(1)).join(F.broadcast(cuts), keys)
+        else:
+            tagged = spread_join(values, cuts, keys)
     else:
         cuts = values.agg(F.struct(*sketch).alias("_s"))
-        tagged = values.withColumn("_s", cuts.scalar()).select("_v", "_s.*")
+        tagged = values.withColumn("_s", cuts.scalar()).select("_v", F.lit(1).alias("_w"), "_s.*")
 
     brackets = []
     for i, q in enumerate(probabilities):
@@ -61,7 +67,7 @@ def grouped_quantiles(
         tagged.withColumn("_inside", inside)
         .withColumn("_at", F.when(F.col("_inside"), F.col("_v")).otherwise(floor))
         .groupBy(*keys, "_n", "_at", "_inside")
-        .agg(F.count(F.lit(1)).alias("_times"))
+        .agg(F.sum("_w").alias("_times"))
     )
     upto = F.sum("_times").over(
         Window.partitionBy(*keys)

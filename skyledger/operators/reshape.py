@@ -40,20 +40,36 @@ def to_long(
     return doubles.unpivot(list(keep), list(columns), name, value)
 
 
-def calendar(df: DataFrame, years: tuple[int, int] | None = None) -> DataFrame:
-    """Every (month, year) of the span; by default the years ``df`` reaches over."""
-    if years is None:
-        span = df.agg(F.min("year").alias("_a"), F.max("year").alias("_b")).where(F.col("_a").isNotNull())
-        rows = span.select(F.explode(F.sequence("_a", "_b")).alias("year"))
-    else:
-        rows = df.sparkSession.range(years[0], years[1] + 1).select(F.col("id").cast("int").alias("year"))
-    return rows.select(F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"), "year")
-
-
-def zero_fill(counts: DataFrame, span: DataFrame, columns: Sequence[str] = ("n",)) -> DataFrame:
-    """G3. Counts per month and year with a zero for every month of ``span`` without one."""
-    filled = span.join(counts, ["month", "year"], "left")
-    return filled.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in columns})
+def zero_fill(
+    cells: DataFrame, columns: Sequence[str] = ("n",), years: tuple[int, int] | None = None
+) -> DataFrame:
+    """G3. Every month of every year, with the given counts as zero where ``cells`` has no row.
+
+    ``cells`` holds at most one row per (month, year); its other columns stay
+    NULL where it has none. The years default to those ``cells`` reaches over,
+    so count events as ``count_if`` over all rows, not over the events alone.
+    The cells, a dozen a year, are folded into one row and unfolded along the
+    calendar: no join, and the table behind them is read once.
+    """
+    others = [c for c in cells.columns if c not in ("month", "year")]
+    place = F.struct(F.col("month").cast("int").alias("month"), F.col("year").cast("int").alias("year"))
+    first, last = (F.min("year"), F.max("year")) if years is None else (F.lit(y) for y in years)
+    folded = cells.agg(
+        first.cast("int").alias("_first"),
+        last.cast("int").alias("_last"),
+        F.map_from_entries(F.collect_list(F.struct(place, F.struct(*others)))).alias("_cells"),
+    )
+    rows = folded.where(F.col("_first").isNotNull()).select("_cells", F.explode(F.sequence("_first", "_last")).alias("year"))
+    months = rows.select("_cells", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"), "year")
+    found = months.withColumn("_cell", F.try_element_at("_cells", F.struct("month", "year")))
+    return found.select(
+        "month",
+        "year",
+        *(
+            (F.coalesce(f"_cell.{c}", F.lit(0)).cast("long") if c in columns else F.col(f"_cell.{c}")).alias(c)
+            for c in others
+        ),
+    )
 
 
 def stack(*tables: DataFrame) -> DataFrame:

@@ -47,8 +47,8 @@ def hourly_summary(
     a large share of all rows arrives as one entry per reading the sensor can
     give, not as rows.
     """
-    readings = null_negative(minutes.select(*HOUR_KEYS, "wind_spd"))
-    summary = readings.groupBy(*HOUR_KEYS).agg(*speed_aggregates(F.col("wind_spd"), gust_speed))
+    readings = minutes.select(*HOUR_KEYS, "wind_spd")
+    summary = null_negative(readings).groupBy(*HOUR_KEYS).agg(*speed_aggregates(F.col("wind_spd"), gust_speed))
     if gust == "refined":
         summary = _refined_gusts(readings, summary, gust_speed, excess)
     if na == "propagate":
@@ -65,7 +65,7 @@ def _refined_gusts(readings: DataFrame, summary: DataFrame, gust_speed: float, e
     the hour's mean in one shuffle by hour.
     """
     speeds = (
-        readings.where(F.col("wind_spd") >= gust_speed)
+        readings.where((F.col("wind_spd") >= max(gust_speed, 0.0)) & ~F.isnan("wind_spd"))
         .groupBy(*HOUR_KEYS, F.col("wind_spd").alias("_speed"))
         .agg(F.count(F.lit(1)).alias("_times"))
     )

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+from .joins import spread_join
 from .quality import censor
 from .quantiles import grouped_quantiles
 
@@ -46,9 +47,9 @@ def spline_smooth(
         *keys, F.array_distinct("quantiles").alias("_knots")
     )
     if keys:
-        placed = rows.join(places, keys)
+        placed = spread_join(rows, places, keys)
     else:
-        placed = rows.withColumn("_knots", places.select("_knots").scalar())
+        placed = rows.withColumns({"_w": F.lit(1), "_knots": places.select("_knots").scalar()})
     placed = placed.where(F.size("_knots") >= 3)
     inner = sum(
         (F.when((F.col("_x") > F.get("_knots", F.lit(i))) & (F.size("_knots") > i + 1), 1).otherwise(0)
@@ -70,14 +71,13 @@ def spline_smooth(
         located.withColumns(basis)
         .groupBy(*keys, "_knots", "_interval")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("_y").alias("y"),
-            F.sum(F.col("_y") * F.col("_y")).alias("yy"),
-            F.array(*(F.sum(F.col(f"_p{i}") * F.col(f"_p{j}")) for i, j in products)).alias("pp"),
-            F.array(*(F.sum(F.col(f"_p{i}") * F.col("_y")) for i in range(4))).alias("py"),
+            F.sum("_w").alias("n"),
+            F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("yy"),
+            F.array(*(F.sum(F.col("_w") * F.col(f"_p{i}") * F.col(f"_p{j}")) for i, j in products)).alias("pp"),
+            F.array(*(F.sum(F.col("_w") * F.col(f"_p{i}") * F.col("_y")) for i in range(4))).alias("py"),
         )
         .groupBy(*keys, "_knots")
-        .agg(F.collect_list(F.struct("_interval", "n", "y", "yy", "pp", "py")).alias("parts"))
+        .agg(F.collect_list(F.struct("_interval", "n", "yy", "pp", "py")).alias("parts"))
         .withColumnsRenamed({"_knots": "knots"})
     )
     schema = T.StructType(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -12,6 +12,11 @@ def count_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def event_counts(df: DataFrame, event: Column, *keys: str) -> DataFrame:
+    """E4. Rows per key that satisfy ``event``; a key without one is listed with zero."""
+    return df.groupBy(*keys).agg(F.count_if(event).alias("n"))
+
+
 def means_by(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """E5/E6. Means per key as ``mean_<column>``, missing values skipped."""
     return df.groupBy(*keys).agg(*(F.avg(c).alias(f"mean_{c}") for c in columns))

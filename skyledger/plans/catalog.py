@@ -29,7 +29,6 @@ from ..operators.quality import (
     null_sentinels,
     open_band,
     plausible,
-    thaw,
     without_day,
 )
 from ..operators.regression import (
@@ -42,13 +41,14 @@ from ..operators.regression import (
     sufficient_statistics,
     with_p_values,
 )
-from ..operators.reshape import calendar, sample_rows, stack, to_long, zero_fill
+from ..operators.reshape import sample_rows, stack, to_long
 from ..operators.rollup import hourly_summary
 from ..operators.smooth import spline_smooth
 from ..operators.summaries import column_intervals, correlation, count_by, means_by, overall_mean
 from ..operators.zero_inflated import zero_inflated_fit, zero_inflated_mean
 from ..schema import HOUR_KEYS, HOUR_SENTINELS, MINUTE_SCHEMA, MINUTE_SENTINELS
-from ..session import new_shared_path
+from ..schema import THAW_TEMPERATURE
+from ..session import new_shared_path, stored
 from ..sources import sample_views as views
 from ..sources.tables import grid_values, read_table, write_table
 from ..sources.text import parse_lines
@@ -114,6 +114,11 @@ def _combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine(views.hours(spark, sf_dir), _summary(spark, sf_dir))
 
 
+def _stored(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The combined table with its stability numbers, written once for operators that pass over it repeatedly."""
+    return stored(_stable(spark, sf_dir).select(*columns), "combined")
+
+
 def _stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stability(_combined(spark, sf_dir))
 
@@ -361,8 +366,7 @@ def gust_counts_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("thaw_counts_zero_filled")
 def thaw_counts_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C6, E4, G3, with the years taken from the data."""
-    hours = _combined(spark, sf_dir)
-    return zero_fill(count_by(thaw(hours), "month", "year"), calendar(hours))
+    return monthly_event_counts(_combined(spark, sf_dir), F.col("t_2m") > THAW_TEMPERATURE)
 
 
 @_query("counts_excluding_day")
@@ -506,13 +510,13 @@ def speed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("boxplot_stats")
 def boxplot_by_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B17, E14, Z7."""
-    return rounded(box_figure(_combined(spark, sf_dir), "t_2m", "wind_sd"))
+    return rounded(box_figure(_stored(spark, sf_dir, "t_2m", "wind_sd"), "t_2m", "wind_sd"))
 
 
 @_query("boxplot_by_month")
 def boxplot_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E14 with the month as the bin."""
-    return rounded(boxplot_stats(_combined(spark, sf_dir).select("month", "wind_max"), "month", "wind_max"))
+    return rounded(boxplot_stats(_stored(spark, sf_dir, "month", "wind_max"), "month", "wind_max"))
 
 
 @_query("boxplot_outliers")
@@ -600,13 +604,14 @@ def draw_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("smooth_curve")
 def smooth_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L7."""
-    return rounded(spline_smooth(_combined(spark, sf_dir), "t_2m", "wind_sd"))
+    return rounded(spline_smooth(_stored(spark, sf_dir, "t_2m", "wind_sd"), "t_2m", "wind_sd"))
 
 
 @_query("smooth_by_variable")
 def smooth_by_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One curve per minute statistic, within limits."""
-    long = to_long(_combined(spark, sf_dir), ["wind_spd"], ["wind_max", "wind_min", "wind_sd", "gust_time"])
+    columns = ["wind_max", "wind_min", "wind_sd", "gust_time"]
+    long = to_long(_stored(spark, sf_dir, "wind_spd", *columns), ["wind_spd"], columns)
     return rounded(spline_smooth(long, "wind_spd", "value", by=["var"], limits={"wind_spd": (0.0, 19.0)}))
 
 
@@ -635,7 +640,9 @@ def posterior_map_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("posterior_map_models")
 def posterior_map_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modes of every unbounded model of the analysis."""
-    hours = _stable(spark, sf_dir)
+    hours = _stored(
+        spark, sf_dir, "wind_sd", "gust_time", "t_2m", "wind_spd", "t_difference", "richardson_bulk"
+    )
     fits = [
         bayes.posterior_mode(bayes.model_statistics(hours, m), m)
         .select("parameter", "mean", "sd")
@@ -670,17 +677,18 @@ def formula_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("stack_draws")
 def stack_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draws of two models stacked, their sigma smoothed per model."""
+    hours = _stored(spark, sf_dir, "t_2m", "wind_sd")
     both = []
     for name in ("sd_t_tight", "sd_t_mid"):
-        sums, model = _fitted(spark, sf_dir, name)
-        both.append(bayes.posterior_draws(sums, model, 2000, tag=name))
-    return rounded(kernel_density(stack(*both), "sigma", ["model"]))
+        model = bayes.MODELS[name]
+        both.append(bayes.posterior_draws(bayes.model_statistics(hours, model), model, 2000, tag=name))
+    return rounded(kernel_density(stored(stack(*both), "draws"), "sigma", ["model"]))
 
 
 @_query("posterior_mean_band")
 def posterior_mean_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean and its interval along a grid of temperatures."""
-    hours = _stable(spark, sf_dir)
+    hours = _stored(spark, sf_dir, "t_2m", "wind_sd")
     model = bayes.MODELS["sd_t"]
     draws = bayes.posterior_draws(bayes.model_statistics(hours, model), model)
     seen = hours.agg(F.min("t_2m").alias("lo"), F.max("t_2m").alias("hi"))
@@ -692,7 +700,7 @@ def posterior_mean_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("predictive_band")
 def predictive_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulated responses and their interval at every hour."""
-    hours = _stable(spark, sf_dir)
+    hours = _stored(spark, sf_dir, "site", "date", "wind_spd", "wind_sd")
     model = bayes.MODELS["sd_w"]
     draws = bayes.posterior_draws(bayes.model_statistics(hours, model), model)
     rows = hours.select("site", "date", "wind_spd", "wind_sd")
@@ -702,7 +710,7 @@ def predictive_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("predicted_draws")
 def predicted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five simulated responses per hour."""
-    hours = _stable(spark, sf_dir)
+    hours = _stored(spark, sf_dir, "site", "date", "wind_spd", "t_2m", "wind_sd")
     model = bayes.MODELS["sd_multi"]
     draws = bayes.posterior_draws(bayes.model_statistics(hours, model), model)
     rows = hours.select("site", "date", "wind_spd", "t_2m", "wind_sd")
@@ -712,14 +720,14 @@ def predicted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("predicted_draw_density")
 def predicted_draw_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L10, C7, E13."""
-    drawn = predicted_draws(spark, sf_dir)
+    drawn = stored(predicted_draws(spark, sf_dir), "draws")
     return rounded(density_2d(above(drawn, "value", 0.0), "value", "wind_sd", (30, 30), (0.0, 5.0), (0.0, 5.0)))
 
 
 @_query("zero_inflated_fit")
 def zero_inflated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fit, read off along the temperatures seen."""
-    hours = _combined(spark, sf_dir)
+    hours = _stored(spark, sf_dir, "t_2m", "gust_time")
     fit = zero_inflated_fit(hours, trials=views.COMPLETE_ROWS)
     seen = hours.agg(F.min("t_2m").alias("lo"), F.max("t_2m").alias("hi"))
     grid = seen.select(F.explode(grid_values(F.col("lo"), F.col("hi"), 30)).alias("t_2m"))

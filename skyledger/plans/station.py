@@ -19,9 +19,9 @@ from ..operators.joins import at_instants, attach_summary, interval_join
 from ..operators.positions import exclude_ranges
 from ..operators.quality import complete_cases, complete_groups, non_negative
 from ..operators.regression import cell_regression, linear_model, predict, simple_regression, sufficient_statistics
-from ..operators.reshape import calendar, zero_fill
-from ..operators.rollup import hourly_summary
-from ..operators.summaries import count_by, means_by
+from ..operators.reshape import zero_fill
+from ..operators.rollup import STATISTICS, hourly_summary
+from ..operators.summaries import event_counts, means_by
 from ..schema import HIGH_GUST_SD, MINUTES_PER_HOUR, THAW_TEMPERATURE
 
 
@@ -43,9 +43,16 @@ def combine(
     needed: Sequence[str] = ("gust_time", "t_2m"),
     by_site: bool = False,
 ) -> DataFrame:
-    """Z2. Hours joined to their summary, complete in ``needed``, at instants of complete hours."""
+    """Z2. Hours joined to their summary, complete in ``needed``, at instants of complete hours.
+
+    An hour that needs one of the summary's statistics has, by having it, its
+    own complete hour: its instant is among them already and the semi-join is
+    left out. Otherwise the summary is read twice, so hand in a stored one.
+    """
     joined = attach_summary(hours, summary.drop("date"))
     dated = complete_cases(joined, needed).withColumn("date", hour_instant())
+    if set(needed) & set(STATISTICS):
+        return dated
     return at_instants(dated, summary, by_site)
 
 
@@ -83,7 +90,7 @@ def monthly_event_counts(
 
     The calendar defaults to the years of all rows, not only of the events.
     """
-    return zero_fill(count_by(combined.where(event), "month", "year"), calendar(combined, years))
+    return zero_fill(event_counts(combined, event, "month", "year"), years=years)
 
 
 def monthly_trends(
@@ -110,7 +117,7 @@ def monthly_trends(
     cells = combined.groupBy("month", "year").agg(
         F.count_if(F.col("wind_sd") > high_sd).alias("high"), F.count_if(F.col("t_2m") > thaw).alias("thaw"), *sums
     )
-    filled = zero_fill(cells, calendar(cells, years), ["high", "thaw"])
+    filled = zero_fill(cells, ["high", "thaw"], years)
 
     def cell(metric: str, weight: Column, mean: Column, ssd: Column) -> Column:
         return F.struct(

@@ -44,6 +44,17 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once to the shared folder and read back as a columnar table.
+
+    For tables that several passes need: each pass then scans only its own
+    columns instead of repeating the aggregation behind them.
+    """
+    path = new_shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so loops over it restart from there."""
     spark = df.sparkSession
