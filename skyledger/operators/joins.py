@@ -41,8 +41,10 @@ def at_instants(df: DataFrame, instants: DataFrame, by_site: bool = False) -> Da
     9,000 a year; adaptive execution broadcasts them when they turn out small.
     """
     if by_site:
-        return df.join(instants.select("site", "date"), ["site", "date"], "left_semi")
-    return df.join(instants.select("date").distinct(), "date", "left_semi")
+        kept = df.join(instants.select("site", "date"), ["site", "date"], "left_semi")
+    else:
+        kept = df.join(instants.select("date").distinct(), "date", "left_semi")
+    return kept.select(*df.columns)
 
 
 def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], salts: int = 64) -> DataFrame:

@@ -70,7 +70,8 @@ from .station import (
 Query = Callable[[SparkSession, str], DataFrame]
 
 HIGH_SD = 4.0
-EVENT_SD = 12.0
+EVENT_SD = 8.0
+MEAN_DIGITS = 9    # readings have one decimal, so a mean can end on the digit after the sixth
 SPAN = (views.FIRST_YEAR, views.LAST_YEAR)
 BLOCK = "event_id div 4096"
 # positions and stretches of time that count as artefacts in the observation view
@@ -379,13 +380,14 @@ def counts_excluding_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("annual_means")
 def annual_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E5."""
-    return rounded(means_by(_combined(spark, sf_dir), ["year"], ["wind_spd"]))
+    return rounded(means_by(_combined(spark, sf_dir), ["year"], ["wind_spd"]), MEAN_DIGITS)
 
 
 @_query("month_year_means")
 def month_year_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E6."""
-    return rounded(means_by(_combined(spark, sf_dir), ["month", "year"], ["wind_spd", "p", "wind_sd", "t_2m"]))
+    means = means_by(_combined(spark, sf_dir), ["month", "year"], ["wind_spd", "p", "wind_sd", "t_2m"])
+    return rounded(means, MEAN_DIGITS)
 
 
 @_query("correlation")

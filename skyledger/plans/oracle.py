@@ -11,7 +11,7 @@ from itertools import combinations
 from ..operators.bayes import MODELS
 from ..operators.density import BANDWIDTH_FACTOR, IQR_PER_SD, KDE_CUT, KDE_POINTS
 from ..sources.sample_views import COMPLETE_ROWS, FIRST_YEAR, HOURS_PER_SITE, LAST_YEAR, YEARS
-from .catalog import BAD_POSITIONS, BAD_TIMES, EVENT_SD, HIGH_SD
+from .catalog import BAD_POSITIONS, BAD_TIMES, EVENT_SD, HIGH_SD, MEAN_DIGITS
 from .published import MEASURES, PUBLISHED_TRENDS
 
 KEYS = "site, year, month, day, hour"
@@ -116,16 +116,16 @@ _STABLE = f"""{_COMBINED},
 # Output columns: a trailing ~ marks a double, rounded like the Spark side.
 
 
-def _out(columns: str) -> str:
+def _out(columns: str, digits: int = 6) -> str:
     return ", ".join(
-        f'round("{c[:-1]}", 6) + 0.0::DOUBLE AS "{c[:-1]}"' if c.endswith("~") else f'"{c}"' for c in columns.split()
+        f'round("{c[:-1]}", {digits}) + 0.0::DOUBLE AS "{c[:-1]}"' if c.endswith("~") else f'"{c}"' for c in columns.split()
     )
 
 
-def _select(columns: str, source: str, ctes: str = "", where: str = "", recursive: bool = False) -> str:
+def _select(columns: str, source: str, ctes: str = "", where: str = "", recursive: bool = False, digits: int = 6) -> str:
     head = f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n" if ctes else ""
     tail = f"\nWHERE {where}" if where else ""
-    return f"{head}SELECT {_out(columns)}\nFROM {source}{tail}"
+    return f"{head}SELECT {_out(columns, digits)}\nFROM {source}{tail}"
 
 
 _KEY_COLUMNS = "site year month day hour"
@@ -569,13 +569,14 @@ def oracle_queries() -> dict[str, str]:
             {_counts('combined', f'wind_sd > {HIGH_SD} AND NOT (month = 8 AND day = 1)', _SPAN)}
             SELECT month, year, n FROM filled""",
         "annual_means": _select(
-            "year mean_wind_spd~", "(SELECT year, avg(wind_spd) AS mean_wind_spd FROM combined GROUP BY year)", _COMBINED
+            "year mean_wind_spd~", "(SELECT year, avg(wind_spd) AS mean_wind_spd FROM combined GROUP BY year)", _COMBINED,
+            digits=MEAN_DIGITS,
         ),
         "month_year_means": _select(
             "month year mean_wind_spd~ mean_p~ mean_wind_sd~ mean_t_2m~",
             """(SELECT month, year, avg(wind_spd) AS mean_wind_spd, avg(p) AS mean_p, avg(wind_sd) AS mean_wind_sd,
                 avg(t_2m) AS mean_t_2m FROM combined GROUP BY month, year)""",
-            _COMBINED,
+            _COMBINED, digits=MEAN_DIGITS,
         ),
         "correlation": _select(
             "correlation~ pairs", "(SELECT corr(wind_sd, p) AS correlation, count(*) AS pairs FROM combined)", _COMBINED
