@@ -17,14 +17,19 @@ _SPREAD = 12.0    # beyond this many standard deviations the integrand is neglig
 _NEWTON_STEPS = 14
 
 
+def _height(x: Column, nu: Column) -> Column:
+    """cos(x)^(nu - 1); near 0, where the cosine is 1 to most digits, by way of the sine."""
+    near = F.exp((nu - 1) / 2 * F.log1p(-F.sin(x) * F.sin(x)))
+    return F.when(x < 0.5, near).otherwise(F.pow(F.greatest(F.cos(x), F.lit(0.0)), nu - 1))
+
+
 def _tail(theta: Column, nu: Column) -> Column:
     width = F.least(math.pi / 2 - theta, _SPREAD / F.sqrt(nu))
     step = width / _INTERVALS
 
     def term(total: Column, i: Column) -> Column:
         weight = F.when((i == 0) | (i == _INTERVALS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-        height = F.greatest(F.cos(theta + i * step), F.lit(0.0))
-        return total + weight * F.pow(height, nu - 1)
+        return total + weight * _height(theta + i * step, nu)
 
     nodes = F.sequence(F.lit(0), F.lit(_INTERVALS))
     return F.aggregate(nodes, F.lit(0.0), term) * step / 3
@@ -48,7 +53,7 @@ def critical_value(level: float, nu: Column) -> Column:
 
     def newton(theta: Column, _: Column) -> Column:
         excess = _tail(theta, nu) - (1 - level) * whole
-        return theta + excess / F.pow(F.cos(theta), nu - 1)
+        return theta + excess / _height(theta, nu)
 
     theta = F.aggregate(F.sequence(F.lit(1), F.lit(_NEWTON_STEPS)), F.lit(0.0), newton)
     return F.when(nu >= 1, F.sqrt(nu) * F.tan(theta))

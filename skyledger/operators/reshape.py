@@ -46,14 +46,17 @@ def zero_fill(
     """G3. Every month of every year, with the given counts as zero where ``cells`` has no row.
 
     ``cells`` holds at most one row per (month, year); its other columns stay
-    NULL where it has none. The years default to those ``cells`` reaches over,
-    so count events as ``count_if`` over all rows, not over the events alone.
+    NULL where it has none. The calendar spans the years of ``cells``, so count
+    events as ``count_if`` over all rows, not over the events alone; ``years``
+    can widen it.
     The cells, a dozen a year, are folded into one row and unfolded along the
     calendar: no join, and the table behind them is read once.
     """
     others = [c for c in cells.columns if c not in ("month", "year")]
     place = F.struct(F.col("month").cast("int").alias("month"), F.col("year").cast("int").alias("year"))
-    first, last = (F.min("year"), F.max("year")) if years is None else (F.lit(y) for y in years)
+    first, last = F.min("year"), F.max("year")
+    if years is not None:
+        first, last = F.least(first, F.lit(years[0])), F.greatest(last, F.lit(years[1]))
     folded = cells.agg(
         first.cast("int").alias("_first"),
         last.cast("int").alias("_last"),

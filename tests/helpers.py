@@ -16,4 +16,4 @@ def column(df, name, order=None):
 
 
 def ids(spark, n, parts=4):
-    return spark.range(0, n, 1, parts).withColumn("u", (F.xxhash64("id", F.lit(7)) % 1000003) / 1000003.0)
+    return spark.range(0, n, 1, parts).withColumn("u", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1000003)) / 1000003.0)
