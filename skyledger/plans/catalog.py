@@ -46,12 +46,11 @@ from ..operators.rollup import hourly_summary
 from ..operators.smooth import spline_smooth
 from ..operators.summaries import column_intervals, correlation, count_by, means_by, overall_mean
 from ..operators.zero_inflated import zero_inflated_fit, zero_inflated_mean
-from ..schema import HOUR_KEYS, HOUR_SENTINELS, MINUTE_SCHEMA, MINUTE_SENTINELS
-from ..schema import THAW_TEMPERATURE
+from ..schema import HOUR_KEYS, HOUR_SCHEMA, HOUR_SENTINELS, MINUTE_SCHEMA, MINUTE_SENTINELS, THAW_TEMPERATURE
 from ..session import new_shared_path, stored
 from ..sources import sample_views as views
 from ..sources.tables import grid_values, read_table, write_table
-from ..sources.text import parse_lines
+from ..sources.text import read_hour_text, read_minute_text
 from .published import published_trends
 from .station import (
     box_figure,
@@ -140,21 +139,32 @@ def _hourly_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("scan_clean_minutes")
 def scan_clean_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1, B2."""
-    return rounded(null_negative(null_sentinels(views.minutes(spark, sf_dir), MINUTE_SENTINELS)))
+    return null_negative(null_sentinels(views.minutes(spark, sf_dir), MINUTE_SENTINELS))
 
 
 @_query("scan_clean_hours")
 def scan_clean_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1, B2."""
-    return rounded(null_negative(null_sentinels(views.hours(spark, sf_dir), HOUR_SENTINELS)))
+    return null_negative(null_sentinels(views.hours(spark, sf_dir), HOUR_SENTINELS))
 
 
 @_query("text_minutes")
 def text_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: the minute table as blank-separated lines, parsed back and cleaned."""
+    """A1: the minute table written as blank-separated lines, read back and cleaned."""
     cells = (F.col(c).cast("string") for c in MINUTE_SCHEMA.names)
-    lines = views.minutes(spark, sf_dir).select(F.concat(F.lit("  "), F.concat_ws("   ", *cells)).alias("value"))
-    return rounded(null_sentinels(parse_lines(lines, MINUTE_SCHEMA), MINUTE_SENTINELS))
+    lines = views.minutes(spark, sf_dir).select(F.concat(F.lit("  "), F.concat_ws("   ", *cells)))
+    path = new_shared_path(spark, "minutes-text")
+    lines.write.text(path)
+    return read_minute_text(spark, path)
+
+
+@_query("text_hours")
+def text_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: the hour table likewise."""
+    cells = (F.col(c).cast("string") for c in HOUR_SCHEMA.names)
+    path = new_shared_path(spark, "hours-text")
+    views.hours(spark, sf_dir).select(F.concat_ws(" ", *cells)).write.text(path)
+    return read_hour_text(spark, path)
 
 
 @_query("stored_hours")
@@ -274,7 +284,7 @@ def plausibility_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_negative_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C9."""
     kept = non_negative(views.minutes(spark, sf_dir))
-    return rounded(kept.select(*HOUR_KEYS, "minute", "wind_spd"))
+    return kept.select(*HOUR_KEYS, "minute", "wind_spd")
 
 
 @_query("row_numbers")
@@ -495,7 +505,8 @@ def prediction_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def factorial_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All interactions of speed, temperature and Richardson number."""
     terms = factorial_terms("wind_spd", "t_2m", "richardson_bulk")
-    fit = linear_model(sufficient_statistics(_stable(spark, sf_dir), "wind_sd", terms), list(terms))
+    hours = _stored(spark, sf_dir, "wind_spd", "t_2m", "richardson_bulk", "wind_sd")
+    fit = linear_model(sufficient_statistics(hours, "wind_sd", terms), list(terms))
     return rounded(fit.select("term", "n", "df", "estimate", "std_error", "t_value", "r2"))
 
 

@@ -130,6 +130,7 @@ def _select(columns: str, source: str, ctes: str = "", where: str = "", recursiv
 
 _KEY_COLUMNS = "site year month day hour"
 _READINGS = "wind_dir~ wind_spd~ wind_stead~ p~ t_2m~ t_10m~ t_top~ rh~ precip~"
+_RAW_READINGS = _READINGS.replace("~", "")
 _SUMMARY_COLUMNS = f"{_KEY_COLUMNS} wind_mean~ gust_time wind_sd~ wind_max~ wind_min~ wind_med~ nrow na_ct date"
 _STAT_COLUMNS = "wind_mean~ gust_time wind_sd~ wind_max~ wind_min~ wind_med~ nrow na_ct"
 
@@ -470,13 +471,16 @@ def oracle_queries() -> dict[str, str]:
         FROM combined)"""
     return {
         "scan_clean_minutes": _select(
-            f"{_KEY_COLUMNS} minute {_READINGS}", "cleaned", f"{_MINUTES}, {_cleaned('minutes', -999, True)}"
+            f"{_KEY_COLUMNS} minute {_RAW_READINGS}", "cleaned", f"{_MINUTES}, {_cleaned('minutes', -999, True)}"
         ),
         "scan_clean_hours": _select(
-            f"{_KEY_COLUMNS} {_READINGS}", "cleaned", f"{_HOURS}, {_cleaned('hours', -99, True)}"
+            f"{_KEY_COLUMNS} {_RAW_READINGS}", "cleaned", f"{_HOURS}, {_cleaned('hours', -99, True)}"
         ),
         "text_minutes": _select(
-            f"{_KEY_COLUMNS} minute {_READINGS}", "cleaned", f"{_MINUTES}, {_cleaned('minutes', -999, False)}"
+            f"{_KEY_COLUMNS} minute {_RAW_READINGS}", "cleaned", f"{_MINUTES}, {_cleaned('minutes', -999, False)}"
+        ),
+        "text_hours": _select(
+            f"{_KEY_COLUMNS} {_RAW_READINGS}", "cleaned", f"{_HOURS}, {_cleaned('hours', -99, False)}"
         ),
         "stored_hours": _select(
             f"{_KEY_COLUMNS} date t_2m~ wind_spd~ wind_sd~ gust_time", "combined", _COMBINED, "year >= 2015"
@@ -531,7 +535,7 @@ def oracle_queries() -> dict[str, str]:
             "site date wind_sd~ wind_max~ wind_min~", "combined", _COMBINED,
             "wind_sd <= 5 AND wind_max <= 11 AND wind_min > 1",
         ),
-        "drop_negative_raw": _select(f"{_KEY_COLUMNS} minute wind_spd~", "minutes", _MINUTES, "wind_spd >= 0"),
+        "drop_negative_raw": _select(f"{_KEY_COLUMNS} minute wind_spd", "minutes", _MINUTES, "wind_spd >= 0"),
         "row_numbers": "SELECT event_id, row_number() OVER (ORDER BY event_id) AS row FROM events",
         "exclude_ranges": _select("event_id site wind_spd~", "kept", f"{_OBS}, {_positions('obs')}"),
         "exclude_time_ranges": _select("event_id site wind_spd~", "obs", _OBS, bad_times),

@@ -15,8 +15,8 @@ def parse_lines(lines: DataFrame, schema: StructType) -> DataFrame:
     Blank lines are skipped; a cell that does not parse, or that a short line
     lacks, is NULL; surplus cells are ignored.
     """
-    text = F.trim(F.regexp_replace("value", r"\s+", " "))
-    cells = lines.select(F.split(text, " ").alias("cell")).where(F.col("cell")[0] != "")
+    text = F.btrim("value", F.lit(" \t\r\n\f"))
+    cells = lines.where(F.col("value").rlike(r"\S")).select(F.split(text, r"\s+").alias("cell"))
     return cells.select(
         *(
             F.get("cell", F.lit(i)).try_cast(field.dataType).alias(field.name)
