@@ -81,6 +81,10 @@ BAD_TIMES = [
     ("error", "2024-01-20 00:00:00", "2024-01-20 00:00:00"),
 ]
 
+TWO_TERM_MODELS = [
+    name for name, model in bayes.MODELS.items() if len(model.terms) == 2 and model.intercept_floor is None
+]
+
 _QUERIES: dict[str, Query] = {}
 
 
@@ -652,20 +656,23 @@ def posterior_map_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("posterior_map_models")
 def posterior_map_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modes of every unbounded model of the analysis."""
-    hours = _stored(
-        spark, sf_dir, "wind_sd", "gust_time", "t_2m", "wind_spd", "t_difference", "richardson_bulk"
-    )
-    fits = [
-        bayes.posterior_mode(bayes.model_statistics(hours, m), m)
-        .select("parameter", "mean", "sd")
-        .withColumn("model", F.lit(name))
-        for name, m in bayes.MODELS.items()
-        if m.intercept_floor is None
-    ]
+    """Modes of every unbounded two-term model of the analysis."""
+    hours = _stored(spark, sf_dir, "wind_sd", "gust_time", "t_2m", "wind_spd")
+    fits = []
+    for name in TWO_TERM_MODELS:
+        model = bayes.MODELS[name]
+        mode = bayes.posterior_mode(bayes.model_statistics(hours, model), model)
+        fits.append(mode.select("parameter", "mean", "sd", F.lit(name).alias("model")))
     return rounded(stack(*fits))
 
 
+@_query("posterior_map_richardson")
+def posterior_map_richardson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three-predictor model."""
+    sums, model = _fitted(spark, sf_dir, "sd_multi_ri")
+    return rounded(bayes.mode_summary(bayes.posterior_mode(sums, model)))
+
+
 @_query("posterior_summary")
 def posterior_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L5 from draws."""

@@ -11,7 +11,7 @@ from itertools import combinations
 from ..operators.bayes import MODELS
 from ..operators.density import BANDWIDTH_FACTOR, IQR_PER_SD, KDE_CUT, KDE_POINTS
 from ..sources.sample_views import COMPLETE_ROWS, FIRST_YEAR, HOURS_PER_SITE, LAST_YEAR, YEARS
-from .catalog import BAD_POSITIONS, BAD_TIMES, EVENT_SD, HIGH_SD, MEAN_DIGITS
+from .catalog import BAD_POSITIONS, BAD_TIMES, EVENT_SD, HIGH_SD, MEAN_DIGITS, TWO_TERM_MODELS
 from .published import MEASURES, PUBLISHED_TRENDS
 
 KEYS = "site, year, month, day, hour"
@@ -719,4 +719,12 @@ def oracle_queries() -> dict[str, str]:
             "parameter mean~ sd~ lower~ upper~", "mode_interval",
             f"{_COMBINED}, {_map_model('sd_t', 'combined')}", recursive=True,
         ),
+        "posterior_map_models": _select(
+            "model parameter mean~ sd~",
+            "(" + " UNION ALL ".join(
+                f"(WITH RECURSIVE {_map_model(name, 'combined')} SELECT '{name}' AS model, parameter, mean, sd FROM mode)"
+                for name in TWO_TERM_MODELS
+            ) + ")",
+            _COMBINED,
+        ),
     }

@@ -7,6 +7,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from skyledger.session import local_session  # noqa: E402
 
+# many short queries: compiling fast matters more than running fast
+os.environ.setdefault("JAVA_TOOL_OPTIONS", "-XX:TieredStopAtLevel=1")
+
 
 @pytest.fixture(scope="session")
 def spark():
