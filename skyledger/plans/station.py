@@ -45,15 +45,16 @@ def combine(
 ) -> DataFrame:
     """Z2. Hours joined to their summary, complete in ``needed``, at instants of complete hours.
 
-    An hour that needs one of the summary's statistics has, by having it, its
-    own complete hour: its instant is among them already and the semi-join is
-    left out. Otherwise the summary is read twice, so hand in a stored one.
+    An hour that has to be complete at its own site, be it by ``by_site`` or
+    because one of the summary's statistics is needed, has found its row of the
+    summary in the join: no semi-join has to look for it again. Otherwise the
+    summary is read twice, so hand in a stored one.
     """
     joined = attach_summary(hours, summary.drop("date"))
     dated = complete_cases(joined, needed).withColumn("date", hour_instant())
-    if set(needed) & set(STATISTICS):
-        return dated
-    return at_instants(dated, summary, by_site)
+    if by_site or set(needed) & set(STATISTICS):
+        return dated.where(F.col("nrow").isNotNull() & F.col("date").isNotNull())
+    return at_instants(dated, summary)
 
 
 def stability(combined: DataFrame) -> DataFrame:

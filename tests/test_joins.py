@@ -46,9 +46,11 @@ def test_combine_equals_join_then_semi_join(spark):
     minutes = hour_of_minutes(spark, range(60), 0).unionAll(hour_of_minutes(spark, range(60), 3))
     summary = complete_hours(minutes)
     table = hours(spark, *((h, float(h), 0.0, 1000.0, 5.0) for h in range(6)))
-    short = combine(table, summary)
-    long = at_instants(combine(table, summary), summary)
-    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, long.collect()))
+    every = combine(table, summary, ("t_2m", "wind_spd"))
+    for short in (combine(table, summary), combine(table, summary, ("t_2m", "wind_spd"), by_site=True)):
+        long = at_instants(every, summary, by_site=True)
+        assert sorted(map(tuple, short.collect())) == sorted(map(tuple, long.collect()))
+        assert sorted(r.hour for r in short.collect()) == [0, 3]
 
 
 def test_semi_join_stays_one(spark, conf, plan):

@@ -2,17 +2,17 @@ from skyledger.schema import HOUR_SCHEMA, MINUTE_SCHEMA
 from skyledger.sources.tables import even_grid, literal_table, read_table, write_table
 from skyledger.sources.text import read_hour_text, read_minute_text
 
-MINUTE_LINES = """BRW 2004 12 1 12 0 250 10.4 98 1001.2 -20.1 -19.8 -19.5 80 0
-   BRW  2004 12  1 12   1 -999   -999.0  -9 -999 -998.9 -999.9 -999 -99 -99
+MINUTE_LINES = """A01 2004 12 1 12 0 250 10.4 98 1001.2 -20.1 -19.8 -19.5 80 0
+   A01  2004 12  1 12   1 -999   -999.0  -9 -999 -998.9 -999.9 -999 -99 -99
 
-BRW 2004 12 1 12 2 250 -5.0 -9.5 1001 -99.0 -19.8 -19.5 -100 -0.5
-BRW 2004 12 x 12 3 250 oops 98
+A01 2004 12 1 12 2 250 -5.0 -9.5 1001 -99.0 -19.8 -19.5 -100 -0.5
+A01 2004 12 x 12 3 250 oops 98
 \t\t
-BRW 2004 12 1 12 4 1 2 3 4 5 6 7 8 9 surplus cells
+A01 2004 12 1 12 4 1 2 3 4 5 6 7 8 9 surplus cells
 """
 
-HOUR_LINES = """BRW 2004 12 1 12 250 10.4 98 1001.2 -20.1 -19.8 -19.5 80 0
-BRW 2004 12 1 13 -99 -99.9 -9 -999 -99.0 -98.9 -99.9 -99 -99
+HOUR_LINES = """A01 2004 12 1 12 250 10.4 98 1001.2 -20.1 -19.8 -19.5 80 0
+A01 2004 12 1 13 -99 -99.9 -9 -999 -99.0 -98.9 -99.9 -99 -99
 """
 
 
@@ -23,7 +23,7 @@ def test_minute_lines(spark, tmp_path):
     assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in MINUTE_SCHEMA]
     rows = sorted(df.collect(), key=lambda r: r.minute)
     assert len(rows) == 5
-    assert rows[0][:8] == ("BRW", 2004, 12, 1, 12, 0, 250.0, 10.4) and rows[0].precip == 0.0
+    assert rows[0][:8] == ("A01", 2004, 12, 1, 12, 0, 250.0, 10.4) and rows[0].precip == 0.0
     sentinel = rows[1]
     assert sentinel.t_2m == -998.9    # above the minute threshold
     assert all(sentinel[c] is None for c in ("wind_dir", "wind_spd", "wind_stead", "p", "t_10m", "t_top", "rh", "precip"))
