@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.llm.common import most_frequent
 from skyledger.session import stored
 
 #: The published split pattern of the byte-level vocabulary, with Unicode classes; fixed value.
@@ -137,8 +138,8 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, common: int
     )
     counted = keyed.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     table = stored(word_table(counted, model), "words")
-    top = table.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(common).select("word", "ids").toArrow()
-    known = spark.sparkContext.broadcast((top.column("word").combine_chunks(), top.column("ids").to_pylist()))
+    top = most_frequent(table.where(F.length("word") <= LONGEST), common).select("word", "ids").toArrow()
+    known = spark.sparkContext.broadcast((pa.array(top.column("word").to_pylist(), pa.string()), top.column("ids").to_pylist()))
     pieces = spark.sparkContext.broadcast(piece_bytes(model))
     listed = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 

@@ -72,7 +72,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     held = F.concat(F.array(F.lit(ROW), F.lit(ANY)), literal_tokens(F.col("host"), F.col("path")))
     split = split.select("page_id", "host", "path", F.explode(held).alias("token"))
     asked = rules.select(F.explode(literal_tokens(F.col("host"), F.col("path"))).alias("token")).distinct()
-    counts = split.join(asked, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("urls"))
+    counts = split.groupBy("token").agg(F.count(F.lit(1)).alias("urls")).join(asked, "token", "left_semi")
     found = split.join(rule_table(rules, counts), "token", "left")
     fits = F.regexp_like(F.concat("host", "path"), F.col("pattern"))
     best = F.max(F.when(fits, F.struct("length", "rule", "verdict")))
