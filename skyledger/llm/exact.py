@@ -76,13 +76,12 @@ def drop_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     Rows of frequent groups whose id isn't the winner's go where they are read;
     what is left is shuffled by digest, with its text, once.
     """
-    names = docs.columns
     winners = frequent(_digests(docs), support)
-    winners = winners.select(F.col("text_sha256").alias("_sha"), F.col("_best.doc_id").alias("_keep"))
-    marked = docs.withColumn("_sha", text_digest(F.col("text"))).join(F.broadcast(winners.withColumn("_hot", F.lit(True))), "_sha", "left")
-    left = marked.where(F.col("_hot").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep")))
-    order = Window.partitionBy("_sha").orderBy(F.col("doc_id").asc_nulls_last())
-    return left.withColumn("_place", F.row_number().over(order)).where(F.col("_place") == 1).select(*names)
+    winners = winners.select(F.col("text_sha256").alias("sha"), F.col("_best.doc_id").alias("keep"), F.lit(True).alias("hot"))
+    marked = docs.select(F.struct("*").alias("doc"), "doc_id", text_digest(F.col("text")).alias("sha")).join(F.broadcast(winners), "sha", "left")
+    left = marked.where(F.col("hot").isNull() | F.col("doc_id").eqNullSafe(F.col("keep")))
+    order = Window.partitionBy("sha").orderBy(F.col("doc_id").asc_nulls_last())
+    return left.withColumn("place", F.row_number().over(order)).where("place = 1").select("doc.*")
 
 
 ORACLE = """

@@ -160,10 +160,9 @@ def _decided(sizes: DataFrame, weights, share, cap, chunk) -> DataFrame:
 
 def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, chunk: int = CHUNK) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix_sources`` takes it; columns as in ``docs``."""
-    names = docs.columns
-    same = Window.partitionBy("_key").orderBy("doc_id")
+    key = F.xxhash64("doc_id", "source", "text").alias("_key")
     taken = _decided(_sizes(docs), weights, share, cap, chunk)
-    taken = taken.select("_key", F.row_number().over(Window.partitionBy("_key").orderBy("copies")).alias("_n"), "copies")
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text")).withColumn("_n", F.row_number().over(same))
-    joined = keyed.join(taken.where("copies > 0").withColumnRenamed("copies", "_copies"), ["_key", "_n"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
+    taken = taken.select("_key", F.row_number().over(Window.partitionBy("_key").orderBy("copies")).alias("n"), "copies").where("copies > 0")
+    keyed = docs.select(F.struct("*").alias("doc"), "doc_id", key).withColumn("n", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id")))
+    joined = keyed.join(taken, ["_key", "n"])
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("doc.*")

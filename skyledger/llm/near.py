@@ -264,12 +264,11 @@ def near_duplicate_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs`` with one row of each group: that of the least id (null last), then of the least text key."""
-    names = docs.columns
     grouped = _grouped(docs, rule)
     alone = grouped.where(F.col("component").isNull()).select("key")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")
-    chosen = grouped.where(F.col("component").isNotNull()).groupBy("component").agg(first).select(F.col("first.key").alias("key"), F.lit(True).alias("_one"))
-    stay = chosen.unionByName(alone.distinct().withColumn("_one", F.lit(False))).withColumnRenamed("key", "_key")
-    joined = docs.withColumn("_key", text_key()).join(stay, "_key")
-    copy = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))
-    return joined.withColumn("_copy", copy).where("_copy = 1 OR NOT _one").select(*names)
+    chosen = grouped.where(F.col("component").isNotNull()).groupBy("component").agg(first).select("first.key", F.lit(True).alias("one"))
+    stay = chosen.unionByName(alone.distinct().withColumn("one", F.lit(False)))
+    joined = docs.select(F.struct("*").alias("doc"), "doc_id", text_key().alias("key")).join(stay, "key")
+    copy = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
+    return joined.withColumn("copy", copy).where("copy = 1 OR NOT one").select("doc.*")

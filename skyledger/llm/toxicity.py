@@ -274,7 +274,8 @@ def _index(known: np.ndarray, idf: np.ndarray, examples: list[dict], each: dict[
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, nearest: int = NEAREST, text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted, evidence; with ``text`` all columns of ``docs`` first.
+    """One row per row of ``docs``: doc_id, held_out, score, predicted, evidence; with ``text`` all
+    columns of ``docs`` in ``doc`` instead of the first two.
 
     ``labels`` (doc_id, toxic 0 or 1) teach only where crc32 of the id as text
     leaves no 1 when divided by 3; a document labelled twice counts as toxic if
@@ -302,20 +303,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, ne
                     place, near = index.nearest(which[own], index.vector(which[own], count[own]), nearest)
                     scores[k] = index.vote(place, near)
                     evidence[k] = [{"doc_id": int(index.ids[p]), "cosine": float(c), "toxic": int(index.toxic[p])} for p, c in zip(place[:3], near[:3])]
-            rest = [part.column(c) for c in part.schema.names if c != "_text"]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(scores), pa.array(evidence, kind)], [*(c for c in part.schema.names if c != "_text"), "_score", "_evidence"])
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(scores), pa.array(evidence, kind)], ["doc", "score", "evidence"])
 
-    given = docs if text else docs.select("doc_id")
-    asked = docs.select(*given.columns, F.coalesce("text", F.lit("")).alias("_text"))
-    more = StructType.fromDDL("_score double, _evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
-    made = asked.mapInArrow(score, StructType([*given.schema.fields, *more.fields]))
-    verdict = (F.col("_score") >= THRESHOLD).cast("int")
+    asked = docs.select(F.struct("*" if text else "doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("_text"))
+    more = StructType.fromDDL("score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
+    made = asked.mapInArrow(score, StructType([asked.schema["doc"], *more.fields])).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
     if text:
-        return made.withColumn("_predicted", verdict)
-    return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), verdict.alias("predicted"), F.col("_evidence").alias("evidence"))
+        return made
+    return made.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
     """The rows of ``docs`` that ``score_documents`` doesn't predict as toxic, with their columns."""
-    return score_documents(docs, labels, most, text=True).where("_predicted = 0").select(*docs.columns)
+    return score_documents(docs, labels, most, text=True).where("predicted = 0").select("doc.*")
