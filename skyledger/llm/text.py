@@ -116,7 +116,7 @@ def shingles(words: np.ndarray, splits: np.ndarray, size: int) -> tuple[np.ndarr
     here = np.arange(len(words))
     end = np.repeat(splits[1:], count)
     value = np.zeros(len(words), np.uint64)
-    for k in range(size):
+    for k in range(min(size, len(words))):
         part = words[k:] * _PLACES[k]
         value[: len(words) - k] += np.where(here[: len(words) - k] + k < end[: len(words) - k], part, np.uint64(0))
     short = np.repeat(count < size, count)
