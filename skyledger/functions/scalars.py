@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, functions as F
 
 # Physical constants as the station analysis uses them.
@@ -46,11 +43,6 @@ def hour_literal(text: str) -> Column:
     return F.to_timestamp_ntz(F.lit(text), F.lit("yyyy-M-d H"))
 
 
-def not_missing(*names: str) -> Column:
-    """True where every named column holds a value; NaN counts as missing. Doubles only."""
-    return reduce(and_, (F.col(c).isNotNull() & ~F.isnan(c) for c in names))
-
-
 def finite(name: str) -> Column:
     """B25. True for an ordinary number: not NULL, not NaN, not infinite."""
     x = F.col(name)

@@ -1,10 +1,10 @@
-"""Gaussian linear models with priors.
+"""Gaussian linear models with priors.
 
 ``y ~ Normal(a + b1 x1 + ..., sigma)`` with Normal priors on the coefficients
 and an Exponential prior on sigma. The data enter through the sums of E12
 only, so a fit is one aggregation over the rows plus work on a handful of
-numbers. Given sigma the coefficients are jointly normal, and sigma is one
-number: the posterior is drawn from directly, without chains.
+numbers. Posteriors are described by their mode and the curvature there; bands
+follow in closed form.
 """
 
 from __future__ import annotations
@@ -15,16 +15,14 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.hashing import normal, uniform
 from .regression import plain_terms, sufficient_statistics
 
 Normal = tuple[float, float]
 
-_GRID = 4001
-_REACH = 10.0    # half-width of the sigma grid in posterior standard deviations
-_BLOCK = 1024    # rows simulated at a time
+_PERFECT = 1e-24    # a residual below this share of the response's variation is rounding
+_TURNS = 2000
 
 
 @dataclass(frozen=True)
@@ -120,82 +118,61 @@ class _Posterior:
         fitted = np.einsum("ki,ij,kj->k", slopes, self.gram, slopes) - 2 * slopes @ self.cross
         return np.maximum(self.total + fitted + self.n * (self.y_mean - theta[:, 0]) ** 2, 0.0)
 
+    def _exact(self) -> np.ndarray | None:
+        """Coefficients that leave nothing of the response over, if there are any."""
+        slopes = np.linalg.lstsq(self.gram, self.cross, rcond=None)[0]
+        theta = np.concatenate([[self.y_mean], slopes])
+        return theta if float(self.residual(theta[None])[0]) <= _PERFECT * self.total else None
+
     def mode(self) -> tuple[np.ndarray, float]:
-        """The maximum of the joint density, by turns over coefficients and sigma."""
-        rate, sigma = self.model.sigma_rate, float(np.sqrt(max(self.total, 1e-300) / self.n))
+        """The maximum of the joint density, by turns over coefficients and sigma.
+
+        Where the terms explain every response the density has no maximum: sigma
+        is 0 and the coefficients are the exact ones.
+        """
+        exact = self._exact()
+        if exact is not None:
+            return exact, 0.0
+        rate, sigma = self.model.sigma_rate, float(np.sqrt(self.total / self.n))
         theta = self.coefficients(sigma)[0]
-        for _ in range(500):
-            residual = float(self.residual(theta)[0])
-            new = self._best_sigma(residual, rate)
-            done = abs(new - sigma) <= 1e-15 * sigma
+        for _ in range(_TURNS):
+            new = self._best_sigma(float(self.residual(theta)[0]), rate)
+            done = abs(new - sigma) <= 1e-14 * sigma
             sigma = new
             theta = self.coefficients(sigma)[0]
             if done:
                 break
+        else:
+            raise ArithmeticError("the posterior mode was not reached")
+        floor = self.model.intercept_floor
+        if floor is not None and theta[0, 0] < floor:
+            raise ValueError("the intercept's floor binds: the mode lies on the bound, where it has no curvature")
         return theta[0], sigma
 
     def _best_sigma(self, residual: float, rate: float) -> float:
         sigma = np.sqrt(residual / self.n)    # the root lies at or below this; the cubic is convex there
-        for _ in range(50):
+        for _ in range(_TURNS):
             step = (rate * sigma**3 + self.n * sigma**2 - residual) / (3 * rate * sigma**2 + 2 * self.n * sigma)
             sigma -= step
-            if abs(step) <= 1e-16 * sigma:
-                break
-        return float(sigma)
+            if abs(step) <= 1e-14 * sigma:
+                return float(sigma)
+        raise ArithmeticError("sigma was not reached")
 
     def mode_with_covariance(self) -> tuple[np.ndarray, np.ndarray]:
         """L1. Mode and inverse curvature in (intercept, slopes, sigma)."""
         theta, sigma = self.mode()
+        back = np.eye(self.size + 2)
+        back[: self.size + 1, : self.size + 1] = self.to_intercept
+        if not sigma:
+            return back @ np.append(theta, sigma), np.zeros((self.size + 2, self.size + 2))
         precision = self.coefficients(sigma)[1][0]
         size = self.size + 1
         curvature = np.empty((size + 1, size + 1))
         curvature[:size, :size] = precision
         curvature[:size, size] = curvature[size, :size] = 2 * (self.prior @ theta - self.pull) / sigma
         curvature[size, size] = -self.n / sigma**2 + 3 * float(self.residual(theta[None])[0]) / sigma**4
-        back = np.eye(size + 1)
-        back[:size, :size] = self.to_intercept
         return back @ np.append(theta, sigma), back @ np.linalg.inv(curvature) @ back.T
 
-    def draw(self, u: np.ndarray, z: np.ndarray) -> np.ndarray:
-        """L3. Rows of (intercept, slopes, sigma), one per row of uniforms and normals."""
-        peak = self.mode()[1]
-        spread = _REACH / np.sqrt(2 * self.n)
-        grid = peak * np.exp(np.linspace(-spread, spread, _GRID))
-        theta, precision = self.coefficients(grid)
-        prior = np.einsum("ki,ij,kj->k", theta, self.prior, theta) - 2 * theta @ self.pull + self.prior_const
-        log_density = (
-            -self.n * np.log(grid)
-            - self.residual(theta) / (2 * grid**2)
-            - prior / 2
-            - self.model.sigma_rate * grid
-            - np.linalg.slogdet(precision)[1] / 2
-        )
-        floor = self.model.intercept_floor
-        if floor is not None:
-            sd = np.sqrt(np.linalg.inv(precision)[:, 0, 0])
-            log_density += np.log(np.maximum(_normal_cdf((theta[:, 0] - floor) / sd), 1e-300))
-        density = np.exp(log_density - log_density.max())
-        mass = np.concatenate([[0.0], np.cumsum((density[1:] + density[:-1]) / 2 * np.diff(grid))])
-        sigma = np.interp(u, mass / mass[-1], grid)
-
-        centre, precision = self.coefficients(sigma)
-        lower = np.linalg.cholesky(np.linalg.inv(precision))
-        z = z.copy()
-        if floor is not None:    # the first coordinate is the bounded one
-            below = _normal_cdf((floor - centre[:, 0]) / lower[:, 0, 0])
-            share = below + _normal_cdf(z[:, 0]) * (1 - below)
-            z[:, 0] = _normal_quantile(share)
-        theta = centre + np.einsum("kij,kj->ki", lower, z)
-        return np.column_stack([theta @ self.to_intercept.T, sigma])
-
-
-_normal_cdf = np.vectorize(NormalDist().cdf, otypes=[float])
-
-
-def _normal_quantile(p: np.ndarray) -> np.ndarray:
-    inside = np.clip(p, 1e-300, 1 - 1e-16)
-    return np.vectorize(NormalDist().inv_cdf, otypes=[float])(inside)
-
 
 def posterior_mode(statistics: DataFrame, model: GaussianModel) -> DataFrame:
     """L1/L2. One row per parameter: mode, standard deviation and its row of the covariance matrix."""
@@ -228,138 +205,23 @@ def mode_summary(mode: DataFrame, level: float = 0.89) -> DataFrame:
     )
 
 
-def posterior_draws(
-    statistics: DataFrame, model: GaussianModel, n_draws: int = 1000, seed: int = 0, tag: str | None = None
+def normal_band(
+    rows: DataFrame, mode: DataFrame, model: GaussianModel, *, predictive: bool = False, level: float = 0.90
 ) -> DataFrame:
-    """L3/L4/L11. Independent draws: ``draw, a, b1, ..., sigma[, model]``.
+    """L8/L9 with E16. Mean and central interval of the model at every row, by the normal approximation.
 
-    Draw ids are spread over tasks; each draw depends on the sums, its id and
-    the seed, so a task that is run again gives the same rows.
+    The mean's variance is that of the terms under the covariance of the
+    coefficients; ``predictive`` adds the response's own. The parameters arrive
+    as a one-row subquery, so the rows are not moved. Rows lacking a term get NULL.
     """
-    names = model.parameters
-    size = len(model.terms) + 1
-    ids = statistics.sparkSession.range(n_draws)
-    noise = ids.select(
-        F.col("id").cast("int").alias("draw"),
-        uniform(seed, 1000, F.col("id")).alias("u"),
-        F.array(*(normal(seed, i, F.col("id")) for i in range(size))).alias("z"),
-    ).withColumn("s", statistics.select(F.struct("n", "means", "comoments")).scalar()).select("draw", "u", "z", "s.*")
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty or not batch["n"].iloc[0] > 0:
-                continue
-            first = batch.iloc[0]
-            posterior = _Posterior(model, first["n"], first["means"], first["comoments"])
-            values = posterior.draw(batch["u"].to_numpy(), np.stack(batch["z"].to_numpy()))
-            yield pd.DataFrame(values, columns=names).assign(draw=batch["draw"].to_numpy())[["draw", *names]]
-
-    draws = noise.mapInPandas(draw, "draw int, " + ", ".join(f"{p} double" for p in names))
-    return draws if tag is None else draws.withColumn("model", F.lit(tag))
-
-
-def draws_summary(draws: DataFrame, parameters: Sequence[str], level: float = 0.89) -> DataFrame:
-    """L5. Mean, sd and central interval per parameter of posterior draws."""
-    tail = (1 - level) / 2
-    long = draws.unpivot(["draw"], list(parameters), "parameter", "value")
-    return (
-        long.groupBy("parameter")
-        .agg(
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("sd"),
-            F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail))).alias("_b"),
-        )
-        .select("parameter", "mean", "sd", F.col("_b")[0].alias("lower"), F.col("_b")[1].alias("upper"))
-    )
-
-
-def _with_draws(rows: DataFrame, draws: DataFrame, model: GaussianModel, limit: int | None = None) -> DataFrame:
-    """D5. Put the draws beside each row as one array, through a one-row subquery instead of a join."""
-    chosen = draws if limit is None else draws.where(F.col("draw") < limit)
-    entries = F.sort_array(F.collect_list(F.struct("draw", *model.parameters)))
-    return rows.withColumn("_draws", chosen.agg(entries).scalar())
-
-
-def _linear_predictor(model: GaussianModel, draw: Column) -> Column:
-    total = draw["a"]
-    for i, term in enumerate(plain_terms(*model.terms).values(), start=1):
-        total = total + draw[f"b{i}"] * term
-    return total
-
-
-def long_draws(
-    rows: DataFrame,
-    draws: DataFrame,
-    model: GaussianModel,
-    *,
-    n_draws: int | None = None,
-    predictive: bool = False,
-    key: Sequence[str] = (),
-    seed: int = 0,
-) -> DataFrame:
-    """L8/L10. One row per input row and draw: the model's mean, or with ``predictive`` a simulated response.
-
-    Simulated noise is a function of ``key`` (unique per row), draw and seed.
-    """
-    exploded = _with_draws(rows, draws, model, n_draws).withColumn("_d", F.explode("_draws"))
-    value = _linear_predictor(model, F.col("_d"))
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    entries = F.sort_array(F.collect_list(F.struct("position", "mean", "covariance")))
+    fitted = rows.withColumn("_m", mode.agg(entries).scalar())
+    terms = [F.lit(1.0), *plain_terms(*model.terms).values()]
+    size = range(len(terms))
+    mean = sum((F.col("_m")[i]["mean"] * terms[i] for i in size), F.lit(0.0))
+    variance = sum((F.col("_m")[i]["covariance"][j] * terms[i] * terms[j] for i in size for j in size), F.lit(0.0))
     if predictive:
-        value = value + F.col("_d.sigma") * normal(seed, 0, *(F.col(c) for c in key), F.col("_d.draw"))
-    return exploded.select(*rows.columns, F.col("_d.draw").alias("draw"), value.alias("value"))
-
-
-def row_bands(
-    rows: DataFrame,
-    draws: DataFrame,
-    model: GaussianModel,
-    *,
-    predictive: bool = False,
-    key: Sequence[str] = (),
-    seed: int = 0,
-    prob: float = 0.90,
-) -> DataFrame:
-    """L8/L9 with E16. Mean and central interval over all draws, for every row.
-
-    The draws, a table as small as the caller asked for, are sent to the tasks
-    once; rows x draws exist only as a block of numbers inside a task. Nothing
-    is shuffled, so the cost is one pass whatever the number of rows.
-    Simulated noise is a function of ``key`` (unique per row), draw and seed.
-    """
-    sent = draws.orderBy("draw").select(*model.parameters).toPandas().to_numpy()
-    tails = [(1 - prob) / 2, (1 + prob) / 2]
-
-    @F.pandas_udf("mean double, lower double, upper double")
-    def band(row_hash: pd.Series, terms: pd.Series) -> pd.DataFrame:
-        out = np.full((len(terms), 3), np.nan)
-        for start in range(0, len(terms), _BLOCK):
-            block = slice(start, start + _BLOCK)
-            design = np.stack([np.concatenate([[1.0], t]) for t in terms.iloc[block]]).astype(float)
-            values = design @ sent[:, :-1].T
-            if predictive:
-                values += sent[:, -1] * _noise(row_hash.iloc[block].to_numpy(), len(sent))
-            out[block, 0] = values.mean(axis=1)
-            out[block, 1:] = np.quantile(values, tails, axis=1).T
-        return pd.DataFrame(out, columns=["mean", "lower", "upper"])
-
-    terms = F.array(*plain_terms(*model.terms).values())
-    row_hash = F.xxhash64(F.lit(seed), *(F.col(c) for c in key))
-    banded = rows.withColumn("_band", band(row_hash, terms))
-    return banded.select(
-        *rows.columns, *(F.nanvl(f"_band.{c}", F.lit(None).cast("double")).alias(c) for c in ("mean", "lower", "upper"))
-    )
-
-
-def _noise(row_hashes: np.ndarray, count: int) -> np.ndarray:
-    """Standard normals fixed by row hash and draw number (Box-Muller on mixed 64-bit counters)."""
-    base = row_hashes.astype(np.int64).view(np.uint64)[:, None]
-    radius = np.sqrt(-2.0 * np.log(_mixed_uniform(base + np.arange(count, dtype=np.uint64) * np.uint64(2))))
-    return radius * np.cos(2 * np.pi * _mixed_uniform(base + np.arange(count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)))
-
-
-def _mixed_uniform(counter: np.ndarray) -> np.ndarray:
-    # Multipliers and shifts of the public SplitMix64 mixing function.
-    x = counter * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
+        variance = variance + F.col("_m")[len(terms)]["mean"] * F.col("_m")[len(terms)]["mean"]
+    reach = z * F.sqrt(F.greatest(variance, F.lit(0.0)))
+    return fitted.select(*rows.columns, mean.alias("mean"), (mean - reach).alias("lower"), (mean + reach).alias("upper"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.scalars import finite, hour_literal
-from ..schema import HIGH_GUST_BAND, MAX_WIND, MAX_WIND_SD, MINUTES_PER_HOUR, THAW_TEMPERATURE
+from ..schema import HIGH_GUST_BAND, MAX_WIND, MAX_WIND_SD, MINUTES_PER_HOUR
 
 
 def null_sentinels(df: DataFrame, thresholds: dict[str, float]) -> DataFrame:
@@ -47,15 +47,10 @@ def month_view(df: DataFrame, month: int) -> DataFrame:
 
 
 def above(df: DataFrame, column: str, threshold: float) -> DataFrame:
-    """C5/C7. Rows whose value exceeds the threshold; NULL never does."""
+    """C5/C6/C7. Rows whose value exceeds the threshold; NULL never does."""
     return df.where(F.col(column) > threshold)
 
 
-def thaw(df: DataFrame, threshold: float = THAW_TEMPERATURE) -> DataFrame:
-    """C6. Rows above the thaw temperature."""
-    return above(df, "t_2m", threshold)
-
-
 def plausible(df: DataFrame, max_sd: float = MAX_WIND_SD, max_wind: float = MAX_WIND) -> DataFrame:
     """C8. Rows within the plausibility caps."""
     return df.where((F.col("wind_sd") <= max_sd) & (F.col("wind_max") <= max_wind))

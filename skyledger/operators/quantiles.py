@@ -2,95 +2,97 @@
 
 ``percentile`` keeps a group's distinct values in one task, which is fine for
 an hour of minutes or a row's draws but not for a month of all stations. Here
-an approximate sketch first brackets each wanted value between two others that
-are sure to enclose it; then one more aggregation counts what lies below the
-brackets and, value by value, what lies inside. Only that small inside is ever
-put in order.
+an approximate sketch first brackets each wanted value between two cuts that
+are sure to enclose it. The values of a bracket are counted in equal cells, and
+only the cells that hold a wanted rank, a few millionths of evenly spread rows,
+are put in order. Groups of every size take this one path.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .joins import spread_join
 
 ACCURACY = 100_000
-_MARGIN = 20.0 / ACCURACY    # many times the sketch's rank error, and still a small share of the rows
-_SMALL = 50_000              # groups up to this size are ordered whole; beyond it the margin spans many ranks
+_CUTS = 512      # steps of rank between cuts: many times the sketch's error
+_CELLS = 4096    # equal cells of a bracket
 
 
-def grouped_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float], *, few_groups: bool = False
-) -> DataFrame:
+def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
     """One row per group: ``n`` and ``quantiles``, an array in the order of ``probabilities``.
 
     Between two order statistics the result is interpolated linearly, as
-    ``percentile`` does. NULL and NaN values are left out. ``few_groups``
-    promises a fixed number of groups (bins, months): their brackets are then
-    broadcast. Otherwise equal values are counted and joined to the brackets
-    in portions, so that no group has to fit a task.
+    ``percentile`` does. NULL and NaN values are left out. Equal values are
+    counted and joined to the brackets in portions, so that no group has to
+    fit a task.
     """
     keys = list(group)
-    probes = [p for q in probabilities for p in (max(q - _MARGIN, 0.0), min(q + _MARGIN, 1.0))]
+    order = sorted(range(len(probabilities)), key=lambda i: probabilities[i])
     values = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("_v"))
 
-    sketch = [
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", probes, ACCURACY).alias("_cut"),
+    cut = F.percentile_approx("_v", [i / _CUTS for i in range(1, _CUTS)], ACCURACY)
+    sketch = F.struct(
+        F.count(F.lit(1)).alias("n"), F.concat(F.array(F.min("_v")), cut, F.array(F.max("_v"))).alias("cuts")
+    )
+    n = F.col("_s.n")
+    places = [(n - 1) * float(probabilities[i]) + 1 for i in order]
+    below = [F.greatest(F.floor((F.floor(p) - 1) * _CUTS / n) - 1, F.lit(0)).cast("int") for p in places]
+    above = [F.least(F.ceil(F.ceil(p) * _CUTS / n) + 1, F.lit(_CUTS)).cast("int") for p in places]
+    brackets = [
+        n.alias("_n"),
+        F.array(*(F.get("_s.cuts", i) for i in below)).alias("_lows"),
+        F.array(*(F.get("_s.cuts", i) for i in above)).alias("_highs"),
     ]
     if keys:
-        cuts = values.groupBy(*keys).agg(*sketch)
-        if few_groups:
-            tagged = values.withColumn("_w", F.lit(1)).join(F.broadcast(cuts), keys)
-        else:
-            tagged = spread_join(values, cuts, keys)
+        tagged = spread_join(values, values.groupBy(*keys).agg(sketch.alias("_s")).select(*keys, *brackets), keys)
     else:
-        cuts = values.agg(F.struct(*sketch).alias("_s"))
-        tagged = values.withColumn("_s", cuts.scalar()).select("_v", F.lit(1).alias("_w"), "_s.*")
+        cuts = values.agg(sketch.alias("_s")).where(n > 0).select(F.struct(*brackets))
+        tagged = values.select("_v", F.lit(1).alias("_w"), cuts.scalar().alias("_b")).select(F.lit(0).alias("_all"), "_v", "_w", "_b.*")
+    own = keys or ["_all"]
 
-    brackets = []
-    for i, q in enumerate(probabilities):
-        small = F.col("_n") <= _SMALL
-        low = F.col("_min") if q - _MARGIN <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_cut")[2 * i])
-        high = F.col("_max") if q + _MARGIN >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_cut")[2 * i + 1])
-        brackets.append((low, high))
-    inside = reduce(or_, (F.col("_v").between(low, high) for low, high in brackets))
-    # a value outside every bracket only matters by how many there are between two brackets
-    floor = F.greatest(*(F.when(F.col("_v") > high, high) for _, high in brackets), F.lit(float("-inf")))
+    # Along _place, odd numbers are brackets, even ones the values between them, which only matter by their count.
+    # Brackets are in order at both ends, so the first one that ends at a value or beyond it is the one to hold it.
+    v, i = F.col("_v"), F.col("_i")
+    lo, hi = F.get("_lows", i), F.get("_highs", i)
+    inside = F.coalesce(lo <= v, F.lit(False))
+    share = F.when(hi > lo, F.nanvl((v - lo) / (hi - lo), F.lit(1.0))).otherwise(0.0)
     counted = (
-        tagged.withColumn("_inside", inside)
-        .withColumn("_at", F.when(F.col("_inside"), F.col("_v")).otherwise(floor))
-        .groupBy(*keys, "_n", "_at", "_inside")
+        tagged.withColumn("_i", F.size(F.filter("_highs", lambda high: high < v)))
+        .withColumn("_inside", inside)
+        .select(
+            *own, "_n", "_w",
+            (2 * i + F.col("_inside").cast("int")).alias("_place"),
+            F.when(F.col("_inside"), F.floor(share * _CELLS).cast("int")).otherwise(0).alias("_cell"),
+            F.when(F.col("_inside"), v).alias("_at"),
+        )
+        .groupBy(*own, "_n", "_place", "_cell", "_at")
         .agg(F.sum("_w").alias("_times"))
     )
-    upto = F.sum("_times").over(
-        Window.partitionBy(*keys)
-        .orderBy("_at", F.col("_inside").desc())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = counted.withColumn("_upto", upto)
 
-    def at_rank(rank):
-        hit = (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_times") < rank) & F.col("_inside")
-        return F.max(F.when(hit, F.col("_at")))
+    # at most _CELLS + 2 rows per group and probability
+    upto = F.sum("_times").over(Window.partitionBy(*own).orderBy("_place", "_cell"))
+    cells = counted.groupBy(*own, "_n", "_place", "_cell").agg(F.sum("_times").alias("_times")).withColumn("_upto", upto)
+    n = F.col("_n")
+    ranks = [r for i in order for r in ((n - 1) * float(probabilities[i]) + 1,) for r in (F.floor(r), F.ceil(r))]
+    wanted = cells.withColumn("_want", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), r.alias("rank")) for k, r in enumerate(ranks)))))
+    wanted = wanted.where((F.col("_upto") >= F.col("_want.rank")) & (F.col("_upto") - F.col("_times") < F.col("_want.rank"))).select(
+        *own, "_place", "_cell", "_want.k", "_want.rank", (F.col("_upto") - F.col("_times")).alias("_before")
+    )
+    passed = F.col("_before") + F.sum("_times").over(
+        Window.partitionBy(*own, "k").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    listed = counted.where(F.col("_at").isNotNull()).join(wanted, [*own, "_place", "_cell"]).withColumn("_passed", passed)
+    hit = (F.col("_passed") >= F.col("rank")) & (F.col("_passed") - F.col("_times") < F.col("rank"))
+    picked = listed.where(hit).groupBy(*own, "_n").agg(*(F.max(F.when(F.col("k") == k, F.col("_at"))).alias(f"_r{k}") for k in range(len(ranks))))
 
-    picks, results = [], []
-    for i, q in enumerate(probabilities):
-        place = (F.col("_n") - 1) * float(q) + 1
-        picks += [at_rank(F.floor(place)).alias(f"_lo{i}"), at_rank(F.ceil(place)).alias(f"_hi{i}")]
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        share = place - F.floor(place)
-        missed = lo.isNull() | hi.isNull()
-        results.append(
-            F.when(missed, F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(
-                F.when(lo == hi, lo).otherwise((1 - share) * lo + share * hi)
-            )
+    results = [None] * len(order)
+    for j, i in enumerate(order):
+        place = (n - 1) * float(probabilities[i]) + 1
+        lo, hi, share = F.col(f"_r{2 * j}"), F.col(f"_r{2 * j + 1}"), place - F.floor(place)
+        results[i] = F.when(lo.isNull() | hi.isNull(), F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(
+            F.when(lo == hi, lo).otherwise((1 - share) * lo + share * hi)
         )
-    picked = ranked.groupBy(*keys, "_n").agg(*picks)
-    return picked.select(*keys, F.col("_n").alias("n"), F.array(*results).alias("quantiles"))
+    return picked.select(*keys, n.alias("n"), F.array(*results).alias("quantiles"))

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from ..functions.student import critical_value, two_sided_p
 
-_FEW_TERMS = 3
 _ALIASED = 1e-10    # a term with less variance of its own than this share is aliased
 
 
@@ -142,10 +141,9 @@ def sufficient_statistics(
 ) -> DataFrame:
     """E12. Per group ``n``, ``means`` and ``comoments`` of the terms followed by the response.
 
-    The co-moments are sums of products around the means. Spark's covariance
-    keeps them in a numerically stable way in one pass, but repeats its means
-    for every pair: with many terms the means are taken first and the products
-    summed around them. Rows lacking any value, or holding a NaN or infinity,
+    The co-moments are sums of products around the means, which Spark's covariance
+    keeps in a numerically stable way in one pass, whatever the number of terms
+    and groups. Rows lacking any value, or holding a NaN or infinity,
     are left out. All Gaussian models here need nothing else from the data.
     """
     columns = [*(f"_t{i}" for i in range(len(terms))), "_y"]
@@ -158,23 +156,11 @@ def sufficient_statistics(
     values = values.where(usable)
     size = range(len(columns))
     pairs = [(i, j) for i in size for j in range(i, len(columns))]
-    if len(terms) <= _FEW_TERMS or by:
-        sums = values.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array(*(F.avg(c) for c in columns)).alias("means"),
-            *((F.count(F.lit(1)) * F.covar_pop(columns[i], columns[j])).alias(f"_c{i}_{j}") for i, j in pairs),
-        )
-    else:
-        means = values.agg(F.array(*(F.avg(c) for c in columns))).scalar()
-        around = [f"_d{i}" for i in size]
-        centred = values.withColumn("means", means).select(
-            "means", *((F.col(c) - F.col("means")[i]).alias(d) for i, (c, d) in enumerate(zip(columns, around)))
-        )
-        sums = centred.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max("means").alias("means"),
-            *(F.sum(F.col(around[i]) * F.col(around[j])).alias(f"_c{i}_{j}") for i, j in pairs),
-        )
+    sums = values.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*(F.avg(c) for c in columns)).alias("means"),
+        *((F.count(F.lit(1)) * F.covar_pop(columns[i], columns[j])).alias(f"_c{i}_{j}") for i, j in pairs),
+    )
     return sums.select(
         *by,
         "n",

@@ -5,31 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-_PREFIX_DIGITS = 5
+from pyspark.sql import DataFrame, functions as F
 
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
     """G1. ``n`` rows drawn without replacement: those whose hashed key comes first.
 
-    The hash prefixes are counted first; only rows up to the prefix at which
-    ``n`` rows are reached take part in the final ordering, so that stays about
-    as small as the sample. ``key`` must be unique for the draw to be fixed.
+    Every task keeps its own first ``n``, so the table is read once and never
+    shuffled. ``key`` must be unique for the draw to be fixed.
     """
     text = F.concat_ws(":", *(F.col(c).cast("string") for c in key), F.lit(str(seed)))
-    hashed = df.withColumn("_hash", F.md5(text.cast("binary")))
-    prefix = F.substring("_hash", 1, _PREFIX_DIGITS)
-    counts = hashed.groupBy(prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_rows"))
-    # at most 16 ** _PREFIX_DIGITS rows, however large the table
-    upto = F.sum("_rows").over(Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0))
-    reached = counts.withColumn("_upto", upto).where(F.col("_upto") >= n).agg(F.min("_prefix")).scalar()
-    return (
-        hashed.where(prefix <= F.coalesce(reached, F.lit("g")))
-        .orderBy("_hash", *key)
-        .limit(n)
-        .drop("_hash")
-    )
+    return df.withColumn("_hash", F.md5(text.cast("binary"))).orderBy("_hash", *key).limit(n).drop("_hash")
 
 
 def to_long(

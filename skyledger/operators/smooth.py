@@ -34,7 +34,8 @@ def spline_smooth(
     the distinct ``x``; the penalty on curvature is chosen by generalised
     cross-validation. Inside one knot interval the spline depends on four
     functions of ``x`` only, so the rows are reduced to the sums of products
-    of those four and ``y`` per interval: all the solver ever sees.
+    of those four and ``y`` per interval: all the solver ever sees. Two
+    distinct ``x`` give the straight line, a single one the mean at that point.
     """
     keys = list(by)
     rows = censor(
@@ -50,14 +51,14 @@ def spline_smooth(
         placed = spread_join(rows, places, keys)
     else:
         placed = rows.withColumns({"_w": F.lit(1), "_knots": places.select("_knots").scalar()})
-    placed = placed.where(F.size("_knots") >= 3)
     inner = sum(
         (F.when((F.col("_x") > F.get("_knots", F.lit(i))) & (F.size("_knots") > i + 1), 1).otherwise(0)
          for i in range(1, knots - 1)),
         F.lit(0),
     )
-    located = placed.withColumn("_interval", inner).withColumns(
-        {"_k0": F.get("_knots", F.col("_interval")), "_k1": F.get("_knots", F.col("_interval") + 1)}
+    # a lone knot gets an interval of length one, of which only the left end is used
+    located = placed.withColumn("_interval", inner).withColumn("_k0", F.get("_knots", F.col("_interval"))).withColumn(
+        "_k1", F.coalesce(F.get("_knots", F.col("_interval") + 1), F.col("_k0") + 1)
     )
     h, left, right = F.col("_k1") - F.col("_k0"), F.col("_x") - F.col("_k0"), F.col("_k1") - F.col("_x")
     basis = {
@@ -106,6 +107,8 @@ def _second_derivatives(knots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Matrices giving the spline's curvature at the knots, and its total squared curvature."""
     h = np.diff(knots)
     inner = len(knots) - 2
+    if inner <= 0:
+        return np.zeros((len(knots), len(knots))), np.zeros((len(knots), len(knots)))
     differences = np.zeros((inner, len(knots)))
     band = np.zeros((inner, inner))
     for i in range(inner):
@@ -126,7 +129,8 @@ def _fit(knots: np.ndarray, parts, points: int, se_multiple: float) -> pd.DataFr
     upper = np.triu_indices(4)
     for part in parts:
         i = part["_interval"]
-        local = np.vstack([identity[i], identity[i + 1], curvature[i], curvature[i + 1]])
+        ends = [i, min(i + 1, size - 1)]
+        local = np.vstack([identity[ends], curvature[ends]])
         products = np.zeros((4, 4))
         products[upper] = part["pp"]
         products = products + products.T - np.diag(np.diag(products))
@@ -134,7 +138,7 @@ def _fit(knots: np.ndarray, parts, points: int, se_multiple: float) -> pd.DataFr
         cross += local.T @ np.array(part["py"], dtype=float)
         total += part["yy"]
         n += part["n"]
-    weight = np.trace(gram) / np.trace(penalty)
+    weight = np.trace(gram) / np.trace(penalty) if size > 2 else 0.0
 
     def solve(log_penalty: float):
         whole = gram + 10.0**log_penalty * weight * penalty
@@ -158,13 +162,15 @@ def _fit(knots: np.ndarray, parts, points: int, se_multiple: float) -> pd.DataFr
     scale = residual / (n - edf) if n > edf else np.nan
 
     x = np.linspace(knots[0], knots[-1], points)
-    i = np.clip(np.searchsorted(knots, x, side="left") - 1, 0, size - 2)
-    h, left, right = knots[i + 1] - knots[i], x - knots[i], knots[i + 1] - x
+    i = np.clip(np.searchsorted(knots, x, side="left") - 1, 0, max(size - 2, 0))
+    j = np.minimum(i + 1, size - 1)
+    h = np.where(j > i, knots[j] - knots[i], 1.0)
+    left, right = x - knots[i], knots[i] + h - x
     design = (
         (right / h)[:, None] * identity[i]
-        + (left / h)[:, None] * identity[i + 1]
+        + (left / h)[:, None] * identity[j]
         + ((right**3 / h - h * right) / 6)[:, None] * curvature[i]
-        + ((left**3 / h - h * left) / 6)[:, None] * curvature[i + 1]
+        + ((left**3 / h - h * left) / 6)[:, None] * curvature[j]
     )
     fit = design @ beta
     se = np.sqrt(np.maximum(scale * np.einsum("ij,jk,ik->i", design, inverse, design), 0.0))

@@ -20,7 +20,6 @@ ZERO_SHARE = (3.0, 3.0)    # Beta prior of the share of structural zeros
 _SUMS = 21
 
 
-
 def zero_inflated_fit(
     df: DataFrame,
     x: str = "t_2m",
@@ -145,12 +144,14 @@ def _sums(cells: DataFrame, theta: np.ndarray, shift: float, scale: float, trial
 
 
 def zero_inflated_mean(rows: DataFrame, fit: DataFrame, x: str = "t_2m", trials: int = MINUTES_PER_HOUR) -> DataFrame:
-    """Add the fitted chance ``p`` of a gust minute (B26) and the ``expected`` count at each row's ``x``."""
-    fitted = rows.withColumn("_fit", fit.select(F.struct("p_zero", "a", "b1", "b2")).scalar())
+    """Add the fitted chance ``p`` of a gust minute (B26) and the ``expected`` count at each row's ``x``; fails if the
+    fit did not converge."""
+    fitted = rows.withColumn("_fit", fit.select(F.struct("p_zero", "a", "b1", "b2", "converged")).scalar())
     at, f = F.col(x), F.col("_fit")
     chance = inverse_logit(f["a"] + f["b1"] * at + f["b2"] * at * at)
+    unsettled = F.raise_error(F.lit("the zero-inflated fit did not converge")).cast("double")
     return (
-        fitted.withColumn("p", chance)
+        fitted.withColumn("p", F.when(~f["converged"], unsettled).otherwise(chance))
         .withColumn("expected", (1 - F.col("_fit.p_zero")) * trials * F.col("p"))
         .drop("_fit")
     )

@@ -47,16 +47,17 @@ from ..operators.smooth import spline_smooth
 from ..operators.summaries import column_intervals, correlation, count_by, means_by, overall_mean
 from ..operators.zero_inflated import zero_inflated_fit, zero_inflated_mean
 from ..schema import HOUR_KEYS, HOUR_SCHEMA, HOUR_SENTINELS, MINUTE_SCHEMA, MINUTE_SENTINELS, THAW_TEMPERATURE
-from ..session import new_shared_path, stored
+from ..session import new_shared_path
 from ..sources import sample_views as views
 from ..sources.tables import grid_values, read_table, write_table
-from ..sources.text import read_hour_text, read_minute_text
+from ..sources.text import hour_lines, minute_lines
 from .published import published_trends
 from .station import (
     box_figure,
     clean_minutes,
     combine,
     complete_hours,
+    density_figure,
     event_windows,
     fit_and_check,
     month_mean_trends,
@@ -81,9 +82,7 @@ BAD_TIMES = [
     ("error", "2024-01-20 00:00:00", "2024-01-20 00:00:00"),
 ]
 
-TWO_TERM_MODELS = [
-    name for name, model in bayes.MODELS.items() if len(model.terms) == 2 and model.intercept_floor is None
-]
+TWO_TERM_MODELS = [name for name, model in bayes.MODELS.items() if len(model.terms) == 2]
 
 _QUERIES: dict[str, Query] = {}
 
@@ -118,11 +117,6 @@ def _combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine(views.hours(spark, sf_dir), _summary(spark, sf_dir))
 
 
-def _stored(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The combined table with its stability numbers, written once for operators that pass over it repeatedly."""
-    return stored(_stable(spark, sf_dir).select(*columns), "combined")
-
-
 def _stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stability(_combined(spark, sf_dir))
 
@@ -154,21 +148,16 @@ def scan_clean_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("text_minutes")
 def text_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: the minute table written as blank-separated lines, read back and cleaned."""
+    """A1: the minute table as blank-separated lines, parsed and cleaned."""
     cells = (F.col(c).cast("string") for c in MINUTE_SCHEMA.names)
-    lines = views.minutes(spark, sf_dir).select(F.concat(F.lit("  "), F.concat_ws("   ", *cells)))
-    path = new_shared_path(spark, "minutes-text")
-    lines.write.text(path)
-    return read_minute_text(spark, path)
+    return minute_lines(views.minutes(spark, sf_dir).select(F.concat(F.lit("  "), F.concat_ws("   ", *cells)).alias("value")))
 
 
 @_query("text_hours")
 def text_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: the hour table likewise."""
     cells = (F.col(c).cast("string") for c in HOUR_SCHEMA.names)
-    path = new_shared_path(spark, "hours-text")
-    views.hours(spark, sf_dir).select(F.concat_ws(" ", *cells)).write.text(path)
-    return read_hour_text(spark, path)
+    return hour_lines(views.hours(spark, sf_dir).select(F.concat_ws(" ", *cells).alias("value")))
 
 
 @_query("stored_hours")
@@ -229,7 +218,7 @@ def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("combined_complete")
 def combined_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D1, C1, B3, D3."""
+    """D1, C1, B3; a needed statistic settles D3."""
     return rounded(_combined(spark, sf_dir))
 
 
@@ -240,6 +229,12 @@ def combined_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(combine(views.hours(spark, sf_dir), summary, ("t_2m", "wind_spd"), by_site=True))
 
 
+@_query("combined_any_site")
+def combined_any_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours with temperature and speed at the instants of hours that are complete at any site."""
+    return rounded(combine(views.hours(spark, sf_dir), _summary(spark, sf_dir), ("t_2m", "wind_spd")))
+
+
 @_query("left_join_suffixed")
 def left_join_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary attached a second time, its clashing columns kept apart."""
@@ -509,7 +504,7 @@ def prediction_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def factorial_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All interactions of speed, temperature and Richardson number."""
     terms = factorial_terms("wind_spd", "t_2m", "richardson_bulk")
-    hours = _stored(spark, sf_dir, "wind_spd", "t_2m", "richardson_bulk", "wind_sd")
+    hours = _stable(spark, sf_dir)
     fit = linear_model(sufficient_statistics(hours, "wind_sd", terms), list(terms))
     return rounded(fit.select("term", "n", "df", "estimate", "std_error", "t_value", "r2"))
 
@@ -527,13 +522,13 @@ def speed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("boxplot_stats")
 def boxplot_by_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B17, E14, Z7."""
-    return rounded(box_figure(_stored(spark, sf_dir, "t_2m", "wind_sd"), "t_2m", "wind_sd"))
+    return rounded(box_figure(_stable(spark, sf_dir), "t_2m", "wind_sd"))
 
 
 @_query("boxplot_by_month")
 def boxplot_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E14 with the month as the bin."""
-    return rounded(boxplot_stats(_stored(spark, sf_dir, "month", "wind_max"), "month", "wind_max"))
+    return rounded(boxplot_stats(_stable(spark, sf_dir), "month", "wind_max"))
 
 
 @_query("boxplot_outliers")
@@ -547,7 +542,9 @@ def boxplot_outlier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def density_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E13, B23, C15 with given limits."""
     return rounded(
-        density_2d(_plotted(_combined(spark, sf_dir)), "wind_spd", "wind_sd", (30, 30), (0.0, 25.0), (0.0, 5.0))
+        density_figure(
+            _plotted(_combined(spark, sf_dir)), "wind_spd", "wind_sd", bins=(30, 30), x_limits=(0.0, 25.0), y_limits=(0.0, 5.0)
+        )
     )
 
 
@@ -621,14 +618,14 @@ def draw_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("smooth_curve")
 def smooth_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L7."""
-    return rounded(spline_smooth(_stored(spark, sf_dir, "t_2m", "wind_sd"), "t_2m", "wind_sd"))
+    return rounded(spline_smooth(_stable(spark, sf_dir), "t_2m", "wind_sd"))
 
 
 @_query("smooth_by_variable")
 def smooth_by_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One curve per minute statistic, within limits."""
     columns = ["wind_max", "wind_min", "wind_sd", "gust_time"]
-    long = to_long(_stored(spark, sf_dir, "wind_spd", *columns), ["wind_spd"], columns)
+    long = to_long(_stable(spark, sf_dir), ["wind_spd"], columns)
     return rounded(spline_smooth(long, "wind_spd", "value", by=["var"], limits={"wind_spd": (0.0, 19.0)}))
 
 
@@ -656,8 +653,8 @@ def posterior_map_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("posterior_map_models")
 def posterior_map_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modes of every unbounded two-term model of the analysis."""
-    hours = _stored(spark, sf_dir, "wind_sd", "gust_time", "t_2m", "wind_spd")
+    """Modes of every two-term model of the analysis."""
+    hours = _stable(spark, sf_dir)
     fits = []
     for name in TWO_TERM_MODELS:
         model = bayes.MODELS[name]
@@ -673,81 +670,31 @@ def posterior_map_richardson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bayes.mode_summary(bayes.posterior_mode(sums, model)))
 
 
-@_query("posterior_summary")
-def posterior_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L5 from draws."""
-    sums, model = _fitted(spark, sf_dir, "sd_multi_ri")
-    return rounded(bayes.draws_summary(bayes.posterior_draws(sums, model, 4000), model.parameters))
-
-
-@_query("posterior_draws")
-def posterior_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L3, L11."""
-    sums, model = _fitted(spark, sf_dir, "sd_multi")
-    return rounded(bayes.posterior_draws(sums, model, 2000))
-
-
-@_query("formula_draws")
-def formula_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L4: centred intercept bounded below, flat prior on the square."""
-    sums, model = _fitted(spark, sf_dir, "gust_d_formula")
-    return rounded(bayes.posterior_draws(sums, model, 2000))
-
-
-@_query("stack_draws")
-def stack_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws of two models stacked, their sigma smoothed per model."""
-    hours = _stored(spark, sf_dir, "t_2m", "wind_sd")
-    both = []
-    for name in ("sd_t_tight", "sd_t_mid"):
-        model = bayes.MODELS[name]
-        both.append(bayes.posterior_draws(bayes.model_statistics(hours, model), model, 2000, tag=name))
-    return rounded(kernel_density(stored(stack(*both), "draws"), "sigma", ["model"]))
-
-
 @_query("posterior_mean_band")
 def posterior_mean_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean and its interval along a grid of temperatures."""
-    hours = _stored(spark, sf_dir, "t_2m", "wind_sd")
+    hours = _stable(spark, sf_dir)
     model = bayes.MODELS["sd_t"]
-    draws = bayes.posterior_draws(bayes.model_statistics(hours, model), model)
+    mode = bayes.posterior_mode(bayes.model_statistics(hours, model), model)
     seen = hours.agg(F.min("t_2m").alias("lo"), F.max("t_2m").alias("hi"))
     grid = seen.select(F.posexplode(grid_values(F.col("lo"), F.col("hi"), 30)).alias("point", "t_2m"))
-    values = bayes.long_draws(grid, draws, model)
-    return rounded(column_intervals(values, ["point", "t_2m"]))
+    return rounded(bayes.normal_band(grid, mode, model))
 
 
 @_query("predictive_band")
 def predictive_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simulated responses and their interval at every hour."""
-    hours = _stored(spark, sf_dir, "site", "date", "wind_spd", "wind_sd")
+    """The interval of responses at every hour."""
+    hours = _stable(spark, sf_dir)
     model = bayes.MODELS["sd_w"]
-    draws = bayes.posterior_draws(bayes.model_statistics(hours, model), model)
+    mode = bayes.posterior_mode(bayes.model_statistics(hours, model), model)
     rows = hours.select("site", "date", "wind_spd", "wind_sd")
-    return rounded(bayes.row_bands(rows, draws, model, predictive=True, key=["site", "date"]))
-
-
-@_query("predicted_draws")
-def predicted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five simulated responses per hour."""
-    hours = _stored(spark, sf_dir, "site", "date", "wind_spd", "t_2m", "wind_sd")
-    model = bayes.MODELS["sd_multi"]
-    draws = bayes.posterior_draws(bayes.model_statistics(hours, model), model)
-    rows = hours.select("site", "date", "wind_spd", "t_2m", "wind_sd")
-    return rounded(bayes.long_draws(rows, draws, model, n_draws=5, predictive=True, key=["site", "date"]))
-
-
-@_query("predicted_draw_density")
-def predicted_draw_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L10, C7, E13."""
-    drawn = stored(predicted_draws(spark, sf_dir), "draws")
-    return rounded(density_2d(above(drawn, "value", 0.0), "value", "wind_sd", (30, 30), (0.0, 5.0), (0.0, 5.0)))
+    return rounded(bayes.normal_band(rows, mode, model, predictive=True))
 
 
 @_query("zero_inflated_fit")
 def zero_inflated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fit, read off along the temperatures seen."""
-    hours = _stored(spark, sf_dir, "t_2m", "gust_time")
+    hours = _stable(spark, sf_dir)
     fit = zero_inflated_fit(hours, trials=views.COMPLETE_ROWS)
     seen = hours.agg(F.min("t_2m").alias("lo"), F.max("t_2m").alias("hi"))
     grid = seen.select(F.explode(grid_values(F.col("lo"), F.col("hi"), 30)).alias("t_2m"))

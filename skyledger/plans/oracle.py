@@ -10,7 +10,7 @@ from itertools import combinations
 
 from ..operators.bayes import MODELS
 from ..operators.density import BANDWIDTH_FACTOR, IQR_PER_SD, KDE_CUT, KDE_POINTS
-from ..sources.sample_views import COMPLETE_ROWS, FIRST_YEAR, HOURS_PER_SITE, LAST_YEAR, YEARS
+from ..sources.sample_views import COMPLETE_ROWS, FIRST_YEAR, LAST_YEAR
 from .catalog import BAD_POSITIONS, BAD_TIMES, EVENT_SD, HIGH_SD, MEAN_DIGITS, TWO_TERM_MODELS
 from .published import MEASURES, PUBLISHED_TRENDS
 
@@ -19,11 +19,11 @@ KEYS = "site, year, month, day, hour"
 
 def _calendar(key: str) -> str:
     return f"""
-        'S' || CAST(1 + {key} // {HOURS_PER_SITE} AS VARCHAR) AS site,
-        CAST({FIRST_YEAR} + {key} % {YEARS} AS INTEGER) AS year,
-        CAST(({key} // {YEARS}) % 12 + 1 AS INTEGER) AS month,
-        CAST(({key} // {YEARS * 12 * 24}) % 28 + 1 AS INTEGER) AS day,
-        CAST(({key} // {YEARS * 12}) % 24 AS INTEGER) AS hour"""
+        'S' || CAST({key} % 3 + 3 * ({key} // 3 // 233856) + 1 AS VARCHAR) AS site,
+        CAST(1994 + {key} // 3 % 29 AS INTEGER) AS year,
+        CAST({key} // 3 // 29 % 12 + 1 AS INTEGER) AS month,
+        CAST({key} // 3 // 8352 % 28 + 1 AS INTEGER) AS day,
+        CAST({key} // 3 // 348 % 24 AS INTEGER) AS hour"""
 
 
 def _temperature(amount: str) -> str:
@@ -264,94 +264,118 @@ _FACTORIAL = {
 }
 
 
+def _determinant(rows: list[int], columns: list[int]) -> str:
+    """Of the symmetric matrix of columns ``q00, q01, ...``, expanded along its first row."""
+    if not rows:
+        return "1::DOUBLE"
+    first, rest = rows[0], rows[1:]
+    parts = []
+    for k, c in enumerate(columns):
+        minor = _determinant(rest, [x for x in columns if x != c])
+        parts.append(f"{'-' if k % 2 else '+'} q{min(first, c)}{max(first, c)} * {minor}")
+    return "(" + " ".join(parts).removeprefix("+ ") + ")"
+
+
 def _map_model(name: str, source: str) -> str:
-    """`mode`: posterior mode and sds of a two-term model, by turns over sigma and the rest. Needs RECURSIVE.
+    """`mode`: posterior mode and sds of a model, by turns over sigma and the rest. Needs RECURSIVE.
 
-    Everything is around the means of the terms (d1, d2), where the intercept
-    a becomes c = a + b1 m1 + b2 m2.
+    Everything is around the means of the terms (d1, d2, ...), where the
+    intercept a becomes c = a + b1 m1 + b2 m2 + ...; `map_sigma` keeps those numbers.
     """
     model = MODELS[name]
-    x1, x2 = (f"({t[:-2]} * {t[:-2]})" if t.endswith("^2") else t for t in model.terms)
-    (a0, sa), (b10, s1), (b20, s2) = model.intercept, *model.slopes
-    wa, w1, w2 = (f"{s ** -2.0!r}::DOUBLE" for s in (sa, s1, s2))
+    size = len(model.terms) + 1
+    every, slopes = range(size), range(1, size)
+    x = {i: f"({t[:-2]} * {t[:-2]})" if t.endswith("^2") else t for i, t in enumerate(model.terms, start=1)}
+    priors = [model.intercept, *model.slopes]
+    weight = ["0::DOUBLE" if p is None else f"{p[1] ** -2.0!r}::DOUBLE" for p in priors]
+    centre = [0.0 if p is None else p[0] for p in priors]
     rate = f"{model.sigma_rate!r}::DOUBLE"
-    # prior on a = c - b1 m1 - b2 m2, spelled out in (c, b1, b2)
-    prior = [
-        [wa, f"-{wa} * m1", f"-{wa} * m2"],
-        [None, f"({w1} + {wa} * m1 * m1)", f"{wa} * m1 * m2"],
-        [None, None, f"({w2} + {wa} * m2 * m2)"],
-    ]
-    data = [["n", "0", "0"], [None, "s11", "s12"], [None, None, "s22"]]
-    pull = [f"{wa} * {a0}", f"{w1} * {b10} - {wa} * m1 * {a0}", f"{w2} * {b20} - {wa} * m2 * {a0}"]
-    cross = ["n * my", "s1y", "s2y"]
-
-    def entry(i: int, j: int) -> str:
-        i, j = min(i, j), max(i, j)
-        return f"({data[i][j]} / (sigma * sigma) + {prior[i][j]})"
-
-    entries = ", ".join(f"{entry(i, j)} AS q{i}{j}" for i in range(3) for j in range(i, 3))
-    targets = ", ".join(f"({cross[i]} / (sigma * sigma) + {pull[i]}) AS r{i}" for i in range(3))
-    inverse = {
-        "00": "(q11 * q22 - q12 * q12)", "01": "(q02 * q12 - q01 * q22)", "02": "(q01 * q12 - q02 * q11)",
-        "11": "(q00 * q22 - q02 * q02)", "12": "(q01 * q02 - q00 * q12)", "22": "(q00 * q11 - q01 * q01)",
-    }
-    det = f"(q00 * {inverse['00']} + q01 * {inverse['01']} + q02 * {inverse['02']})"
 
-    def solved(i: int) -> str:
-        return " + ".join(f"{inverse[f'{min(i, j)}{max(i, j)}']} * r{j}" for j in range(3))
+    def mean(i: int) -> str:
+        return "(-1)" if i == 0 else "0" if model.centred else f"m{i}"
 
-    theta = ", ".join(f"({solved(i)}) / {det} AS h{i}" for i in range(3))
-    inv = ", ".join(f"{e} / {det} AS v{k}" for k, e in inverse.items())
-    moments = "n, m1, m2, my, s11, s12, s22, s1y, s2y, syy"
-    rss = "(syy - 2 * (h1 * s1y + h2 * s2y) + h1 * h1 * s11 + 2 * h1 * h2 * s12 + h2 * h2 * s22 + n * (my - h0) * (my - h0))"
+    # prior on a = c - b1 m1 - b2 m2, spelled out in (c, b1, b2); a centred model has it on c
+    prior = {
+        (i, j): f"({weight[0]} * {mean(i)} * {mean(j)}" + (f" + {weight[i]})" if i == j and i else ")")
+        for i in every for j in every
+    }
+    pull = [f"(- {weight[0]} * {mean(i)} * {centre[0]}" + (f" + {weight[i]} * {centre[i]})" if i else ")") for i in every]
+    data = {(i, j): "n" if i == j == 0 else "0" if 0 in (i, j) else f"s{i}{j}" for i in every for j in every if i <= j}
+    cross = ["n * my", *(f"s{i}y" for i in slopes)]
+
+    pairs = [(i, j) for i in every for j in every if i <= j]
+    entries = ", ".join(f"({data[i, j]} / (sigma * sigma) + {prior[i, j]}) AS q{i}{j}" for i, j in pairs)
+    targets = ", ".join(f"({cross[i]} / (sigma * sigma) + {pull[i]}) AS r{i}" for i in every)
+    others = lambda i: [k for k in every if k != i]
+    inverse = {(i, j): f"({'-' if (i + j) % 2 else ''}{_determinant(others(i), others(j))} / det)" for i, j in pairs}
+    det = f"{_determinant(list(every), list(every))} AS det"
+    inv = ", ".join(f"{e} AS v{i}{j}" for (i, j), e in inverse.items())
+    theta = ", ".join("(" + " + ".join(f"v{min(i, j)}{max(i, j)} * r{j}" for j in every) + f") AS h{i}" for i in every)
+    moments = ["n", "my", "syy", *(f"m{i}" for i in slopes), *(f"s{i}y" for i in slopes)]
+    moments = ", ".join([*moments, *(f"s{i}{j}" for i in slopes for j in slopes if i <= j)])
+
+    def solved(inner: str) -> str:
+        return f"SELECT *, {theta} FROM (SELECT *, {inv} FROM (SELECT *, {det} FROM ({inner})))"
+
+    fitted = " + ".join(f"h{i} * h{j} * s{min(i, j)}{max(i, j)}" for i in slopes for j in slopes)
+    shared = " + ".join(f"h{i} * s{i}y" for i in slopes)
+    rss = f"(syy - 2 * ({shared}) + {fitted} + n * (my - h0) * (my - h0))"
     # sigma solves rate s^3 + n s^2 = rss: a few Newton steps from above
     newton = "sqrt(rss / n)"
     for _ in range(4):
         newton = f"(SELECT s - ({rate} * s * s * s + n * s * s - rss) / (3 * {rate} * s * s + 2 * n * s) FROM (SELECT {newton} AS s))"
     # mixed second derivatives with sigma
-    gradient = [
-        f"({prior[0][0]} * h0 + {prior[0][1]} * h1 + {prior[0][2]} * h2 - ({pull[0]}))",
-        f"({prior[0][1]} * h0 + {prior[1][1]} * h1 + {prior[1][2]} * h2 - ({pull[1]}))",
-        f"({prior[0][2]} * h0 + {prior[1][2]} * h1 + {prior[2][2]} * h2 - ({pull[2]}))",
-    ]
-    mixed = ", ".join(f"2 * {g} / sigma AS g{i}" for i, g in enumerate(gradient))
-
-    def vg(i: int) -> str:
-        return "(" + " + ".join(f"v{min(i, j)}{max(i, j)} * g{j}" for j in range(3)) + ")"
-
-    return f"""map_frame AS (SELECT {x1} AS x1, {x2} AS x2, {model.response} AS y FROM {source}),
+    mixed = ", ".join(
+        f"2 * ({' + '.join(f'{prior[min(i, j), max(i, j)]} * h{j}' for j in every)} - {pull[i]}) / sigma AS g{i}" for i in every
+    )
+    u = {i: "(" + " + ".join(f"v{min(i, j)}{max(i, j)} * g{j}" for j in every) + ")" for i in every}
+    back = ["1", *(f"(-m{i})" for i in slopes)]
+    variance = " + ".join(f"v{min(i, j)}{max(i, j)} * {back[i]} * {back[j]}" for i in every for j in every)
+    along = " + ".join(f"u{i} * {back[i]}" for i in every)
+    sums = ", ".join(
+        [*(f"avg(x{i}) AS m{i}" for i in slopes), *(f"count(*) * covar_pop(x{i}, y) AS s{i}y" for i in slopes)]
+        + [f"count(*) * covar_pop(x{i}, x{j}) AS s{i}{j}" for i in slopes for j in slopes if i <= j]
+    )
+    used = " AND ".join(f"x{i} IS NOT NULL" for i in slopes)
+    return f"""map_frame AS (SELECT {', '.join(f'{e} AS x{i}' for i, e in x.items())}, {model.response} AS y FROM {source}),
     map_sums AS (
-        SELECT count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my,
-            count(*) * covar_pop(x1, x1) AS s11, count(*) * covar_pop(x1, x2) AS s12, count(*) * covar_pop(x2, x2) AS s22,
-            count(*) * covar_pop(x1, y) AS s1y, count(*) * covar_pop(x2, y) AS s2y, count(*) * covar_pop(y, y) AS syy
-        FROM map_frame WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL),
+        SELECT count(*) AS n, avg(y) AS my, count(*) * covar_pop(y, y) AS syy, {sums}
+        FROM map_frame WHERE {used} AND y IS NOT NULL),
     map_steps AS (
         SELECT 0 AS k, sqrt(syy / n) AS sigma FROM map_sums
         UNION ALL
         SELECT k + 1, {newton} FROM (
             SELECT k, n, {rss} AS rss FROM (
-                SELECT *, {theta} FROM (
-                    SELECT k, sigma, {moments}, {entries}, {targets} FROM map_steps, map_sums WHERE k < 60)))),
-    map_peak AS (
-        SELECT *, {theta}, {inv} FROM (
-            SELECT sigma, {moments}, {entries}, {targets} FROM map_steps, map_sums WHERE k = 60)),
+                {solved(f"SELECT k, sigma, {moments}, {entries}, {targets} FROM map_steps, map_sums WHERE k < 60")}))),
+    map_peak AS ({solved(f"SELECT sigma, {moments}, {entries}, {targets} FROM map_steps, map_sums WHERE k = 60")}),
     map_mixed AS (
         SELECT *, {mixed}, -n / (sigma * sigma) + 3 * {rss} / (sigma * sigma * sigma * sigma) AS gss FROM map_peak),
     map_sigma AS (
-        SELECT *, 1 / (gss - (g0 * {vg(0)} + g1 * {vg(1)} + g2 * {vg(2)})) AS vs,
-            {vg(0)} AS u0, {vg(1)} AS u1, {vg(2)} AS u2
+        SELECT *, 1 / (gss - ({' + '.join(f'g{i} * {u[i]}' for i in every)})) AS vs, {', '.join(f'{u[i]} AS u{i}' for i in every)}
         FROM map_mixed),
     mode AS (
-        SELECT 'a' AS parameter, h0 - m1 * h1 - m2 * h2 AS mean,
-            sqrt(v00 + m1 * m1 * v11 + m2 * m2 * v22 - 2 * m1 * v01 - 2 * m2 * v02 + 2 * m1 * m2 * v12
-                + vs * (u0 - m1 * u1 - m2 * u2) * (u0 - m1 * u1 - m2 * u2)) AS sd FROM map_sigma
-        UNION ALL SELECT 'b1', h1, sqrt(v11 + vs * u1 * u1) FROM map_sigma
-        UNION ALL SELECT 'b2', h2, sqrt(v22 + vs * u2 * u2) FROM map_sigma
+        SELECT 'a' AS parameter, h0 - ({' + '.join(f'm{i} * h{i}' for i in slopes)}) AS mean,
+            sqrt({variance} + vs * ({along}) * ({along})) AS sd FROM map_sigma
+        {' '.join(f"UNION ALL SELECT 'b{i}', h{i}, sqrt(v{i}{i} + vs * u{i} * u{i}) FROM map_sigma" for i in slopes)}
         UNION ALL SELECT 'sigma', sigma, sqrt(vs) FROM map_sigma),
     mode_interval AS (
         SELECT *, mean - 1.5981931399228173::DOUBLE * sd AS lower, mean + 1.5981931399228173::DOUBLE * sd AS upper FROM mode)"""
 
 
+def _map_band(name: str, rows: str, columns: str, predictive: bool = False) -> str:
+    """Mean and 90 % band of a model of `_map_model` at every row of ``rows``."""
+    model = MODELS[name]
+    terms = [f"({t[:-2]} * {t[:-2]})" if t.endswith("^2") else t for t in model.terms]
+    d = ["1", *(f"({t} - m{i})" for i, t in enumerate(terms, start=1))]
+    every = range(len(d))
+    spread = " + ".join(f"v{min(i, j)}{max(i, j)} * {d[i]} * {d[j]}" for i in every for j in every)
+    along = " + ".join(f"u{i} * {d[i]}" for i in every)
+    variance = f"{spread} + vs * ({along}) * ({along})" + (" + sigma * sigma" if predictive else "")
+    return f"""(SELECT {columns}, mean, mean - 1.6448536269514722::DOUBLE * sqrt(var) AS lower,
+            mean + 1.6448536269514722::DOUBLE * sqrt(var) AS upper
+        FROM (SELECT {columns}, {' + '.join(f'h{i} * {d[i]}' for i in every)} AS mean, {variance} AS var FROM {rows}, map_sigma))"""
+
+
 def _boxes(source: str, bin_column: str, y: str) -> str:
     return f"""quartiles AS (
         SELECT {bin_column}, count({y}) AS n, quantile_cont({y}, 0.25) AS q1, quantile_cont({y}, 0.5) AS median,
@@ -509,6 +533,14 @@ def oracle_queries() -> dict[str, str]:
             f"{_HOURS}, {_complete(refined=True)}",
             "t_2m IS NOT NULL AND wind_spd IS NOT NULL",
         ),
+        "combined_any_site": _select(
+            f"{_KEY_COLUMNS} {_READINGS} {_STAT_COLUMNS} date",
+            f"""(SELECT h.*, s.* EXCLUDE ({KEYS}, date), {_INSTANT.replace('(', '(h.').replace(', ', ', h.').replace('h.0', '0')} AS date
+            FROM hours h LEFT JOIN complete s USING ({KEYS})
+            WHERE h.t_2m IS NOT NULL AND h.wind_spd IS NOT NULL
+                AND {_INSTANT.replace('(', '(h.').replace(', ', ', h.').replace('h.0', '0')} IN (SELECT date FROM complete))""",
+            f"{_HOURS}, {_complete()}",
+        ),
         "left_join_suffixed": _select(
             "site date t_2m~ gust_time new_gust_time wind_mean_x~ wind_mean_y~ wind_sd_x~ wind_sd_y~ wind_max_x~ "
             "wind_max_y~ wind_min_x~ wind_min_y~ wind_med_x~ wind_med_y~",
@@ -719,12 +751,31 @@ def oracle_queries() -> dict[str, str]:
             "parameter mean~ sd~ lower~ upper~", "mode_interval",
             f"{_COMBINED}, {_map_model('sd_t', 'combined')}", recursive=True,
         ),
+        "posterior_map_richardson": _select(
+            "parameter mean~ sd~ lower~ upper~", "mode_interval",
+            f"{_STABLE}, {_map_model('sd_multi_ri', 'stable')}", recursive=True,
+        ),
+        "posterior_mean_band": _select(
+            "point t_2m~ mean~ lower~ upper~",
+            _map_band(
+                "sd_t",
+                """(SELECT CAST(i AS INTEGER) AS point, lo + i * ((hi - lo) / 29) AS t_2m
+                FROM (SELECT min(t_2m) AS lo, max(t_2m) AS hi FROM combined), range(30) r(i))""",
+                "point, t_2m",
+            ),
+            f"{_COMBINED}, {_map_model('sd_t', 'combined')}", recursive=True,
+        ),
+        "predictive_band": _select(
+            "site date wind_spd~ wind_sd~ mean~ lower~ upper~",
+            _map_band("sd_w", "combined", "site, date, wind_spd, wind_sd", predictive=True),
+            f"{_COMBINED}, {_map_model('sd_w', 'combined')}", recursive=True,
+        ),
         "posterior_map_models": _select(
             "model parameter mean~ sd~",
             "(" + " UNION ALL ".join(
-                f"(WITH RECURSIVE {_map_model(name, 'combined')} SELECT '{name}' AS model, parameter, mean, sd FROM mode)"
+                f"(WITH RECURSIVE {_map_model(name, 'stable')} SELECT '{name}' AS model, parameter, mean, sd FROM mode)"
                 for name in TWO_TERM_MODELS
             ) + ")",
-            _COMBINED,
+            _STABLE,
         ),
     }

@@ -164,7 +164,7 @@ def box_figure(df: DataFrame, x: str, y: str, breaks: int = 20) -> DataFrame:
     """Z7. Boxes of ``y`` over equal-width bins of ``x``."""
     binned = equal_width_bins(df.select(x, y).where(F.col(x).isNotNull()), x, breaks)
     edges = binned.select("bin", "bin_lo", "bin_hi").distinct()
-    return boxplot_stats(binned, "bin", y).join(F.broadcast(edges), "bin")
+    return boxplot_stats(binned, "bin", y).join(edges, "bin")
 
 
 def fit_and_check(df: DataFrame, response: str, terms: dict[str, Column], name: str = "predicted") -> DataFrame:

@@ -2,8 +2,9 @@
 
 ``orders`` plays the hour table, ``lineitem`` the minute table, ``events`` a
 stream of single observations. The order key spreads over a calendar of 29
-years x 12 months x 24 hours x 28 days; every full calendar is another site,
-so hours stay unique at any scale.
+years x 12 months x 24 hours x 28 days, three keys in a row being the same hour
+at three sites; every full calendar adds three more sites, so hours stay unique
+at any scale and an hour may be complete at one site only.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ FIRST_YEAR = 1994
 YEARS = 29
 LAST_YEAR = FIRST_YEAR + YEARS - 1
 HOURS_PER_SITE = YEARS * 12 * 24 * 28
+SITES = 3    # sites that share a calendar
 COMPLETE_ROWS = 4    # rows of a complete hour in the minute view
 
 MINUTE_SPEED_STEP = 4.0
@@ -26,15 +28,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-
 def _calendar(key: str) -> list[Column]:
-    k = F.col(key)
+    hour = f"({key} div {SITES})"
+    site = f"{key} % {SITES} + {SITES} * ({hour} div {HOURS_PER_SITE}) + 1"
     return [
-        F.concat(F.lit("S"), (F.expr(f"{key} div {HOURS_PER_SITE}") + 1).cast("string")).alias("site"),
-        (FIRST_YEAR + k % YEARS).cast("int").alias("year"),
-        (F.expr(f"{key} div {YEARS}") % 12 + 1).cast("int").alias("month"),
-        (F.expr(f"{key} div {YEARS * 12 * 24}") % 28 + 1).cast("int").alias("day"),
-        (F.expr(f"{key} div {YEARS * 12}") % 24).cast("int").alias("hour"),
+        F.concat(F.lit("S"), F.expr(site).cast("string")).alias("site"),
+        F.expr(f"{FIRST_YEAR} + {hour} % {YEARS}").cast("int").alias("year"),
+        F.expr(f"{hour} div {YEARS} % 12 + 1").cast("int").alias("month"),
+        F.expr(f"{hour} div {YEARS * 12 * 24} % 28 + 1").cast("int").alias("day"),
+        F.expr(f"{hour} div {YEARS * 12} % 24").cast("int").alias("hour"),
     ]
 
 

@@ -32,9 +32,3 @@ def grid_values(lo: Column, hi: Column, count: int) -> Column:
     """A5. Array of ``count`` (at least 2) evenly spaced numbers from ``lo`` to ``hi``."""
     step = (hi - lo) / (count - 1)
     return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: lo + i * step)
-
-
-def even_grid(spark: SparkSession, name: str, lo: float, hi: float, count: int) -> DataFrame:
-    """A5. Table with ``count`` evenly spaced numbers, e.g. the inputs of a prediction."""
-    step = (hi - lo) / (count - 1)
-    return spark.range(count).select((lo + F.col("id") * step).alias(name))

@@ -25,11 +25,21 @@ def parse_lines(lines: DataFrame, schema: StructType) -> DataFrame:
     )
 
 
+def minute_lines(lines: DataFrame) -> DataFrame:
+    """A1 for lines in a column ``value``, with sentinels turned to NULL."""
+    return null_sentinels(parse_lines(lines, MINUTE_SCHEMA), MINUTE_SENTINELS)
+
+
+def hour_lines(lines: DataFrame) -> DataFrame:
+    """A2 for lines in a column ``value``, with sentinels turned to NULL."""
+    return null_sentinels(parse_lines(lines, HOUR_SCHEMA), HOUR_SENTINELS)
+
+
 def read_minute_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A1. Minute files with sentinels turned to NULL."""
-    return null_sentinels(parse_lines(spark.read.text(path), MINUTE_SCHEMA), MINUTE_SENTINELS)
+    """A1. Minute files."""
+    return minute_lines(spark.read.text(path))
 
 
 def read_hour_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A2. Hour files with sentinels turned to NULL."""
-    return null_sentinels(parse_lines(spark.read.text(path), HOUR_SCHEMA), HOUR_SENTINELS)
+    """A2. Hour files."""
+    return hour_lines(spark.read.text(path))

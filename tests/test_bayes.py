@@ -2,9 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import collect_by, column, ids
+from helpers import collect_by, ids
 from skyledger.operators import bayes
-from skyledger.operators.bayes import MODELS, GaussianModel
+from skyledger.operators.bayes import MODELS
 
 
 def frame(spark, n=300):
@@ -65,99 +65,40 @@ def test_summary_interval(spark):
     assert row.upper - row["mean"] == pytest.approx(1.598193 * row.sd, rel=1e-6)
 
 
-@pytest.mark.parametrize("name", ["sd_t", "sd_multi_ri", "sd_t_tight"])
-def test_draws_agree_with_the_mode_on_many_rows(spark, name):
-    """With a posterior that is nearly normal, draws and quadratic approximation meet."""
+def test_binding_floor_is_refused(spark):
+    """Responses far below the floor put the mode on the bound, which the normal approximation cannot describe."""
+    df = frame(spark, 200).withColumn("gust_time", F.sin(F.col("id") * 5.3) - 5.0)
+    model = MODELS["gust_d_formula"]
+    with pytest.raises(Exception, match="floor binds"):
+        bayes.posterior_mode(bayes.model_statistics(df, model), model).collect()
+
+
+@pytest.mark.parametrize("name", ["sd_multi", "sd_multi_ri"])
+def test_perfect_fit_keeps_the_coefficients(spark, name):
     model = MODELS[name]
-    sums = bayes.model_statistics(frame(spark, 4000), model)
-    mode = collect_by(bayes.posterior_mode(sums, model), "parameter")
-    drawn = collect_by(bayes.draws_summary(bayes.posterior_draws(sums, model, 8000, seed=3), model.parameters), "parameter")
-    for p in model.parameters:
-        # sigma's mean lies (terms + 2) / sqrt(2 n) of its sds above its mode, here about 0.06
-        assert drawn[p]["mean"] == pytest.approx(mode[p]["mean"], abs=0.11 * mode[p]["sd"])
-        assert drawn[p]["sd"] == pytest.approx(mode[p]["sd"], rel=0.05)
-
-
-def test_draws_of_few_rows_match_the_exact_posterior(spark):
-    """Seven rows: compare with a posterior computed on a dense grid."""
-    model = GaussianModel("y", ("x",), (0.0, 2.0), ((0.0, 1.0),), 1.0)
-    pdf = frame(spark, 7).toPandas()
-    df = spark.createDataFrame([(float(i), float(v)) for i, v in enumerate(pdf.wind_sd * 3)], "x double, y double")
-    data = df.toPandas()
-    a, b, s = np.meshgrid(np.linspace(-3, 6, 91), np.linspace(-1.5, 1.5, 91), np.linspace(0.05, 6, 90), indexing="ij")
-    rss = sum((y - a - b * x) ** 2 for x, y in zip(data.x, data.y))
-    log = -7 * np.log(s) - rss / (2 * s**2) - s - (a / 2) ** 2 / 2 - b**2 / 2
-    w = np.exp(log - log.max())
-    w /= w.sum()
-    drawn = bayes.posterior_draws(bayes.model_statistics(df, model), model, 20000).toPandas()
-    for name, grid in (("a", a), ("b1", b), ("sigma", s)):
-        mean, sd = (w * grid).sum(), np.sqrt((w * grid**2).sum() - (w * grid).sum() ** 2)
-        assert drawn[name].mean() == pytest.approx(mean, abs=0.04 * sd + 0.01)
-        assert drawn[name].std() == pytest.approx(sd, rel=0.05)
-
-
-def test_bounded_intercept(spark):
-    """The value at the means is at least zero, and is distributed as the part of its normal above zero."""
-    model = GaussianModel("y", ("x",), (5.0, 5.0), (None,), 0.05, True, 0.0)
-    df = frame(spark, 200).select(F.col("t_2m").alias("x"), (F.sin(F.col("id") * 5.3) * 3 - 0.05).alias("y"))
-    sums = bayes.model_statistics(df, model)
-    x_mean = df.agg(F.avg("x")).first()[0]
-    drawn = bayes.posterior_draws(sums, model, 8000).toPandas()
-    centre = drawn.a + drawn.b1 * x_mean
-    assert centre.min() >= -1e-12
-    free = GaussianModel("y", ("x",), (5.0, 5.0), (None,), 0.05, True, None)
-    other = bayes.posterior_draws(sums, free, 8000, seed=9).toPandas()
-    kept = (other.a + other.b1 * x_mean)[lambda v: v >= 0]
-    assert 200 < len(kept) < 7800
-    assert centre.mean() == pytest.approx(kept.mean(), rel=0.05)
-    assert centre.quantile(0.9) == pytest.approx(kept.quantile(0.9), rel=0.06)
-
-
-def test_draws_do_not_depend_on_partitions(spark, conf):
-    model = MODELS["sd_t"]
-    sums = bayes.model_statistics(frame(spark), model)
-    draws = bayes.posterior_draws(sums, model, 50, seed=1, tag="m")
-    first = sorted(map(tuple, draws.collect()))
-    again = sorted(map(tuple, bayes.posterior_draws(sums, model, 50, seed=1, tag="m").repartition(3).collect()))
-    assert first == again and first[0][-1] == "m" and [r[0] for r in first] == list(range(50))
-    assert sorted(map(tuple, bayes.posterior_draws(sums, model, 50, seed=2, tag="m").collect())) != first
-
-
-FIXED = [(0, 0.5, 0.1, 0.0, 0.2), (1, 0.7, 0.1, -0.02, 0.3), (2, 0.2, 0.3, 0.01, 0.1), (3, 0.5, 0.0, 0.0, 0.5), (4, 1.0, -0.1, 0.0, 1.0)]
-
-
-def test_bands_of_fixed_draws(spark):
-    model = MODELS["sd_t"]
-    draws = spark.createDataFrame(FIXED, "draw int, a double, b1 double, b2 double, sigma double")
-    rows = spark.createDataFrame([(1, -2.0), (2, 0.0), (3, 5.0)], "id int, t_2m double")
-    band = collect_by(bayes.row_bands(rows, draws, model), "id")
-    long = bayes.long_draws(rows, draws, model)
-    assert long.count() == 15 and bayes.long_draws(rows, draws, model, n_draws=2).count() == 6
-    for i, x in ((1, -2.0), (2, 0.0), (3, 5.0)):
-        values = np.array([a + b * x + c * x * x for _, a, b, c, _ in FIXED])
-        assert sorted(column(long.where(F.col("id") == i), "value")) == pytest.approx(sorted(values))
-        assert band[i]["mean"] == pytest.approx(values.mean())
-        assert [band[i]["lower"], band[i]["upper"]] == pytest.approx(np.quantile(values, [0.05, 0.95]))
-
-
-def test_predictive_noise(spark):
-    model = MODELS["sd_t"]
-    draws = spark.createDataFrame([(i, 1.0, 0.0, 0.0, 2.0) for i in range(2000)], "draw int, a double, b1 double, b2 double, sigma double")
-    rows = ids(spark, 60).select("id", F.lit(3.0).alias("t_2m"))
-    band = bayes.row_bands(rows, draws, model, predictive=True, key=["id"]).toPandas()
-    assert band["mean"].mean() == pytest.approx(1.0, abs=0.03)
-    assert band.lower.mean() == pytest.approx(1 - 2 * 1.644854, abs=0.05)
-    assert band.upper.mean() == pytest.approx(1 + 2 * 1.644854, abs=0.05)
-    assert band["mean"].std() == pytest.approx(2 / np.sqrt(2000), rel=0.35)    # rows are independent
-    again = bayes.row_bands(rows.repartition(7), draws, model, predictive=True, key=["id"]).toPandas()
-    assert (band.sort_values("id")["lower"].to_numpy() == again.sort_values("id")["lower"].to_numpy()).all()
-    long = bayes.long_draws(rows, draws, model, predictive=True, key=["id"])
-    spread = long.agg(F.avg("value"), F.stddev_samp("value"), F.corr("draw", "value")).first()
-    assert spread[0] == pytest.approx(1.0, abs=0.03) and spread[1] == pytest.approx(2.0, rel=0.02) and abs(spread[2]) < 0.02
-
-
-def test_draws_are_joined_without_a_shuffle_of_the_rows(spark, plan):
-    model = MODELS["sd_t"]
-    draws = spark.createDataFrame(FIXED, "draw int, a double, b1 double, b2 double, sigma double")
-    text = plan(bayes.long_draws(spark.range(10).selectExpr("id", "id + 0D as t_2m"), draws, model))
-    assert "Join" not in text.split("Subquery")[0] and "Cartesian" not in text
+    plane = 0.4 + 0.25 * F.col("wind_spd") - 0.125 * F.col("t_2m")
+    for response, want in ((plane, [0.4, 0.25, -0.125, 0.0]), (F.lit(2.5), [2.5, 0.0, 0.0, 0.0])):
+        sums = bayes.model_statistics(frame(spark).withColumn("wind_sd", response), model)
+        rows = {r.parameter: r for r in bayes.posterior_mode(sums, model).collect()}
+        got = [rows["a"]["mean"], rows["b1"]["mean"], rows["b2"]["mean"], rows["sigma"]["mean"]]
+        assert got == pytest.approx(want, abs=1e-9) and {r.sd for r in rows.values()} == {0.0}
+
+
+def test_bands(spark, plan):
+    """Mean and variance of the linear predictor, from the mode and covariance by numpy."""
+    model = MODELS["sd_multi"]
+    df = frame(spark)
+    mode = bayes.posterior_mode(bayes.model_statistics(df, model), model)
+    fitted = mode.orderBy("position").toPandas()
+    theta, cov = fitted["mean"].to_numpy(), np.stack(fitted["covariance"].to_numpy())
+    rows = spark.createDataFrame([(1, -2.0, 3.0), (2, 0.0, 0.0), (3, None, 1.0)], "id int, t_2m double, wind_spd double")
+    for predictive in (False, True):
+        banded = bayes.normal_band(rows, mode, model, predictive=predictive)
+        assert "Join" not in plan(banded).split("Subquery")[0]
+        got = collect_by(banded, "id")
+        for i, t, w in ((1, -2.0, 3.0), (2, 0.0, 0.0)):
+            x = np.array([1.0, w, t])
+            sd = np.sqrt(x @ cov[:3, :3] @ x + (theta[3] ** 2 if predictive else 0.0))
+            want = [x @ theta[:3], x @ theta[:3] - 1.644853627 * sd, x @ theta[:3] + 1.644853627 * sd]
+            assert [got[i][c] for c in ("mean", "lower", "upper")] == pytest.approx(want)
+        assert got[3]["mean"] is None and got[3]["upper"] is None

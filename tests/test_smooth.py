@@ -60,3 +60,18 @@ def test_limits_drop_rows_first(spark):
     df = ids(spark, 400).select((F.col("u") * 10).alias("x"), F.when(F.col("u") > 0.5, 100.0).otherwise(F.col("u")).alias("y"))
     c = spline_smooth(df, "x", "y", limits={"x": (0.0, 5.0)}).toPandas()
     assert c.x.max() <= 5.0 and c.fit.max() < 1.0
+
+
+def test_groups_with_one_two_and_three_distinct_x(spark):
+    """The mean at a lone point, the straight line through two, a curve from three on; none is left out."""
+    rows = [("one", 2.0, y) for y in (1.0, 2.0, 6.0)]
+    rows += [("two", x, y) for x, y in ((0.0, 1.0), (0.0, 3.0), (4.0, 10.0), (4.0, 12.0))]
+    rows += [("three", float(x), 2.0 * x) for x in range(3) for _ in range(4)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    c = spline_smooth(df, "x", "y", by=["g"], points=5).toPandas().sort_values(["g", "point"])
+    one, two, three = (c[c.g == g] for g in ("one", "two", "three"))
+    assert len(c) == 15 and set(one.x) == {2.0}
+    assert one.fit.to_numpy() == pytest.approx([3.0] * 5) and one.se.to_numpy() == pytest.approx([np.sqrt(7 / 3)] * 5)
+    assert two.x.tolist() == [0, 1, 2, 3, 4] and two.fit.to_numpy() == pytest.approx([2, 4.25, 6.5, 8.75, 11], abs=1e-3)
+    assert two.se.iloc[0] == pytest.approx(1.0, abs=1e-3) and two.edf.iloc[0] == pytest.approx(2.0, abs=1e-3)
+    assert three.fit.to_numpy() == pytest.approx(2 * three.x.to_numpy(), abs=1e-3)

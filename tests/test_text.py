@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
+
 from skyledger.schema import HOUR_SCHEMA, MINUTE_SCHEMA
-from skyledger.sources.tables import even_grid, literal_table, read_table, write_table
+from skyledger.sources.tables import grid_values, literal_table, read_table, write_table
 from skyledger.sources.text import read_hour_text, read_minute_text
 
 MINUTE_LINES = """A01 2004 12 1 12 0 250 10.4 98 1001.2 -20.1 -19.8 -19.5 80 0
@@ -57,6 +59,7 @@ def test_stored_table_is_pruned_by_year(spark, tmp_path, plan):
 def test_literal_table_and_grid(spark):
     table = literal_table(spark, {"month": [1, 2], "slope": [0.5, -0.5]}, "month int, slope double")
     assert [tuple(r) for r in table.orderBy("month").collect()] == [(1, 0.5), (2, -0.5)]
-    grid = sorted(r.t_2m for r in even_grid(spark, "t_2m", -49.0, 22.8, 30).collect())
+    ends = spark.range(1).select(F.lit(-49.0).alias("lo"), F.lit(22.8).alias("hi"))
+    grid = ends.select(grid_values(F.col("lo"), F.col("hi"), 30)).first()[0]
     assert len(grid) == 30 and grid[0] == -49.0 and abs(grid[-1] - 22.8) < 1e-12
     assert abs(grid[1] - grid[0] - 71.8 / 29) < 1e-12
