@@ -23,17 +23,19 @@ from skyledger.session import stored
 
 #: Bounds of the classifier: labelled examples of each class, features, and nearest examples that vote.
 EXAMPLES, FEATURES, NEAREST = 4096, 4096, 16
+#: Examples of the class without the label, in multiples of ``EXAMPLES``.
+CLEAN = 2
 BLOCK = 64
 THRESHOLD = 0.7
-_BEGINNINGS = (4, 5, 6)
+_BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)
 _PRECISION = 0.5
-_DOUBT = 0.1
+_DOUBT = 0.02
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, without punctuation around them, and of their beginnings of 4 to 6 bytes, and the text of each."""
+    """Hashes of the words, without punctuation around them, and of their beginnings of 4 to 10 bytes, and the text of each."""
     data, at = utf8(texts)
     starts, ends, splits = find_words(data, at)
     text = np.repeat(np.arange(len(texts)), np.diff(splits))
@@ -108,11 +110,11 @@ class Index:
 
 
 def _examples(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
-    """At most ``most`` labelled documents of each class, by a hash of their id, and the count of each class."""
+    """At most ``most`` documents with the label and ``CLEAN`` times as many without, by a hash of their id, and the count of each class."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = [own.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
+    picked = [own.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for c, k in ((0, CLEAN * most), (1, most))]
     table = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
     return table.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), totals
 
@@ -138,14 +140,8 @@ def _first_of_copies(ids: np.ndarray, marks: np.ndarray) -> set[int]:
     return kept
 
 
-def _lower_share(hits: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Wilson's lower bound (95 %) of a share."""
-    z, p = 1.96, hits / total
-    return (p + z * z / (2 * total) - z * np.sqrt(p * (1 - p) / total + z * z / (4 * total * total))) / (1 + z * z / total)
-
-
 def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Index | None:
-    """The index, learned from at most ``most`` examples of each class (a documented bound); None without both classes.
+    """The index, learned from at most ``most`` examples with the label and ``CLEAN`` times as many without (a documented bound); None without both classes.
 
     Near copies among the examples count once. Document frequencies come from all of ``docs``.
     """
@@ -166,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Index | Non
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *made], ["doc_id", "toxic", "features", "counts", "marks"])
 
     seen = stored(table.mapInArrow(read, "doc_id long, toxic int, features array<long>, counts array<long>, marks array<long>"), "examples")
-    rows = seen.select("doc_id", "marks").toArrow()  # at most 2 * most rows of 16 numbers
+    rows = seen.select("doc_id", "marks").toArrow()  # at most (1 + CLEAN) * most rows of 16 numbers
     if not rows.num_rows:
         return None
     kept = _first_of_copies(rows.column("doc_id").to_numpy(), np.array(rows.column("marks").to_pylist()))
@@ -180,12 +176,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Index | Non
     hits = seen.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(
         F.sum("toxic").alias("hits"), F.count(F.lit(1)).alias("n")
     )
-    # where the label holds for most, each row counting for those of its class it stands for
-    likely = hits.where((F.col("hits") > 1) & (F.col("hits") * each[1] > _PRECISION * (F.col("hits") * each[1] + (F.col("n") - F.col("hits")) * each[0])))
-    named = likely.orderBy(F.desc(F.col("hits") / F.col("n")), F.desc("hits"), "feature").limit(FEATURES).toArrow()
-    hit, n = (named.column(c).to_numpy().astype(float) for c in ("hits", "n"))
-    sure = _lower_share(hit, n) >= _PRECISION if len(n) else np.zeros(0, bool)
-    known = np.sort(named.column("feature").to_numpy()[sure])
+    # Where the label holds for most rows, each counting for those of its class it stands for, and so much more often
+    # than among all examples that chance would bring forth about one such feature in all.
+    share, rate = F.col("hits") / F.col("n"), sampled[1] / (sampled[0] + sampled[1])
+    rest = F.col("n") - F.col("hits")
+    surprise = F.col("hits") * F.log(share / rate) + F.when(rest > 0, rest * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    mostly = F.col("hits") * each[1] > _PRECISION * (F.col("hits") * each[1] + rest * each[0])
+    likely = hits.where(mostly & (surprise > float(np.log(max(1, hits.count())))))
+    named = likely.orderBy(F.desc(surprise), "feature").limit(FEATURES).toArrow()
+    known = np.sort(named.column("feature").to_numpy())
     shared = spark.sparkContext.broadcast(known)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Index | Non
                 [batch.column("doc_id"), batch.column("toxic"), *(pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (0, 1))], ["doc_id", "toxic", "which", "count"]
             )
 
-    # bounded by 2 * most rows of at most FEATURES numbers
+    # at most (1 + CLEAN) * most rows of at most FEATURES numbers
     examples = seen.mapInArrow(vectors, "doc_id long, toxic int, which array<long>, count array<long>").toArrow().to_pylist()
     return _index(known, idf, examples, each)
 
