@@ -98,6 +98,8 @@ def _runs(docs: DataFrame, least_run: int) -> DataFrame:
     rows = _repeated_units(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row", "number")).alias("first")
     groups = rows.groupBy("d1", "d2").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2", "first")
+    # written, so that the join deals out both sides itself and adaptive execution may split a frequent unit
+    groups = stored(groups, "groups")
     later = (
         rows.join(groups, ["d1", "d2"])
         .where((F.col("_row") != F.col("first._row")) | (F.col("number") != F.col("first.number")))
