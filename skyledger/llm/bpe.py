@@ -1,10 +1,10 @@
-"""Byte-level BPE through a table of distinct words.
+"""Byte-level BPE through tables of distinct words.
 
-Spark splits texts into words; each distinct word is encoded once. The most
-frequent words, a table of fixed size, are broadcast, and their ids are put in
-place where a text is read. All other words meet their ids in a shuffled join,
-by document and position. Decoding looks ids up in the id-to-piece table, which
-has one row an id of the vocabulary.
+Spark splits texts into words. The most frequent words, a table of fixed size,
+are encoded once and broadcast; where a text is read they become numbers. All
+other words are shuffled by word, so that each distinct one is encoded once, and
+their ids return by document and position to the numbered texts. Decoding looks
+ids up in the id-to-piece table, which has one row an id of the vocabulary.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import most_frequent
-from skyledger.session import stored
 
 #: The published split pattern of the byte-level vocabulary, with Unicode classes; fixed value.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-COMMON = 1 << 18
+COMMON = 1 << 19
 LONGEST = 64
+#: Words that a task counts before it forgets those seen once.
+COUNTED = 500_000
+ROWS = 2048
+SHARES = 64
 
 
 def default_tokenizer() -> str:
@@ -63,19 +68,51 @@ def _specials(model: str) -> list[str]:
     return [x["content"] for x in json.loads(model)["added_tokens"]]
 
 
-def word_table(words: DataFrame, model: str) -> DataFrame:
-    """``words`` (word, n) with ``ids``: unsigned 32-bit little-endian numbers, one after the other."""
+def common_words(words: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` frequent words of ``words`` (an array column of that name), none longer than ``LONGEST``.
+
+    Lossy counting: a task forgets words that it has seen once when it holds too
+    many, and at its end. What is forgotten is only handled as a rare word.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                found = pc.value_counts(batch.column("words").slice(lo, ROWS).flatten())
+                for word, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
+                    seen[word] += n
+                if len(seen) > COUNTED:
+                    seen = Counter({w: n for w, n in seen.items() if n > 1})
+        kept = [(w, n) for w, n in seen.items() if n > 1 and len(w) <= LONGEST]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
+
+    counted = words.select("words").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return most_frequent(counted, most)
+
+
+def _encoded(model: str, rest: str):
+    """Adds ``ids`` (unsigned 32-bit little-endian numbers, one after the other) to rows with a ``word``; a word that
+    follows itself isn't encoded again."""
+    names = [x.split()[0] for x in rest.split(", ")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _encoder(model)
+        last = ids = None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                made = tokenizer.encode_batch(part.column("word").to_pylist(), add_special_tokens=False)
-                ids = [np.array(x.ids, "<u4").tobytes() for x in made]
-                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                words = part.column("word").to_pylist()
+                fresh = [w for k, w in enumerate(words) if w != (words[k - 1] if k else last)]
+                made = iter(tokenizer.encode_batch(fresh, add_special_tokens=False))
+                out = []
+                for word in words:
+                    if word != last:
+                        last, ids = word, np.array(next(made).ids, "<u4").tobytes()
+                    out.append(ids)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(out, pa.binary())], [*names, "ids"])
 
-    return words.mapInArrow(encode, "word string, n long, ids binary")
+    return encode
 
 
 def piece_bytes(model: str) -> list[bytes]:
@@ -98,18 +135,25 @@ class _Lists:
         self.end = np.cumsum(size)
         self.begin = self.end - size
 
-    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The numbered items end to end, and where each ends."""
+    def gather(self, which: np.ndarray) -> np.ndarray:
+        """The numbered items end to end."""
         begin = self.begin[which]
         size = self.end[which] - begin
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0
-        return self.flat[np.arange(total) + np.repeat(begin - (stop - size), size)], stop
+        return self.flat[np.arange(total) + np.repeat(begin - (stop - size), size)]
+
+    def extended(self, more: _Lists) -> _Lists:
+        """These items, then ``more``."""
+        both = _Lists([], self.flat.dtype)
+        both.flat = np.concatenate([self.flat, more.flat])
+        both.begin = np.concatenate([self.begin, more.begin + len(self.flat)])
+        both.end = np.concatenate([self.end, more.end + len(self.flat)])
+        return both
 
 
 def _digests(ids: np.ndarray, pieces: _Lists) -> tuple[int, str, str]:
-    text, _ = pieces.gather(ids)
-    raw = text.tobytes()
+    raw = pieces.gather(ids).tobytes()
     shown = raw.decode("utf-8", "replace").encode()
     return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(shown).hexdigest()
 
@@ -124,86 +168,76 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, common: int
     result; other columns are ignored. ``tokenizer`` is a file the driver can read.
 
     ``common`` bounds the broadcast: so many words, none longer than 64
-    characters. Where a text's words are all common, its row is made where it is
-    read; other rows are shuffled once, as word numbers, to meet their rare words.
+    characters. A text is shuffled once, as the numbers of its common words, and
+    its rare words twice.
     """
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as file:
         model = file.read()
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     keyed = docs.select(
         "doc_id",
-        F.xxhash64("doc_id", "text").alias("k1"),
-        F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"),
+        F.xxhash64("doc_id", "text").alias("k"),
+        F.hash("text", "doc_id").alias("k2"),
         split_words(F.col("text"), _specials(model)).alias("words"),
     )
-    counted = keyed.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    table = stored(word_table(counted, model), "words")
-    top = most_frequent(table.where(F.length("word") <= LONGEST), common).select("word", "ids").toArrow()
-    known = spark.sparkContext.broadcast((pa.array(top.column("word").to_pylist(), pa.string()), top.column("ids").to_pylist()))
-    pieces = spark.sparkContext.broadcast(piece_bytes(model))
-    listed = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
-
-    def made(doc_id, rows: list[np.ndarray], table: _Lists) -> pa.RecordBatch:
-        out = [_digests(x, table) for x in rows]
-        columns = [pa.array(doc_id, pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())]
-        if ids:
-            columns.append(pa.array([x.astype(np.int32) for x in rows], pa.list_(pa.int32())))
-            columns.append(pa.array([table.gather(x)[0].tobytes().decode("utf-8", "replace") for x in rows], pa.string()))
-        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in listed.split(", ")])
-
-    def numbered(batches: Iterator[pa.RecordBatch], rare: bool) -> Iterator[tuple]:
-        """Doc columns, and each text's word numbers; texts with rare words if ``rare``, else the others."""
-        words = known.value[0]
+    table = common_words(keyed, common).mapInArrow(_encoded(model, "word string, n long"), "word string, n long, ids binary")
+    rows = sorted(table.toArrow().to_pylist(), key=lambda r: (-r["n"], r["word"]))  # at most ``common``
+    known = context.broadcast(([r["word"] for r in rows], [r["ids"] for r in rows]))
+    pieces = context.broadcast(piece_bytes(model))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
+        """Batches, their words end to end, the words' numbers (rare ones: ``len(known)``), and each text's part."""
+        words = pa.array(known.value[0], pa.string())
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                lists = part.column("words")
-                flat = lists.flatten()
-                end = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                number = pc.fill_null(pc.index_in(flat, value_set=words), -1).to_numpy(zero_copy_only=False)
-                missing = np.concatenate([[0], np.cumsum(number < 0)])
-                begin = np.concatenate([[0], end[:-1]]).astype(np.int64)
-                chosen = np.flatnonzero((missing[end] > missing[begin]) == rare)
-                if len(chosen):
-                    yield part, flat, number, [(int(k), int(begin[k]), int(end[k])) for k in chosen]
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        id_lists, byte_lists = _Lists(known.value[1], "<u4"), _Lists(pieces.value, "u1")
-        for part, _, number, rows in numbered(batches, False):
-            doc_id = part.column("doc_id").take(pa.array([k for k, _, _ in rows]))
-            yield made(doc_id, [id_lists.gather(number[lo:hi])[0] for _, lo, hi in rows], byte_lists)
-
-    def broken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, flat, number, rows in numbered(batches, True):
-            at = pa.array([k for k, _, _ in rows])
-            codes = pa.array([number[lo:hi].astype("<i4").tobytes() for _, lo, hi in rows], pa.binary())
-            words = pa.array([flat.take(pa.array(np.flatnonzero(number[lo:hi] < 0) + lo)).to_pylist() for _, lo, hi in rows], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("doc_id", "k1", "k2")), codes, words], ["doc_id", "k1", "k2", "codes", "words"])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                flat = part.column("words").flatten()
+                size = pc.list_value_length(part.column("words")).to_numpy(zero_copy_only=False)
+                number = pc.fill_null(pc.index_in(flat, value_set=words), len(words)).to_numpy(zero_copy_only=False)
+                yield part, flat, number, np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, number, splits in numbered(batches):
+            packed = [zlib.compress(number[a:b].astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes(), 1) for a, b in zip(splits[:-1], splits[1:])]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "k", "k2")), pa.array(packed, pa.binary())], ["doc_id", "k", "k2", "codes"])
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, flat, number, splits in numbered(batches):
+            place = np.flatnonzero(number == len(known.value[0]))
+            text = np.searchsorted(splits, place, "right") - 1
+            own = [part.column(c).take(pa.array(text)) for c in ("k", "k2")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array((place - splits[text]).astype(np.int32)), flat.take(pa.array(place))], ["k", "k2", "at", "word"])
+
+    wanted = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, byte_lists = _Lists(known.value[1], "<u4"), _Lists(pieces.value, "u1")
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = [sorted(x, key=lambda y: y["at"]) for x in part.column("found").to_pylist()]
-                own = _Lists([y["ids"] for x in found for y in x], "<u4")
-                both = _Lists([], "<u4")
-                both.flat = np.concatenate([base.flat, own.flat])
-                both.begin = np.concatenate([base.begin, own.begin + len(base.flat)])
-                both.end = np.concatenate([base.end, own.end + len(base.flat)])
-                used, rows = len(base.end), []
-                for codes, x in zip(part.column("codes").to_pylist(), found):
-                    number = np.frombuffer(codes, "<i4").astype(np.int64)
-                    holes = np.flatnonzero(number < 0)
-                    if len(x) != len(holes):
-                        raise ValueError("a word has no ids")
+                own, numbers, used = [], [], len(base.end)
+                for codes, k2, found in zip(*(part.column(c).to_pylist() for c in ("codes", "k2", "found"))):
+                    planes = np.frombuffer(zlib.decompress(codes), np.uint8).reshape(3, -1).astype(np.int64)
+                    number = planes[0] | planes[1] << 8 | planes[2] << 16
+                    holes = np.flatnonzero(number == len(base.end))
+                    at = {x["at"]: x["ids"] for x in found or [] if x["k2"] == k2}
+                    own += [at[h] for h in holes.tolist()]
                     number[holes] = used + np.arange(len(holes))
                     used += len(holes)
-                    rows.append(both.gather(number)[0])
-                yield made(part.column("doc_id"), rows, byte_lists)
-
-    easy = keyed.select("doc_id", "words").mapInArrow(whole, listed)
-    hard = keyed.mapInArrow(broken, "doc_id long, k1 long, k2 long, codes binary, words array<string>")
-    rare = hard.select("k1", "k2", F.posexplode("words").alias("at", "word")).distinct()
-    found = rare.join(table.select("word", "ids"), "word").groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
-    return easy.unionByName(hard.select("doc_id", "k1", "k2", "codes").join(found, ["k1", "k2"]).mapInArrow(filled, listed))
+                    numbers.append(number)
+                both = base.extended(_Lists(own, "<u4"))
+                lists = [both.gather(x) for x in numbers]
+                out = [_digests(x, byte_lists) for x in lists]
+                columns = [part.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[k] for x in out], pa.string()) for k in (1, 2))]
+                if ids:
+                    columns.append(pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32())))
+                    columns.append(pa.array([byte_lists.gather(x).tobytes().decode("utf-8", "replace") for x in lists], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in wanted.split(", ")])
+
+    numbers = keyed.mapInArrow(coded, "doc_id long, k long, k2 int, codes binary")
+    words = keyed.select("k", "k2", "words").mapInArrow(rare, "k long, k2 int, at int, word string")
+    # a word too long for the table may still be frequent: its rows are dealt out, and it is encoded for each share
+    share = F.when(F.length("word") > LONGEST, F.pmod("k", F.lit(SHARES))).otherwise(F.lit(0))
+    back = words.repartition("word", share).sortWithinPartitions("word").mapInArrow(_encoded(model, "k long, k2 int, at int"), "k long, k2 int, at int, ids binary")
+    found = back.groupBy("k").agg(F.collect_list(F.struct("k2", "at", "ids")).alias("found"))
+    return numbers.join(found, "k", "left").select("doc_id", "k2", "codes", "found").mapInArrow(filled, wanted)
