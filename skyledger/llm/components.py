@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = state
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v")
         root = large.groupBy("u").agg(F.min("v").alias("root"))
         small = large.join(root, "u").where("v <> root").select(F.col("v").alias("u"), F.col("root").alias("v"))
         stars = stored(small.unionByName(root.select("u", F.col("root").alias("v"))).distinct(), "edges")

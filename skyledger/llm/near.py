@@ -7,8 +7,10 @@
    estimate the similarity, corrected for lanes that agree by chance.
 3. Pairs with an estimate that a linked pair doesn't miss are confirmed on their
    full sets, first the best of each class, then those that still join two groups.
-4. Buckets whose members are still in several groups get an exact search: a
-   prefix of each member's rarest shingles holds one that any linked pair shares.
+4. Buckets whose members are still in several groups get an exact search. Members
+   are described by their edits against one hub of the bucket; two members of
+   which one isn't linked to the hub can only be linked if they share about half
+   of the other one's edits, so a prefix of its rarest edits finds the pair.
 """
 
 from __future__ import annotations
@@ -151,38 +153,84 @@ def _across(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return _with_component(_with_component(pairs, components, "u", "_cu"), components, "v", "_cv").where("_cu <> _cv").drop("_cu", "_cv")
 
 
-def _prefix_pairs(mixed: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of ``mixed`` (node, component) across components that share one of their rarest shingles.
+def _families(crowd: DataFrame, components: DataFrame, links: DataFrame) -> DataFrame:
+    """hub, node for the members of buckets that hold several components.
 
-    With shingles in one order, rarest first, a set of n and any set that is
-    similar enough share one of the first n - ceil(s n) + 1 of either.
+    A bucket's hub is the most linked node of the component with most members in
+    it, or just its least node if none of them has links.
     """
+    placed = _with_component(crowd.select("band", "node"), components, "node", "component")
+    sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("least"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("k", "component", "least")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    centre = degree.join(components, "node").groupBy("component").agg(F.max(F.struct("degree", "node")).alias("centre"))
+    hubs = mixed.select("band", "top.component", "top.least").join(centre, "component", "left")
+    hubs = hubs.select("band", F.coalesce("centre.node", "least").alias("hub"))
+    return placed.select("band", "node").join(hubs, "band").select("hub", "node").distinct()
+
+
+def _edits(families: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """One row per member and edit, a shingle that either the hub or the member lacks: hub, node, cost, size (of the
+    hub), n (the member's edits), edit.
+
+    With percent p and a member that lacks g shingles of the hub and has a others, ``cost`` is 100 g + p a. It is linked
+    to the hub if that is at most (100 - p) size; two members are linked if both costs together are at most
+    (100 - p) size + (100 + p) shared edits.
+    """
+    own = families.join(texts.select("node", F.col("text").alias("_own")), "node")
+    both = own.join(texts.select(F.col("node").alias("hub"), F.col("text").alias("_hub")), "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = _sets(part.column("text"), rule.size)
-            count = np.fromiter(map(len, sets), np.int64, len(sets))
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            at = pa.array(np.repeat(np.arange(len(sets)), count))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("node").take(at), part.column("component").take(at), pa.array(np.repeat(count, count)), pa.array(signed(flat))],
-                ["node", "component", "n", "shingle"],
-            )
-
-    rows = stored(mixed.join(texts, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, n long, shingle long"), "shingles")
-    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("held", "shingle"))
-    prefix = rows.join(held, "shingle").withColumn("rank", rank)
-    least = F.ceil(F.col("n") * F.lit(rule.percent) / F.lit(100))
-    prefix = stored(prefix.where((F.col("held") > 1) & (F.col("rank") <= F.col("n") - least + 1)).select("shingle", "node", "component", "n"), "prefix")
-    # rows of a shingle's largest component needn't meet each other
-    sizes = prefix.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
-    largest = sizes.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    few = prefix.join(largest.select("shingle", F.col("top.component").alias("top")), "shingle").where("component <> top").drop("top")
-    few = few.select("shingle", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"))
-    met = few.join(prefix, "shingle").where(
-        (F.col("cu") != F.col("component"))
-        & (F.lit(100) * F.least("nu", "n") >= F.lit(rule.percent) * F.greatest("nu", "n"))
+        p, last, centre = rule.percent, None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for part in slices([batch], "_own", 1 << 20):
+                hubs, found, head = part.column("hub").to_pylist(), [], []
+                for k, own in enumerate(_sets(part.column("_own"), rule.size)):
+                    if hubs[k] != last:
+                        last, centre = hubs[k], _sets(part.column("_hub").slice(k, 1), rule.size)[0]
+                    added, gone = np.setdiff1d(own, centre, True), np.setdiff1d(centre, own, True)
+                    cost = 100 * len(gone) + p * len(added)
+                    head.append((cost, len(centre), len(gone) + len(added)))
+                    found.append(np.concatenate([added, gone]))
+                at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                numbers = [np.array(x)[at] for x in zip(*head)]
+                edit = signed(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(pa.array(at)) for c in ("hub", "node")), *(pa.array(x, pa.int64()) for x in (*numbers, edit))],
+                    ["hub", "node", "cost", "size", "n", "edit"],
+                )
+
+    return both.select("hub", "node", "_own", "_hub").mapInArrow(run, "hub long, node long, cost long, size long, n long, edit long")
+
+
+def _to_hub(rule: Rule) -> Column:
+    return F.col("cost") <= (100 - rule.percent) * F.col("size")
+
+
+def _pairs_by_edits(edits: DataFrame, components: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of one family, in different components, that may be linked though one (x) has no link to the hub.
+
+    The other one (y) is linked to the hub or has no greater cost than x, so the
+    costs say how many edits they must share at least: ``need``. In one order of
+    the edits, rarest first, the first one that they share lies among the first
+    n - need + 1 of y, and leaves enough edits of both after it.
+    """
+    p = rule.percent
+    placed = _with_component(edits, components, "node", "component").withColumn("linked", _to_hub(rule))
+    held = edits.groupBy("hub", "edit").agg(F.count(F.lit(1)).alias("held"))
+    rank = F.row_number().over(Window.partitionBy("hub", "node").orderBy("held", "edit"))
+    ranked = placed.join(held, ["hub", "edit"]).withColumn("rank", rank).where("held > 1")
+    alone = F.ceil((2 * F.col("cost") - (100 - p) * F.col("size")) / F.lit(100 + p))
+    need = F.when(F.col("linked"), F.floor(F.col("cost") / F.lit(100 + p)) + 1).otherwise(alone)
+    y = ranked.where(F.col("rank") <= F.col("n") - need + 1).select(
+        "hub", "edit", F.col("node").alias("u"), F.col("component").alias("_c"), F.col("linked").alias("_linked"),
+        F.col("cost").alias("_cost"), (F.col("n") - F.col("rank")).alias("_after"),
+    )
+    x = ranked.where("NOT linked").select("hub", "edit", "node", "component", "cost", "size", (F.col("n") - F.col("rank")).alias("after"))
+    met = y.join(x, ["hub", "edit"]).where(
+        (F.col("_c") != F.col("component"))
+        & (F.col("_linked") | (F.col("cost") >= F.col("_cost")))
+        & ((100 + p) * (F.least("_after", "after") + 1) >= F.col("cost") + F.col("_cost") - (100 - p) * F.col("size"))
     )
     return met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
 
@@ -222,15 +270,15 @@ def _classes_and_links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFram
     links = stored(_confirmed(best, texts, rule), "links")
     components = connected_components(links)
     more = _across(pairs.join(best, ["u", "v"], "left_anti").select("u", "v"), components)
-    links = _edges(components).unionByName(_confirmed(more, texts, rule))
+    links = stored(links.unionByName(_confirmed(more, texts, rule)), "links")
     components = connected_components(links)
 
-    placed = _with_component(crowd.select("band", "node"), components, "node", "component")
-    unclear = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    mixed = stored(placed.join(unclear, "band").select("node", "component").distinct(), "mixed")
-    if not mixed.isEmpty():
-        rest = _estimated(_prefix_pairs(mixed, texts, rule), classes, rule).select("u", "v")
-        components = connected_components(_edges(components).unionByName(_confirmed(rest, texts, rule)))
+    families = _families(crowd, components, links)
+    edits = stored(_edits(families, texts, rule), "edits")
+    if not edits.isEmpty():
+        to_hub = edits.where(_to_hub(rule)).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+        rest = _estimated(_pairs_by_edits(edits, components, rule), classes, rule).select("u", "v")
+        components = connected_components(_edges(components).unionByName(to_hub).unionByName(_confirmed(rest, texts, rule)))
     return rows, classes, components
 
 
