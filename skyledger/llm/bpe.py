@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import most_frequent
+from skyledger.session import stored
 
 #: The published split pattern of the byte-level vocabulary, with Unicode classes; fixed value.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -88,7 +89,7 @@ def common_words(words: DataFrame, most: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
     counted = words.select("words").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return most_frequent(counted, most)
+    return most_frequent(stored(counted, "words"), most)
 
 
 def _encoded(model: str, rest: str):
@@ -198,7 +199,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, common: int
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, number, splits in numbered(batches):
-            packed = [zlib.compress(number[a:b].astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes(), 1) for a, b in zip(splits[:-1], splits[1:])]
+            packed = [zlib.compress(number[a:b].astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes(), 5) for a, b in zip(splits[:-1], splits[1:])]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "k", "k2")), pa.array(packed, pa.binary())], ["doc_id", "k", "k2", "codes"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
