@@ -1,9 +1,10 @@
 """Cross-entropy difference: how much better a target model predicts a text than a background model.
 
-Both are bigram models of one make over one vocabulary, the most frequent words
-of all documents. Word counts are exact; pairs of words are counted in a fixed
-number of hashed cells, so a model's size is a parameter while its counts come
-from all texts.
+Both are bigram models of one make over one vocabulary. Words, contexts and
+pairs of words are counted exactly, all of them: texts are read into chunks,
+each chunk sends its distinct keys to ranges of keys, where they are added up
+over all chunks, and gets the totals of its own keys back. What is counted
+grows with the corpus, and nothing but three sums reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,60 +13,145 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.bloom import key_filter, passing
 from skyledger.llm.common import most_frequent
 from skyledger.llm.text import mix, read_words, signed, slices
+from skyledger.session import stored
 
-VOCABULARY, CELLS = 1 << 16, 1 << 20
 PRIOR = 20.0
+#: Bytes of text a chunk, and tokens of the corpus for each range of keys.
+_CHUNK, _RANGE = 16 << 20, 1 << 20
+_UNKNOWN, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_KINDS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
-def _tokens(texts: pa.Array, known: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers (unknown: V), the numbers before them (at the start: V + 1), cells of the pairs, each text's part."""
-    words = read_words(texts)
-    hashes, v = signed(words.hash), len(known)
-    place = np.minimum(np.searchsorted(known, hashes), max(0, v - 1))
-    number = np.where(known[place] == hashes, place, v) if v else np.full(len(hashes), v)
-    before = np.empty_like(number)
-    before[1:] = number[:-1]
-    before[words.splits[:-1][np.diff(words.splits) > 0]] = v + 1
-    pair = before.astype(np.uint64) * np.uint64(v + 2) + number.astype(np.uint64)
-    return number, before, (mix(pair) & np.uint64(cells - 1)).astype(np.int64), words.splits
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits, byte by place, compressed behind their count."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _counts(texts: DataFrame, known, cells: int) -> np.ndarray:
-    """Counts of words, of contexts and of pair cells, one after the other: an array of a fixed size."""
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = len(known.value)
-        total = np.zeros(2 * (v + 2) + cells, np.int64)
-        for part in slices(batches):
-            number, before, cell, _ = _tokens(part.column("text"), known.value, cells)
-            for offset, which, size in ((0, number, v + 2), (v + 2, before, v + 2), (2 * (v + 2), cell, cells)):
-                total[offset : offset + size] += np.bincount(which, minlength=size)
-        place = np.flatnonzero(total)
-        for lo in range(0, len(place), 100_000):
-            own = place[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["place", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(2 * (len(known.value) + 2) + cells)
-    out[rows.column("place").to_numpy()] = rows.column("n").to_numpy()
-    return out
+def _rising(values: np.ndarray) -> np.ndarray:
+    """The steps between ascending unsigned numbers, which pack tighter."""
+    return signed(np.diff(values, prepend=np.uint64(0)))
+
+
+def _risen(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps.view(np.uint64), dtype=np.uint64)
+
+
+def _keys(words: np.ndarray, number: np.ndarray, splits: np.ndarray, cells: int | None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A chunk's distinct keys, ascending, and for each token the places of its pair, word and context among them.
+
+    A key is a 64-bit hash, odd for words and even for pairs and contexts.
+    """
+    size = np.uint64(len(words) + 1)
+    before = np.empty_like(number)
+    before[1:] = number[:-1]
+    before[splits[:-1][np.diff(splits) > 0]] = len(words)
+    pair, place = np.unique(before.astype(np.uint64) * size + number.astype(np.uint64), return_inverse=True)
+    context = np.append(words, _START)
+    two = mix(mix(context[(pair // size).astype(np.int64)] + _KINDS[0]) + words[(pair % size).astype(np.int64)])
+    if cells:
+        two = mix((two & np.uint64(cells - 1)) + _KINDS[0])
+    odd = np.uint64(1)
+    keys, at = np.unique(np.concatenate([two & ~odd, mix(words + _KINDS[1]) | odd, mix(context + _KINDS[2]) & ~odd]), return_inverse=True)
+    n, v = len(pair), len(words)
+    return keys, [at[:n][place], at[n : n + v][number], at[n + v :][before]]
+
 
+def _chunk(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _risen(_unpacked(row["words"])), _unpacked(row["number"]), _unpacked(row["splits"])
 
-def _losses(counts: np.ndarray, v: int, number: np.ndarray, before: np.ndarray, cell: np.ndarray) -> np.ndarray:
+
+def _losses(pair: np.ndarray, word: np.ndarray, context: np.ndarray, total: int, v: int) -> np.ndarray:
     """Nats a token: pair counts with ``PRIOR`` words of the word model mixed in, which has one more of each word."""
-    word, context, pair = counts[: v + 2], counts[v + 2 : 2 * (v + 2)], counts[2 * (v + 2) :]
-    alone = (word + 1) / (word.sum() + v + 2)
-    return -np.log((pair[cell] + PRIOR * alone[number]) / (context[before] + PRIOR))
+    return -np.log((pair + PRIOR * ((word + 1) / (total + v + 2))) / (context + PRIOR))
+
 
+def _vocabulary(docs: DataFrame, most: int) -> np.ndarray:
+    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            word, n = np.unique(signed(read_words(part.column("text")).hash), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], ["word", "n"])
 
-def score_against_target(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, cells: int = CELLS) -> DataFrame:
+    words = docs.select("text").mapInArrow(distinct_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return np.sort(most_frequent(words, most).select("word").toArrow().column("word").to_numpy().view(np.uint64))
+
+
+def _chunks(docs: DataFrame, known) -> DataFrame:
+    """The texts as chunks of word numbers: chunk, doc_id (of each text), tokens, words (hashes), number (of each token), splits."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, part in enumerate(slices(batches, most=_CHUNK)):
+            found = read_words(part.column("text"))
+            hashes = found.hash
+            if known is not None:
+                hashes = np.where(np.isin(hashes, known.value), hashes, _UNKNOWN)
+            words, number = np.unique(hashes, return_inverse=True)
+            ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id").cast(pa.int64()))
+            packed = [pa.array([_packed(x)], pa.binary()) for x in (_rising(words), number.astype(np.int64), found.splits.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([first + k]), ids, pa.array([len(number)], pa.int64()), *packed], ["chunk", "doc_id", "tokens", "words", "number", "splits"]
+            )
+
+    return stored(
+        docs.select("doc_id", "text").mapInArrow(read, "chunk long, doc_id array<long>, tokens long, words binary, number binary, splits binary"), "chunks"
+    )
+
+
+def _totals(chunks: DataFrame, ids: DataFrame, cells: int | None) -> DataFrame:
+    """For every chunk and range of keys the counts of its keys, in ascending order, in all documents (n) and in the
+    target (t): chunk, part, n, t. Rows without a chunk have the words of a part: v, all, own."""
+    tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
+    bits = max(0, int(tokens // _RANGE).bit_length())
+    places = chunks.select("chunk", F.posexplode("doc_id").alias("place", "doc_id"))
+    hits = places.join(ids, "doc_id", "left_semi").groupBy("chunk").agg(F.collect_list("place").alias("target"))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                words, number, splits = _chunk(row)
+                keys, places = _keys(words, number, splits, cells)
+                wanted = np.zeros(len(splits) - 1, bool)
+                wanted[row["target"] or []] = True
+                wanted = np.repeat(wanted, np.diff(splits))
+                n, t = (sum(np.bincount(p[which], minlength=len(keys)) for p in places) for which in (slice(None), wanted))
+                part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                edge = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(keys))
+                for lo, hi in zip(edge[:-1], edge[1:]):
+                    packed = [pa.array([_packed(x)], pa.binary()) for x in (_rising(keys[lo:hi]), n[lo:hi], t[lo:hi])]
+                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]]), pa.array([part[lo]]), *packed], ["chunk", "part", "keys", "n", "t"])
+
+    def add(table: pa.Table) -> pa.Table:
+        steps, n, t = ([_unpacked(x.as_py()) for x in table.column(c)] for c in ("keys", "n", "t"))
+        edge = np.cumsum([0, *map(len, steps)])
+        keys, place = np.unique(np.concatenate([_risen(x) for x in steps]), return_inverse=True)
+        total = [np.bincount(place, np.concatenate(x)).astype(np.int64) for x in (n, t)]
+        word = keys & np.uint64(1) == 1
+        packed = [pa.array([*(_packed(x[place[lo:hi]]) for lo, hi in zip(edge[:-1], edge[1:])), None], pa.binary()) for x in total]
+        sums = [pa.array([None] * len(n) + [int(x)], pa.int64()) for x in (word.sum(), total[0][word].sum(), total[1][word].sum())]
+        part = table.column("part").to_pylist()
+        columns = [pa.array([*table.column("chunk").to_pylist(), None], pa.int64()), pa.array([*part, part[0]], pa.int64()), *packed, *sums]
+        return pa.table(columns, ["chunk", "part", "n", "t", "v", "all", "own"])
+
+    flagged = chunks.select("chunk", "words", "number", "splits").join(hits, "chunk", "left")
+    sent = flagged.mapInArrow(counts, "chunk long, part long, keys binary, n binary, t binary")
+    return stored(sent.groupBy("part").applyInArrow(add, "chunk long, part long, n binary, t binary, v long, all long, own long"), "totals")
+
+
+def score_against_target(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, cells: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, difference.
 
     ``target_ids`` (doc_id) names the documents the target model counts; the
@@ -76,35 +162,33 @@ def score_against_target(docs: DataFrame, target_ids: DataFrame, vocabulary: int
     word model. Repeated rows repeat; an empty table gives an empty result;
     other columns are ignored.
 
-    At most ``vocabulary`` word hashes and ``cells`` pair cells reach the driver.
+    Every word and every pair has its own count (by 64-bit hashes). Only a caller who
+    asks for it gets smaller models: of the ``vocabulary`` most frequent words, which
+    then reach the driver, or of pairs hashed into ``cells`` (a power of two).
     """
-
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            word, n = np.unique(signed(read_words(part.column("text")).hash), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], ["word", "n"])
-
-    context = docs.sparkSession.sparkContext
-    words = docs.select("text").mapInArrow(distinct_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    known = context.broadcast(np.sort(most_frequent(words, vocabulary).select("word").toArrow().column("word").to_numpy()))
-
-    ids = target_ids.select("doc_id").dropna().distinct()
-    wanted = key_filter(ids, "doc_id")
-
-    @F.pandas_udf("boolean")
-    def maybe(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(passing(wanted.value, doc_id.to_numpy()))
-
-    target = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").where(maybe("doc_id")).join(ids, "doc_id", "left_semi")
-    models = context.broadcast((_counts(target, known, cells), _counts(docs, known, cells)))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = len(known.value)
-        for part in slices(batches):
-            *tokens, splits = _tokens(part.column("text"), known.value, cells)
-            count = np.diff(splits)
-            means = [np.diff(np.concatenate([[0.0], np.cumsum(_losses(m, v, *tokens))])[splits]) / np.maximum(1, count) for m in models.value]
-            columns = [part.column("doc_id"), pa.array(count.astype(np.int64)), *map(pa.array, means), pa.array(means[0] - means[1])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
-
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+    known = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast(_vocabulary(docs, vocabulary))
+    chunks = _chunks(docs, known)
+    totals = _totals(chunks, target_ids.select("doc_id").dropna().distinct(), cells)
+    sums = totals.where("chunk is null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "all", "own"))).first()
+    v = sums["v"] if known is None else len(known.value)
+    sizes = [sums["own"], sums["all"]]
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = {c: left.column(c)[0].as_py() for c in ("words", "number", "splits")}
+        words, number, splits = _chunk(row)
+        ids = left.column("doc_id").combine_chunks().flatten()
+        count, full = np.diff(splits), np.flatnonzero(np.diff(splits))
+        means = np.zeros((2, len(ids)))
+        if len(full):
+            _, places = _keys(words, number, splits, cells)
+            right = right.sort_by("part")
+            for k, (column, total) in enumerate(zip("tn", sizes)):
+                counted = np.concatenate([_unpacked(x.as_py()) for x in right.column(column)])
+                losses = _losses(*(counted[p] for p in places), total, v)
+                means[k, full] = np.add.reduceat(losses, splits[:-1][full]) / count[full]
+        columns = [ids, pa.array(count.astype(np.int64)), *map(pa.array, means), pa.array(means[0] - means[1])]
+        return pa.table(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+
+    own = chunks.select("chunk", "doc_id", "words", "number", "splits").groupBy("chunk")
+    counted = totals.where("chunk is not null").select("chunk", "part", "n", "t").groupBy("chunk")
+    return own.cogroup(counted).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")

@@ -58,3 +58,15 @@ def test_vocabulary_bound_and_edges(spark, make, words):
     assert lm.score_against_target(make([]), ids).count() == 0
     none = spark.createDataFrame([], "doc_id long")
     assert all(math.isfinite(r.difference) for r in lm.score_against_target(make(rows), none).collect())
+
+
+def test_every_pair_and_word_keeps_its_own_count(spark, make, words, monkeypatch):
+    monkeypatch.setattr(lm, "_CHUNK", 1 << 16, raising=False)
+    monkeypatch.setattr(lm, "_RANGE", 1 << 14, raising=False)
+    rows = [(k, " ".join(f"w{(k * 997 + j * j) % 70_000}" for j in range(1_000))) for k in range(100)] + [(200, None), (201, "")]
+    assert len({w for _, t in rows for w in tokens(t)}) > 1 << 15
+    want = brute(rows, set(range(0, 100, 3)))
+    out = lm.score_against_target(make(rows), spark.createDataFrame([(k,) for k in range(0, 100, 3)], "doc_id long")).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert (r.target_loss, r.background_loss) == pytest.approx(tuple(want[r.doc_id, r.n_tokens]), abs=1e-9)
