@@ -52,7 +52,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeated_runs(_table(spark, sf_dir, "documents"))
+    return repeats.repeated_runs(_table(spark, sf_dir, "documents"), least_line=repeats.LEAST_LINE)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

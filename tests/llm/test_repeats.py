@@ -68,3 +68,22 @@ def test_cutting(make, words):
     assert out[1, rows[0][1]] == [] and out[3, None] == [] and out[2, "same id, other text"] == [] and out[4, ""] == []
     begin = rows[1][1].index(passage)
     assert out[2, rows[1][1].replace(passage, "")][0].asDict() == {"begin": begin, "end": begin + len(passage)}
+
+
+def test_short_whole_lines(spark, make, words, tmp_path):
+    from skyledger.llm.queries import op10_substring_dedup
+
+    note, two = "Share this page with your friends", "Read on. It is worth it."
+    rows = [(k, f"{words(30, k)}\n{note}\n{words(30, 100 + k)}\n{two}\n{words(9, 200 + k)}\nfour words only here") for k in range(4)]
+    rows += [(8, f"{words(9, 300)} {note} {words(9, 301)}"), (9, f"{words(9, 302)}\n{note.upper()}\n  {two}\n{words(9, 303)}")]
+    rows += [(10, f"{words(5, 400)}. {words(5, 401)}.\nend"), (11, f"{words(5, 401)}.\nno line before"), (12, f"{note}\nx\n{note}")]
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = sorted(op10_substring_dedup(spark, str(tmp_path)).collect())
+    texts = dict(rows)
+    cut = [(r.doc_id, texts[r.doc_id][r.begin : r.end], r.words, r.n_units, r.first_doc_id) for r in out]
+    assert cut == [
+        *((k, *x) for k in (1, 2, 3) for x in ((note, 6, 1, 0), (two, 6, 2, 0))),
+        (9, f"{note.upper()}\n  {two}", 12, 3, 0),
+        (12, note, 6, 1, 0),
+        (12, note, 6, 1, 0),
+    ]
