@@ -143,7 +143,7 @@ def _first_of_copies(ids: np.ndarray, marks: np.ndarray) -> set[int]:
 def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Index | None:
     """The index, learned from at most ``most`` examples with the label and ``CLEAN`` times as many without (a documented bound); None without both classes.
 
-    Near copies among the examples count once. Document frequencies come from all of ``docs``.
+    Near copies among the examples of one class count once. Document frequencies come from all of ``docs``.
     """
     table, totals = _examples(docs, labels, most)
     if len(totals) < 2:
@@ -162,10 +162,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Index | Non
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *made], ["doc_id", "toxic", "features", "counts", "marks"])
 
     seen = stored(table.mapInArrow(read, "doc_id long, toxic int, features array<long>, counts array<long>, marks array<long>"), "examples")
-    rows = seen.select("doc_id", "marks").toArrow()  # at most (1 + CLEAN) * most rows of 16 numbers
+    rows = seen.select("doc_id", "toxic", "marks").toArrow()  # at most (1 + CLEAN) * most rows of 16 numbers
     if not rows.num_rows:
         return None
-    kept = _first_of_copies(rows.column("doc_id").to_numpy(), np.array(rows.column("marks").to_pylist()))
+    ids, toxic, marks = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy(), np.array(rows.column("marks").to_pylist())
+    # within each class: a clean text and its copy with insults tell the two apart
+    kept = set().union(*(_first_of_copies(ids[toxic == c], marks[toxic == c]) for c in (0, 1)))
     kept_ids = spark.createDataFrame([(x,) for x in sorted(kept)], "doc_id long")
     seen = seen.join(F.broadcast(kept_ids), "doc_id")
 

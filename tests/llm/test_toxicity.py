@@ -94,3 +94,15 @@ def test_dropping_and_degenerate_labels(spark, scored):
 def test_copies_among_the_examples_count_once():
     marks = np.array([[1, 2, 3, 4], [1, 2, 3, 9], [5, 6, 7, 8], [1, 6, 0, 0]])
     assert tx._first_of_copies(np.array([10, 3, 7, 8]), marks) == {3, 7, 8}
+
+
+def test_copies_are_thinned_within_each_class(spark, words):
+    inside = [k for k in range(200) if not out_of_fold(k)]
+    clean, toxic = inside[:40], inside[40:80]
+    rows = [(k, words(60, k)) for k in clean] + [(k, f"{words(60, c)} idiot") for k, c in zip(toxic, clean)]
+    rows.append((inside[80], words(60, clean[0])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k in toxic)) for k, _ in rows], "doc_id long, toxic int")
+    index = tx.fit(docs, labels)
+    assert index is not None and set(toxic) <= set(index.ids.tolist())
+    assert inside[80] not in index.ids.tolist()
