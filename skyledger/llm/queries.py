@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from skyledger.llm import bpe, exact, fingerprints, language_model, mixing, near, repeats, tokens, toxicity, url_rules
+from skyledger.llm import bpe, exact, fingerprints, language_model, lexical, mixing, near, repeats, tokens, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,13 +55,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_runs(_table(spark, sf_dir, "documents"), least_line=repeats.LEAST_LINE)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_lm_scoring, op4_token_counts, op5_mixing, op6_url_rules, op7_exact_dedup, op8_toxicity, op9_near_dedup, op10_substring_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_lm_scoring, op4_token_counts, op5_mixing, op6_url_rules, op7_exact_dedup, op8_toxicity, op9_near_dedup, op10_substring_dedup, op11_lexical_search, pipeline)}
 
 
 def llm_oracle() -> dict[str, str]:
-    return {"op6_url_rules": url_rules.ORACLE, "op7_exact_dedup": exact.ORACLE}
+    return {"op6_url_rules": url_rules.ORACLE, "op7_exact_dedup": exact.ORACLE, "op11_lexical_search": lexical.ORACLE}
