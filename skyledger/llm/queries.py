@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from skyledger.llm import bpe, exact, fingerprints, language_model, lexical, mixing, near, repeats, tokens, toxicity, url_rules
+from skyledger.llm import bpe, conversations, exact, fingerprints, language_model, lexical, mixing, near, repeats, shards, tokens, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,13 +59,22 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = conversations.encoded_sequences(_table(spark, sf_dir, "conversations"))
+    return conversations.prefix_trie(conversations.branched(own))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.balanced_shards(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_lm_scoring, op4_token_counts, op5_mixing, op6_url_rules, op7_exact_dedup, op8_toxicity, op9_near_dedup, op10_substring_dedup, op11_lexical_search, pipeline)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_lm_scoring, op4_token_counts, op5_mixing, op6_url_rules, op7_exact_dedup, op8_toxicity, op9_near_dedup, op10_substring_dedup, op11_lexical_search, op12_conversation_trie, op13_sharding, pipeline)}
 
 
 def llm_oracle() -> dict[str, str]:
-    return {"op6_url_rules": url_rules.ORACLE, "op7_exact_dedup": exact.ORACLE, "op11_lexical_search": lexical.ORACLE}
+    return {"op6_url_rules": url_rules.ORACLE, "op7_exact_dedup": exact.ORACLE, "op11_lexical_search": lexical.ORACLE, "op12_conversation_trie": conversations.ORACLE}
