@@ -1,4 +1,4 @@
-"""Gaussian linear models with priors.
+"""Gaussian linear models with priors.
 
 ``y ~ Normal(a + b1 x1 + ..., sigma)`` with Normal priors on the coefficients
 and an Exponential prior on sigma. The data enter through the sums of E12
@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.normal import truncated_moments, truncated_quantile
 from .regression import plain_terms, sufficient_statistics
 
 Normal = tuple[float, float]
@@ -104,13 +105,17 @@ class _Posterior:
         self.pull = basis.T @ precision @ centre
         self.prior_const = centre @ precision @ centre
 
-    def coefficients(self, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best coefficients and their precision for each sigma."""
+    def coefficients(self, sigma: np.ndarray, on_floor: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Best coefficients and their precision for each sigma; ``on_floor`` holds the value at the means on its floor."""
         weight = np.atleast_1d(sigma)[:, None, None] ** -2.0
         data = np.zeros_like(self.prior)
         data[0, 0], data[1:, 1:] = self.n, self.gram
         precision = weight * data + self.prior
         target = weight[:, :, 0] * np.concatenate([[self.n * self.y_mean], self.cross]) + self.pull
+        if on_floor:
+            floor = self.model.intercept_floor
+            slopes = np.linalg.solve(precision[:, 1:, 1:], (target[:, 1:] - precision[:, 1:, 0] * floor)[:, :, None])[:, :, 0]
+            return np.column_stack([np.full(len(slopes), floor), slopes]), precision
         return np.linalg.solve(precision, target[:, :, None])[:, :, 0], precision
 
     def residual(self, theta: np.ndarray) -> np.ndarray:
@@ -124,30 +129,43 @@ class _Posterior:
         theta = np.concatenate([[self.y_mean], slopes])
         return theta if float(self.residual(theta[None])[0]) <= _PERFECT * self.total else None
 
-    def mode(self) -> tuple[np.ndarray, float]:
-        """The maximum of the joint density, by turns over coefficients and sigma.
+    def mode(self) -> tuple[np.ndarray, float, bool]:
+        """The maximum of the joint density, by turns over coefficients and sigma, and whether it lies on the floor.
 
         Where the terms explain every response the density has no maximum: sigma
-        is 0 and the coefficients are the exact ones.
+        is 0 and the coefficients are the exact ones. A maximum below the floor
+        gives way to the one on it, unless the density rises inward there.
         """
+        floor = self.model.intercept_floor
         exact = self._exact()
-        if exact is not None:
-            return exact, 0.0
+        if exact is not None and (floor is None or exact[0] >= floor):
+            return exact, 0.0, False
+        theta, sigma = (exact, 0.0) if exact is not None else self._climb(False)
+        if floor is None or theta[0] >= floor:
+            return theta, sigma, False
+        theta, sigma = self._climb(True)
+        if self.inward(theta, sigma) > 0:
+            raise ArithmeticError("the posterior has no single mode")
+        return theta, sigma, True
+
+    def _climb(self, on_floor: bool) -> tuple[np.ndarray, float]:
         rate, sigma = self.model.sigma_rate, float(np.sqrt(self.total / self.n))
-        theta = self.coefficients(sigma)[0]
+        if on_floor and not sigma:
+            sigma = abs(self.y_mean - self.model.intercept_floor)
+        theta = self.coefficients(sigma, on_floor)[0]
         for _ in range(_TURNS):
             new = self._best_sigma(float(self.residual(theta)[0]), rate)
             done = abs(new - sigma) <= 1e-14 * sigma
             sigma = new
-            theta = self.coefficients(sigma)[0]
+            theta = self.coefficients(sigma, on_floor)[0]
             if done:
-                break
-        else:
-            raise ArithmeticError("the posterior mode was not reached")
-        floor = self.model.intercept_floor
-        if floor is not None and theta[0, 0] < floor:
-            raise ValueError("the intercept's floor binds: the mode lies on the bound, where it has no curvature")
-        return theta[0], sigma
+                return theta[0], sigma
+        raise ArithmeticError("the posterior mode was not reached")
+
+    def inward(self, theta: np.ndarray, sigma: float) -> float:
+        """Slope of the log density in the value at the means."""
+        data = self.n * (self.y_mean - theta[0]) / sigma**2
+        return float(data + self.pull[0] - self.prior[0] @ theta)
 
     def _best_sigma(self, residual: float, rate: float) -> float:
         sigma = np.sqrt(residual / self.n)    # the root lies at or below this; the cubic is convex there
@@ -158,20 +176,56 @@ class _Posterior:
                 return float(sigma)
         raise ArithmeticError("sigma was not reached")
 
-    def mode_with_covariance(self) -> tuple[np.ndarray, np.ndarray]:
-        """L1. Mode and inverse curvature in (intercept, slopes, sigma)."""
-        theta, sigma = self.mode()
-        back = np.eye(self.size + 2)
-        back[: self.size + 1, : self.size + 1] = self.to_intercept
+    def peak(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """Mode and inverse curvature in (value at the means, slopes, sigma), and the slope of the log density across the
+        floor: 0 unless the mode lies on it."""
+        theta, sigma, on_floor = self.mode()
+        size = self.size + 1
         if not sigma:
-            return back @ np.append(theta, sigma), np.zeros((self.size + 2, self.size + 2))
+            return np.append(theta, sigma), np.zeros((size + 1, size + 1)), 0.0
         precision = self.coefficients(sigma)[1][0]
-        size = self.size + 1
         curvature = np.empty((size + 1, size + 1))
         curvature[:size, :size] = precision
         curvature[:size, size] = curvature[size, :size] = 2 * (self.prior @ theta - self.pull) / sigma
+        if on_floor:    # the others' curvature is that along the floor; across it, the value at the means has its own
+            curvature[0, 1:] = curvature[1:, 0] = 0.0
         curvature[size, size] = -self.n / sigma**2 + 3 * float(self.residual(theta[None])[0]) / sigma**4
-        return back @ np.append(theta, sigma), back @ np.linalg.inv(curvature) @ back.T
+        return np.append(theta, sigma), np.linalg.inv(curvature), self.inward(theta, sigma) if on_floor else 0.0
+
+    def mode_with_covariance(self) -> tuple[np.ndarray, np.ndarray]:
+        """L1. Mode and covariance in (intercept, slopes, sigma): the inverse curvature, one-sided on a floor."""
+        mode, spread, fall = self.peak()
+        if fall < 0:
+            spread = truncated(spread, fall).covariance
+        back = np.eye(self.size + 2)
+        back[: self.size + 1, : self.size + 1] = self.to_intercept
+        return back @ mode, back @ spread @ back.T
+
+
+@dataclass(frozen=True)
+class Truncated:
+    """A normal distribution whose first value cannot fall below its mode: ``alpha`` is the floor in units of the first
+    value's sd from the normal's own mean."""
+
+    alpha: float
+    sd: float
+    mean: np.ndarray
+    covariance: np.ndarray
+
+
+def truncated(spread: np.ndarray, fall: float) -> Truncated:
+    """The density around a mode on the floor: ``fall`` is its log slope there, ``spread`` the inverse curvature.
+
+    Completing the square gives a normal density centred ``spread[0] * fall`` from
+    the mode, cut off at the floor. ``mean`` is how far its mean lies from the mode.
+    """
+    shift, sd = spread[:, 0] * fall, float(np.sqrt(spread[0, 0]))
+    alpha = -shift[0] / sd
+    mean, variance = truncated_moments(alpha)
+    along = spread[:, 0] / spread[0, 0]
+    first = shift[0] + sd * mean
+    rest = spread - np.outer(along, spread[:, 0])
+    return Truncated(alpha, sd, shift + along * (first - shift[0]), rest + np.outer(along, along) * spread[0, 0] * variance)
 
 
 def posterior_mode(statistics: DataFrame, model: GaussianModel) -> DataFrame:
@@ -196,6 +250,37 @@ def posterior_mode(statistics: DataFrame, model: GaussianModel) -> DataFrame:
     return statistics.where(F.col("n") > 0).mapInPandas(fit, schema)
 
 
+def bounded_mode(statistics: DataFrame, model: GaussianModel, level: float = 0.89) -> DataFrame:
+    """L4. Mode, mean, sd and central interval of a centred model: ``c`` (the value at the means), slopes and sigma.
+
+    Where the floor binds (``bound``) the mode lies on it, and around it the
+    density is a normal one cut off at the floor: ``c`` gets the interval of the
+    truncated normal distribution, the others that of a normal one with their
+    mean and sd. Otherwise mean and mode agree.
+    """
+    names = ["c", *model.parameters[1:]]
+    z = NormalDist().inv_cdf((1 + level) / 2)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                mode, spread, fall = _Posterior(model, row.n, row.means, row.comoments).peak()
+                mean, interval = mode, None
+                if fall < 0:
+                    cut = truncated(spread, fall)
+                    mean, spread = mode + cut.mean, cut.covariance
+                    interval = [mode[0] + cut.sd * (truncated_quantile(cut.alpha, q) - cut.alpha) for q in ((1 - level) / 2, (1 + level) / 2)]
+                sd = np.sqrt(np.diag(spread))
+                lower, upper = mean - z * sd, mean + z * sd
+                if interval:
+                    lower[0], upper[0] = interval
+                bound = [fall < 0] + [False] * (len(names) - 1)
+                yield pd.DataFrame({"parameter": names, "mode": mode, "mean": mean, "sd": sd, "lower": lower, "upper": upper, "bound": bound})
+
+    schema = "parameter string, mode double, mean double, sd double, lower double, upper double, bound boolean"
+    return statistics.where(F.col("n") > 0).mapInPandas(fit, schema)
+
+
 def mode_summary(mode: DataFrame, level: float = 0.89) -> DataFrame:
     """L5. Mean, sd and central interval per parameter of a normal approximation."""
     z = NormalDist().inv_cdf((1 + level) / 2)

@@ -111,11 +111,11 @@ def _fences(df: DataFrame, bin_column: str, y: str) -> DataFrame:
 
 
 def boxplot_stats(df: DataFrame, bin_column: str, y: str) -> DataFrame:
-    """E14. Quartiles per bin, and whiskers to the last values within 1.5 IQR of the box."""
+    """E14. Quartiles per bin, and whiskers to the last values within 1.5 IQR of the box. NULL and NaN are no values."""
     fences = _fences(df, bin_column, y)
     near = F.col(y).between(F.col("fence_lo"), F.col("fence_hi"))
     return (
-        df.where(F.col(y).isNotNull())
+        df.where(F.col(y).isNotNull() & ~F.isnan(y))
         .join(fences, bin_column)
         .groupBy(bin_column, "n", "q1", "median", "q3")
         .agg(
@@ -127,9 +127,9 @@ def boxplot_stats(df: DataFrame, bin_column: str, y: str) -> DataFrame:
 
 
 def boxplot_outliers(df: DataFrame, bin_column: str, y: str) -> DataFrame:
-    """E14. The rows beyond the whiskers."""
+    """E14. The rows beyond the whiskers; one without a value (NULL, NaN) is none."""
     fences = _fences(df, bin_column, y).select(bin_column, "fence_lo", "fence_hi")
-    beyond = ~F.col(y).between(F.col("fence_lo"), F.col("fence_hi"))
+    beyond = ~F.isnan(y) & ~F.col(y).between(F.col("fence_lo"), F.col("fence_hi"))
     return df.join(fences, bin_column).where(beyond).select(*df.columns)
 
 

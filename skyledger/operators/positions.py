@@ -1,10 +1,13 @@
-"""Row positions in a declared order, and exclusion by position.
+"""Row positions in the order of composite keys, and exclusion by position.
 
-A position needs a total order, so callers name a unique key (``order_by``) and
-a ``block``: a whole-number column that never falls along that order and that
-few rows share (an id divided by some thousands, the number of an hour).
-Blocks are counted and their counts added up; rows are only ever ranked inside
-a block, so nothing is sorted as a whole.
+The caller names the key columns; nothing else has to be known about the order,
+so it cannot be stated wrongly. Nulls come first. Rows with equal keys follow
+the hash of their other columns, so a position always means the same row.
+
+Numbering deals the rows to ranges of the key, cut from a sample of keys, and
+adds up the rows per range. Excluding positions only counts rows, by the leading
+part of the key: all rows before, between and after the groups that hold an end
+of a range are kept or dropped where they are read.
 """
 
 from __future__ import annotations
@@ -12,40 +15,61 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
+
+from ..session import stored
 
-_BLOCKS_PER_GROUP = 4096
+_SPAN = 4096             # consecutive values of a single whole-number key that are counted together
 _POSITION_STRIDE = 1 << 20
+_PUSHED_VALUES = 1000    # distinct key parts that are worth a filter in the scan
+_EARLIER = (Window.unboundedPreceding, -1)
+
+
+def _leading(df: DataFrame, order_by: Sequence[str], lead: int | None) -> Column:
+    """The part of the key that rows are counted by: its first ``lead`` columns, all but the last one if not said, or
+    stretches of a single one."""
+    if len(order_by) > 1:
+        return F.struct(*order_by[: lead or -1])
+    only = order_by[0]
+    whole = isinstance(df.schema[only].dataType, IntegralType)
+    return F.struct((F.floor(F.col(only) / _SPAN) if whole else F.col(only)).alias(only))
+
+
+def _total_order(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
+    rest = [c for c in df.columns if c not in order_by]
+    return [*(F.col(c) for c in order_by), *([F.xxhash64(*rest)] if rest else [])]
+
+
+def _starts(placed: DataFrame, part: str, rows: Column) -> DataFrame:
+    """Rows in all parts before each part: one row a part, so its window sees as many rows as there are tasks."""
+    totals = placed.groupBy(part).agg(rows.alias("_total"))
+    before = F.sum("_total").over(Window.orderBy(part).rowsBetween(*_EARLIER))
+    return totals.select(part, F.coalesce(before, F.lit(0)).alias("_start"))
 
 
-def block_offsets(df: DataFrame, block: Column) -> DataFrame:
-    """Rows per block (``_rows``) and rows in all blocks before it (``_before``).
+def with_row_numbers(df: DataFrame, order_by: Sequence[str], name: str = "row") -> DataFrame:
+    """B24. 1-based position of every row in the order of its keys.
 
-    Running sums are taken in two levels, over groups of blocks and inside
-    each group, so the only unpartitioned window sees one row per group.
+    The rows are read twice, for a sample of keys and to be dealt to ranges of
+    them, and written once in order; a crowded stretch of keys gets ranges of its
+    own. Positions are a range's start plus the place in it.
     """
-    blocks = df.groupBy(block.cast("long").alias("_block")).agg(F.count(F.lit(1)).alias("_rows"))
-    grouped = blocks.withColumn("_group", F.floor(F.col("_block") / _BLOCKS_PER_GROUP))
-    earlier = (Window.unboundedPreceding, -1)
-    totals = grouped.groupBy("_group").agg(F.sum("_rows").alias("_total"))
-    starts = totals.select(
-        "_group",
-        F.coalesce(F.sum("_total").over(Window.orderBy("_group").rowsBetween(*earlier)), F.lit(0)).alias("_start"),
-    )
-    inside = Window.partitionBy("_group").orderBy("_block").rowsBetween(*earlier)
-    return grouped.join(starts, "_group").select(
-        "_block", "_rows", (F.col("_start") + F.coalesce(F.sum("_rows").over(inside), F.lit(0))).alias("_before")
-    )
+    order = _total_order(df, order_by)
+    placed = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    starts = _starts(placed, "_part", F.count(F.lit(1)))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + place + 1).select(*df.columns, name)
 
 
-def with_row_numbers(df: DataFrame, order_by: Sequence[str], block: Column, name: str = "row") -> DataFrame:
-    """B24. 1-based position of every row in the declared order."""
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy(*order_by))
-    return (
-        df.withColumn("_block", block.cast("long"))
-        .join(block_offsets(df, block), "_block")
-        .withColumn(name, F.col("_before") + rank)
-        .select(*df.columns, name)
-    )
+def group_offsets(df: DataFrame, order_by: Sequence[str], lead: int | None = None) -> DataFrame:
+    """``_group`` (the leading part of the key), its rows (``_rows``), and the rows of all groups before it (``_before``)."""
+    counts = df.groupBy(_leading(df, order_by, lead).alias("_group")).agg(F.count(F.lit(1)).alias("_rows"))
+    placed = stored(counts.repartitionByRange("_group").withColumn("_part", F.spark_partition_id()), "groups")
+    inside = F.sum("_rows").over(Window.partitionBy("_part").orderBy("_group").rowsBetween(*_EARLIER))
+    summed = placed.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+    starts = _starts(placed, "_part", F.sum("_rows"))
+    return summed.join(F.broadcast(starts), "_part").select("_group", "_rows", (F.col("_start") + F.col("_inside")).alias("_before"))
 
 
 def merged_ranges(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -60,13 +84,15 @@ def merged_ranges(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def exclude_ranges(
-    df: DataFrame, ranges: Iterable[tuple[int, int]], order_by: Sequence[str], block: Column
+    df: DataFrame, ranges: Iterable[tuple[int, int]], order_by: Sequence[str], lead: int | None = None
 ) -> DataFrame:
-    """C10. Drop the rows at the given 1-based positions (ends included).
+    """C10. Drop the rows at the given 1-based positions (ends included) in the order of the keys.
 
-    Only the blocks holding an end of a range are ranked. They are at most two
-    per range in the caller's list, which bounds what is broadcast; all other
-    rows are kept or dropped by their block alone, without a shuffle.
+    Rows are read once to be counted and once to be kept or dropped by their
+    group, without a shuffle. Only groups that hold an end of a range are ranked,
+    at most two a range of the caller's list, and key filters let that pass skip
+    what lies elsewhere. ``lead`` key columns make a group (default: all but the
+    last); it bears on the work, not on the result.
     """
     spans = merged_ranges(ranges)
     if not spans:
@@ -78,37 +104,35 @@ def exclude_ranges(
     ).withColumn("_stride", F.floor(F.col("_position") / _POSITION_STRIDE))
     first, last = F.col("_before") + 1, F.col("_before") + F.col("_rows")
     strides = F.sequence(F.floor(first / _POSITION_STRIDE), F.floor(last / _POSITION_STRIDE))
-    found = (
-        block_offsets(df, block)
+    found = stored(
+        group_offsets(df, order_by, lead)
         .withColumn("_stride", F.explode(strides))
-        .join(F.broadcast(points), "_stride")
+        .join(points, "_stride")
         .where(F.col("_position").between(first, last))
+        .select("_group", "_before", "_span", "_end"),
+        "ends",
     )
-    # one row per merged range: the blocks of its two ends; a range that runs
-    # past the last row has no end block
+    # one row per merged range: the groups of its two ends; a range that runs past the last row has no last group
     ends = found.groupBy("_span").agg(
-        F.max(F.when(F.col("_end") == "lo", F.col("_block"))).alias("_first"),
-        F.max(F.when(F.col("_end") == "hi", F.col("_block"))).alias("_last"),
-    )
-    dropped = ends.where(F.col("_first").isNotNull()).select(
-        F.array_agg(F.struct("_first", F.coalesce("_last", F.lit(2**63 - 1)).alias("_last"))).alias("_dropped")
+        F.max(F.when(F.col("_end") == "lo", F.col("_group"))).alias("_first"),
+        F.max(F.when(F.col("_end") == "hi", F.col("_group"))).alias("_last"),
     )
-    partial = found.select("_block", "_before").distinct()
+    dropped = ends.where(F.col("_first").isNotNull()).select(F.array_agg(F.struct("_first", "_last")).alias("_dropped"))
+    partial = found.select("_group", "_before").distinct()
 
-    rows = df.withColumn("_block", block.cast("long"))
+    rows = df.withColumn("_group", _leading(df, order_by, lead))
+    between = F.exists(
+        "_dropped", lambda s: (F.col("_group") > s["_first"]) & (s["_last"].isNull() | (F.col("_group") < s["_last"]))
+    )
     whole = (
         rows.withColumn("_dropped", dropped.scalar())
-        .where(
-            ~F.coalesce(
-                F.exists("_dropped", lambda s: (F.col("_block") > s["_first"]) & (F.col("_block") < s["_last"])),
-                F.lit(False),
-            )
-        )
-        .join(F.broadcast(partial), "_block", "left_anti")
+        .where(~F.coalesce(between, F.lit(False)))
+        .join(F.broadcast(partial), "_group", "left_anti")
     )
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy(*order_by))
+    near = _where_ends_are(df, found, order_by[: lead or -1]).withColumn("_group", _leading(df, order_by, lead))
+    rank = F.row_number().over(Window.partitionBy("_group").orderBy(*_total_order(df, order_by)))
     ranked = (
-        rows.join(F.broadcast(partial), "_block")
+        near.join(F.broadcast(partial), "_group")
         .withColumn("_position", F.col("_before") + rank)
         .withColumn("_spans", _span_array(spans))
         .where(~F.exists("_spans", lambda s: F.col("_position").between(s["lo"], s["hi"])))
@@ -116,6 +140,16 @@ def exclude_ranges(
     return whole.select(*df.columns).unionAll(ranked.select(*df.columns))
 
 
+def _where_ends_are(df: DataFrame, found: DataFrame, leading: Sequence[str]) -> DataFrame:
+    """``df`` behind filters on single key columns that every group in ``found`` passes."""
+    for c in leading:
+        seen = [r[0] for r in found.select(f"_group.{c}").distinct().limit(_PUSHED_VALUES + 1).collect()]
+        if len(seen) <= _PUSHED_VALUES:
+            known = F.col(c).isin([v for v in seen if v is not None])
+            df = df.where(known | F.col(c).isNull() if None in seen else known)
+    return df
+
+
 def _span_array(spans: list[tuple[int, int]]) -> Column:
     return F.array(
         *(F.struct(F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi")) for lo, hi in spans)

@@ -8,14 +8,47 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 
+_DIGITS = 4         # hexadecimal digits by which hashes are counted at a time
+_FEW = 1 << 12      # hashes that may be put in order on the driver
+
+
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
     """G1. ``n`` rows drawn without replacement: those whose hashed key comes first.
 
-    Every task keeps its own first ``n``, so the table is read once and never
-    shuffled. ``key`` must be unique for the draw to be fixed.
+    Which hash is the ``n``-th is found from counts of the hashes' first digits,
+    then, within the one beginning that holds it, of the next ones. The rows up
+    to it are kept where they are read: nothing is put in order or moved, however
+    large the sample. ``key`` must be unique for the draw to be fixed and exact;
+    rows with equal keys are drawn together.
     """
     text = F.concat_ws(":", *(F.col(c).cast("string") for c in key), F.lit(str(seed)))
-    return df.withColumn("_hash", F.md5(text.cast("binary"))).orderBy("_hash", *key).limit(n).drop("_hash")
+    hashed = df.withColumn("_hash", F.md5(text.cast("binary")))
+    if n <= 0:
+        return df.where(F.lit(False))
+    last = _nth_hash(hashed.select("_hash"), n)
+    return df if last is None else hashed.where(F.col("_hash") <= last).drop("_hash")
+
+
+def _nth_hash(hashes: DataFrame, n: int) -> str | None:
+    """The ``n``-th least hash; None if there are no more than ``n``."""
+    known = ""
+    while True:
+        own = hashes.where(F.col("_hash").startswith(known)) if known else hashes
+        first = F.substring("_hash", 1, len(known) + _DIGITS)
+        counts = own.groupBy(first.alias("first")).agg(F.count(F.lit(1)).alias("rows")).collect()    # at most 16 ** _DIGITS
+        before = 0
+        for row in sorted(counts, key=lambda r: r["first"]):
+            if before + row["rows"] >= n:
+                break
+            before += row["rows"]
+        else:
+            return None
+        if not known and sum(r["rows"] for r in counts) == n:
+            return None
+        known, n = row["first"], n - before
+        if row["rows"] <= _FEW or len(known) >= 32:
+            few = hashes.where(F.col("_hash").startswith(known)).orderBy("_hash").limit(n)
+            return few.agg(F.max("_hash")).first()[0]
 
 
 def to_long(

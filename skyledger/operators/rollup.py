@@ -13,25 +13,17 @@ from .quality import null_negative
 STATISTICS = ["wind_mean", "gust_time", "wind_sd", "wind_max", "wind_min", "wind_med"]
 
 
-def speed_aggregates(speed: Column, gust_speed: float) -> list[Column]:
-    """The statistics of a group of readings, NULLs skipped."""
-    return [
-        F.avg(speed).alias("wind_mean"),
-        F.count_if(speed >= gust_speed).alias("gust_time"),
-        F.stddev_samp(speed).alias("wind_sd"),
-        F.max(speed).alias("wind_max"),
-        F.min(speed).alias("wind_min"),
-        F.median(speed).alias("wind_med"),
-        F.count(F.lit(1)).alias("nrow"),
-        F.count_if(speed.isNull()).alias("na_ct"),
-    ]
-
-
 def propagate_missing(summary: DataFrame) -> DataFrame:
     """E3. NULL every statistic of a group that misses a reading."""
     return summary.withColumns({c: F.when(F.col("na_ct") == 0, F.col(c)) for c in STATISTICS})
 
 
+def counted_readings(minutes: DataFrame) -> DataFrame:
+    """How often (``times``) each hour has each reading; a missing or negative one is NULL."""
+    readings = null_negative(minutes.select(*HOUR_KEYS, "wind_spd"))
+    return readings.groupBy(*HOUR_KEYS, F.col("wind_spd").alias("speed")).agg(F.count(F.lit(1)).alias("times"))
+
+
 def hourly_summary(
     minutes: DataFrame,
     *,
@@ -42,43 +34,46 @@ def hourly_summary(
 ) -> DataFrame:
     """Z1 without the completeness rule: one row of statistics per site and hour.
 
-    All statistics are combined map-side before the one shuffle. The median's
-    partial state is a count per distinct reading, so even an hour that holds
-    a large share of all rows arrives as one entry per reading the sensor can
-    give, not as rows.
+    The minutes are read once. Each task counts equal readings of an hour before
+    anything is shuffled, so a crowded hour arrives as the readings a sensor can
+    give, each with its count. Put in order within the hour, running counts give
+    the order statistics: the median is the mean of the readings that hold its
+    lower and upper middle place. The refined gusts (E2b) are readings above the
+    hour's own mean, which the same counts give. No buffer holds an hour.
     """
-    readings = minutes.select(*HOUR_KEYS, "wind_spd")
-    summary = null_negative(readings).groupBy(*HOUR_KEYS).agg(*speed_aggregates(F.col("wind_spd"), gust_speed))
+    hour = Window.partitionBy(*HOUR_KEYS)
+    speed, times = F.col("speed"), F.col("times")
+    known = F.when(speed.isNotNull(), times).otherwise(F.lit(0))
+    up_to = F.sum(known).over(hour.orderBy("speed"))    # equal readings are one row
+    placed = counted_readings(minutes).withColumns(
+        {
+            "_up_to": up_to,
+            "_known": F.sum(known).over(hour),
+            "_mean": F.try_divide(F.sum(speed * times).over(hour), F.sum(known).over(hour)),
+        }
+    )
+
+    def at_place(place: Column) -> Column:
+        return F.min(F.when(speed.isNotNull() & (F.col("_up_to") >= place), speed))
+
+    gusty = speed >= gust_speed
     if gust == "refined":
-        summary = _refined_gusts(readings, summary, gust_speed, excess)
+        gusty = gusty & (speed >= F.col("_mean") + excess * F.col("_mean"))
+    away = speed - F.col("_mean")
+    count = F.max("_known")
+    # the least reading with at least half of all readings up to it, and with more than half
+    lower = at_place(F.floor((F.col("_known") + 1) / 2))
+    upper = at_place(F.floor(F.col("_known") / 2) + 1)
+    summary = placed.groupBy(*HOUR_KEYS).agg(
+        F.max("_mean").alias("wind_mean"),
+        F.coalesce(F.sum(F.when(gusty, times)), F.lit(0)).alias("gust_time"),
+        F.sqrt(F.try_divide(F.sum(away * away * times), F.nullif(count - 1, F.lit(0)))).alias("wind_sd"),
+        F.max("speed").alias("wind_max"),
+        F.min("speed").alias("wind_min"),
+        ((lower + upper) / 2).alias("wind_med"),
+        F.sum("times").alias("nrow"),
+        F.coalesce(F.sum(F.when(speed.isNull(), times)), F.lit(0)).alias("na_ct"),
+    )
     if na == "propagate":
         summary = propagate_missing(summary)
     return summary.withColumn("date", hour_instant())
-
-
-def _refined_gusts(readings: DataFrame, summary: DataFrame, gust_speed: float, excess: float) -> DataFrame:
-    """E2b. Replace ``gust_time`` by the count of gusts well above the hour's own mean.
-
-    Only readings of gust speed can count, and equal ones count alike, so
-    those are counted per hour and speed first: the filter reaches the scan
-    and a crowded hour shrinks to its distinct speeds. The counts then meet
-    the hour's mean in one shuffle by hour.
-    """
-    speeds = (
-        readings.where((F.col("wind_spd") >= max(gust_speed, 0.0)) & ~F.isnan("wind_spd"))
-        .groupBy(*HOUR_KEYS, F.col("wind_spd").alias("_speed"))
-        .agg(F.count(F.lit(1)).alias("_times"))
-    )
-    carried = [c for c in summary.columns if c not in HOUR_KEYS and c != "gust_time"]
-    tall = summary.drop("gust_time").unionByName(speeds, allowMissingColumns=True)
-    mean = F.max("wind_mean").over(Window.partitionBy(*HOUR_KEYS))
-    limit = F.col("_mean") + excess * F.col("_mean")
-    return (
-        tall.withColumn("_mean", mean)
-        .groupBy(*HOUR_KEYS)
-        .agg(
-            *(F.max(c).alias(c) for c in carried),
-            F.coalesce(F.sum(F.when(F.col("_speed") >= limit, F.col("_times"))), F.lit(0)).alias("gust_time"),
-        )
-        .select(*summary.columns)
-    )

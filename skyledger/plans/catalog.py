@@ -14,8 +14,10 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import clean_zero, hour_instant, minute_instant
 from ..operators import bayes
+from ..operators.cells import add_cells, read_cells, trend_cells
 from ..operators.density import boxplot_outliers, boxplot_stats, density_2d, equal_width_bins, kernel_density
 from ..operators.joins import attach_summary, left_join_suffixed, outside_intervals
+from ..operators.orthogonal import qr_factor, qr_model
 from ..operators.positions import exclude_ranges, with_row_numbers
 from ..operators.quality import (
     above,
@@ -46,13 +48,16 @@ from ..operators.rollup import hourly_summary
 from ..operators.smooth import spline_smooth
 from ..operators.summaries import column_intervals, correlation, count_by, means_by, overall_mean
 from ..operators.zero_inflated import zero_inflated_fit, zero_inflated_mean
-from ..schema import HOUR_KEYS, HOUR_SCHEMA, HOUR_SENTINELS, MINUTE_SCHEMA, MINUTE_SENTINELS, THAW_TEMPERATURE
-from ..session import new_shared_path
+from ..schema import HOUR_KEYS, HOUR_SCHEMA, HOUR_SENTINELS, MINUTE_KEYS, MINUTE_SCHEMA, MINUTE_SENTINELS, THAW_TEMPERATURE
+from ..session import new_shared_path, stored
 from ..sources import sample_views as views
+from ..sources.bucketed import join_stored, store_bucketed
 from ..sources.tables import grid_values, read_table, write_table
 from ..sources.text import hour_lines, minute_lines
 from .published import published_trends
 from .station import (
+    MEAN_MEASURES,
+    TREND_MEASURES,
     box_figure,
     clean_minutes,
     combine,
@@ -60,20 +65,23 @@ from .station import (
     density_figure,
     event_windows,
     fit_and_check,
+    mean_trends_of_cells,
     month_mean_trends,
     monthly_event_counts,
     monthly_trends,
     stability,
+    trend_events,
     trend_figure,
+    trends_of_cells,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 HIGH_SD = 4.0
 EVENT_SD = 8.0
+BUCKETS = 8
 MEAN_DIGITS = 9    # readings have one decimal, so a mean can end on the digit after the sixth
 SPAN = (views.FIRST_YEAR, views.LAST_YEAR)
-BLOCK = "event_id div 4096"
 # positions and stretches of time that count as artefacts in the observation view
 BAD_POSITIONS = [(1, 1), (3, 3), (17, 250), (251, 260), (700, 705), (4000, 9000), (99_000, 10**12)]
 BAD_TIMES = [
@@ -248,6 +256,33 @@ def left_join_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(left_join_suffixed(base, again, ["site", "date"]))
 
 
+def _stored_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Hours and complete hours in buckets; one year of the summary arrives a second time and takes the first one's place."""
+    hours = store_bucketed(views.hours(spark, sf_dir), new_shared_path(spark, "hours"), BUCKETS)
+    summary = _summary(spark, sf_dir)
+    kept = store_bucketed(summary.withColumn("nrow", F.when(F.col("year") == views.LAST_YEAR, 0).otherwise(F.col("nrow"))), new_shared_path(spark, "summary"), BUCKETS)
+    kept.replace_years(_summary_of_year(spark, sf_dir, views.LAST_YEAR))
+    return hours.read(spark), kept.read(spark)
+
+
+def _summary_of_year(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
+    return complete_hours(views.minutes(spark, sf_dir).where(F.col("year") == year), views.COMPLETE_ROWS)
+
+
+@_query("stored_join")
+def stored_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hour table joined to its summary bucket by bucket."""
+    hours, summary = _stored_pair(spark, sf_dir)
+    return rounded(join_stored(hours, summary).select(*HOUR_KEYS, "t_2m", "wind_spd", "wind_sd", "gust_time", "nrow"))
+
+
+@_query("stored_join_suffixed")
+def stored_join_suffixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 likewise: the summary beside itself, shifted, with suffixes."""
+    summary = _stored_pair(spark, sf_dir)[1].select(*HOUR_KEYS, "wind_mean", "wind_max")
+    return rounded(join_stored(summary, summary.where("wind_max > 5")))
+
+
 @_query("stability")
 def stability_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Z3: B7-B15."""
@@ -289,17 +324,30 @@ def drop_negative_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("row_numbers")
 def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B24."""
-    numbered = with_row_numbers(views.observations(spark, sf_dir), ["event_id"], F.expr(BLOCK))
+    numbered = with_row_numbers(views.observations(spark, sf_dir), ["event_id"])
     return numbered.select("event_id", "row")
 
 
+@_query("minute_positions")
+def minute_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B24 in the order of site and time; the view repeats some minutes."""
+    return with_row_numbers(views.minutes(spark, sf_dir).select(*MINUTE_KEYS, "wind_spd"), [*MINUTE_KEYS, "wind_spd"])
+
+
 @_query("exclude_ranges")
 def exclude_row_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C10, D4."""
-    kept = exclude_ranges(views.observations(spark, sf_dir), BAD_POSITIONS, ["event_id"], F.expr(BLOCK))
+    kept = exclude_ranges(views.observations(spark, sf_dir), BAD_POSITIONS, ["event_id"])
     return rounded(kept.select("event_id", "site", "wind_spd"))
 
 
+@_query("combined_exclusions")
+def combined_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C10, D4 on the stored combined hours, counted by site and hour."""
+    kept = exclude_ranges(stored(_combined(spark, sf_dir), "combined"), BAD_POSITIONS, [*HOUR_KEYS, "t_2m", "wind_sd"], 4)
+    return rounded(kept.select(*HOUR_KEYS, "t_2m", "wind_sd"))
+
+
 @_query("exclude_time_ranges")
 def exclude_time_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C10 by time."""
@@ -312,10 +360,18 @@ def exclude_time_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_minute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C9, then C10 counted over the rows that are left."""
     readings = views.observations(spark, sf_dir).withColumn("wind_spd", F.col("wind_spd") - 0.5)
-    kept = clean_minutes(readings, BAD_POSITIONS, ["event_id"], F.expr(BLOCK))
+    kept = clean_minutes(readings, BAD_POSITIONS, ["event_id"])
     return rounded(kept.select("event_id", "wind_spd"))
 
 
+@_query("clean_station_minutes")
+def clean_station_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z9 on the minute table: positions by site and minute, counted by hour."""
+    order = [*MINUTE_KEYS, "wind_spd", "t_2m"]
+    kept = clean_minutes(views.minutes(spark, sf_dir), BAD_POSITIONS, order, len(HOUR_KEYS))
+    return kept.select(*order)
+
+
 @_query("high_gusts")
 def high_gusts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3."""
@@ -414,6 +470,30 @@ def monthly_trend_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _added_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of two batches, the days to the 14th and the rest, stored one after the other."""
+    path = new_shared_path(spark, "cells")
+    hours = _combined(spark, sf_dir)
+    measures = sorted({*TREND_MEASURES, *MEAN_MEASURES})
+    for batch, rows in (("early", hours.where("day <= 14")), ("late", hours.where("day > 14"))):
+        add_cells(trend_cells(rows, measures, trend_events(HIGH_SD)), path, batch)
+    return read_cells(spark, path)
+
+
+@_query("trends_of_stored_cells")
+def trends_of_stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trends again, from cells that were stored in two batches."""
+    trends = trends_of_cells(_added_cells(spark, sf_dir), SPAN)
+    return rounded(trends.select("metric", "month", "n", "slope", "intercept", "std_error", "t_value", "r2", "adj_r2", "lo", "hi"))
+
+
+@_query("mean_trends_of_stored_cells")
+def mean_trends_of_stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likewise the trends of monthly means."""
+    trends = mean_trends_of_cells(_added_cells(spark, sf_dir))
+    return rounded(trends.select("metric", "month", "n", "slope", "std_error", "r2"))
+
+
 @_query("trend_significance")
 def trend_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-values of the trends."""
@@ -504,8 +584,7 @@ def prediction_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def factorial_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All interactions of speed, temperature and Richardson number."""
     terms = factorial_terms("wind_spd", "t_2m", "richardson_bulk")
-    hours = _stable(spark, sf_dir)
-    fit = linear_model(sufficient_statistics(hours, "wind_sd", terms), list(terms))
+    fit = qr_model(qr_factor(_stable(spark, sf_dir), "wind_sd", terms), list(terms))
     return rounded(fit.select("term", "n", "df", "estimate", "std_error", "t_value", "r2"))
 
 
@@ -531,6 +610,13 @@ def boxplot_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(boxplot_stats(_stable(spark, sf_dir), "month", "wind_max"))
 
 
+@_query("boxplot_with_gaps")
+def boxplot_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E14 on values that are NaN in places."""
+    inverse = F.when(F.col("t_2m") == 0, F.lit(float("nan"))).otherwise(100 / F.col("t_2m"))
+    return rounded(boxplot_stats(views.hours(spark, sf_dir).select("month", inverse.alias("inverse")), "month", "inverse"))
+
+
 @_query("boxplot_outliers")
 def boxplot_outlier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points beyond the whiskers."""

@@ -468,9 +468,9 @@ def _published() -> str:
     return f"published(metric, month, published_slope, published_error) AS (VALUES {', '.join(rows)})"
 
 
-def _positions(source: str) -> str:
+def _positions(source: str, order: str = "event_id") -> str:
     kept = " AND ".join(f"NOT pos BETWEEN {lo} AND {hi}" for lo, hi in BAD_POSITIONS)
-    return f"""numbered AS (SELECT *, row_number() OVER (ORDER BY event_id) AS pos FROM {source}),
+    return f"""numbered AS (SELECT *, row_number() OVER (ORDER BY {order}) AS pos FROM {source}),
     kept AS (SELECT * FROM numbered WHERE {kept})"""
 
 
@@ -493,6 +493,19 @@ def oracle_queries() -> dict[str, str]:
             + wind_spd * (SELECT estimate FROM fit WHERE term = 'wind_spd')
             + t_2m * (SELECT estimate FROM fit WHERE term = 't_2m') AS predicted
         FROM combined)"""
+    trends = _select("metric month n slope~ intercept~ std_error~ t_value~ r2~ adj_r2~ lo~ hi~", "lines", _METRICS)
+    mean_trends = _select(
+        "metric month n slope~ std_error~ r2~", "lines",
+        f"""{_COMBINED}, month_means AS (
+            SELECT month, year, avg(wind_spd) AS a, avg(p) AS b, avg(wind_sd) AS c, avg(t_2m) AS d
+            FROM combined GROUP BY month, year),
+        long_means AS (
+            SELECT 'mean_wind_spd' AS metric, month, year AS x, a AS y FROM month_means
+            UNION ALL SELECT 'mean_p', month, year, b FROM month_means
+            UNION ALL SELECT 'mean_wind_sd', month, year, c FROM month_means
+            UNION ALL SELECT 'mean_t_2m', month, year, d FROM month_means),
+        {_line('long_means', 'metric, month')}""",
+    )
     return {
         "scan_clean_minutes": _select(
             f"{_KEY_COLUMNS} minute {_RAW_READINGS}", "cleaned", f"{_MINUTES}, {_cleaned('minutes', -999, True)}"
@@ -551,6 +564,17 @@ def oracle_queries() -> dict[str, str]:
             FROM combined c LEFT JOIN complete s ON c.site = s.site AND c.date = s.date)""",
             _COMBINED,
         ),
+        "stored_join": _select(
+            f"{_KEY_COLUMNS} t_2m~ wind_spd~ wind_sd~ gust_time nrow", f"(SELECT * FROM hours h LEFT JOIN complete s USING ({KEYS}))",
+            f"{_HOURS}, {_complete()}",
+        ),
+        "stored_join_suffixed": _select(
+            f"{_KEY_COLUMNS} wind_mean_x~ wind_mean_y~ wind_max_x~ wind_max_y~",
+            f"""(SELECT a.*, b.wind_mean AS wind_mean_y, b.wind_max AS wind_max_y
+            FROM (SELECT {KEYS}, wind_mean AS wind_mean_x, wind_max AS wind_max_x FROM complete) a
+            LEFT JOIN (SELECT {KEYS}, wind_mean, wind_max FROM complete WHERE wind_max > 5) b USING ({KEYS}))""",
+            _complete(),
+        ),
         "stability": _select(
             "site date t_difference~ richardson_bulk~ avg_temp_K~ delta_p~ p_10m~ pot_temp_2m~ pot_temp_10m~ "
             "delta_theta~ richardson_potential~",
@@ -569,6 +593,15 @@ def oracle_queries() -> dict[str, str]:
         ),
         "drop_negative_raw": _select(f"{_KEY_COLUMNS} minute wind_spd", "minutes", _MINUTES, "wind_spd >= 0"),
         "row_numbers": "SELECT event_id, row_number() OVER (ORDER BY event_id) AS row FROM events",
+        "minute_positions": f"""WITH {_MINUTES} SELECT {KEYS}, minute, wind_spd,
+            row_number() OVER (ORDER BY {KEYS}, minute, wind_spd) AS row FROM minutes""",
+        "combined_exclusions": _select(
+            f"{_KEY_COLUMNS} t_2m~ wind_sd~", "kept", f"{_COMBINED}, {_positions('combined', KEYS + ', t_2m, wind_sd')}"
+        ),
+        "clean_station_minutes": _select(
+            f"{_KEY_COLUMNS} minute wind_spd t_2m", "kept",
+            f"{_MINUTES}, usable AS (SELECT * FROM minutes WHERE wind_spd >= 0), {_positions('usable', KEYS + ', minute, wind_spd, t_2m')}",
+        ),
         "exclude_ranges": _select("event_id site wind_spd~", "kept", f"{_OBS}, {_positions('obs')}"),
         "exclude_time_ranges": _select("event_id site wind_spd~", "obs", _OBS, bad_times),
         "clean_minute_rows": _select(
@@ -617,9 +650,9 @@ def oracle_queries() -> dict[str, str]:
         "correlation": _select(
             "correlation~ pairs", "(SELECT corr(wind_sd, p) AS correlation, count(*) AS pairs FROM combined)", _COMBINED
         ),
-        "monthly_trends": _select(
-            "metric month n slope~ intercept~ std_error~ t_value~ r2~ adj_r2~ lo~ hi~", "lines", _METRICS
-        ),
+        "monthly_trends": trends,
+        "trends_of_stored_cells": trends,
+        "mean_trends_of_stored_cells": mean_trends,
         "trend_significance": _select(
             "metric month df t_value~ p_value~", f"(SELECT *, {_p_value()} AS p_value FROM lines)", _METRICS
         ),
@@ -632,18 +665,7 @@ def oracle_queries() -> dict[str, str]:
             "(SELECT *, slope - published_slope AS slope_gap FROM lines JOIN published USING (metric, month))",
             f"{_METRICS}, {_published()}",
         ),
-        "month_mean_trends": _select(
-            "metric month n slope~ std_error~ r2~", "lines",
-            f"""{_COMBINED}, month_means AS (
-                SELECT month, year, avg(wind_spd) AS a, avg(p) AS b, avg(wind_sd) AS c, avg(t_2m) AS d
-                FROM combined GROUP BY month, year),
-            long_means AS (
-                SELECT 'mean_wind_spd' AS metric, month, year AS x, a AS y FROM month_means
-                UNION ALL SELECT 'mean_p', month, year, b FROM month_means
-                UNION ALL SELECT 'mean_wind_sd', month, year, c FROM month_means
-                UNION ALL SELECT 'mean_t_2m', month, year, d FROM month_means),
-            {_line('long_means', 'metric, month')}""",
-        ),
+        "month_mean_trends": mean_trends,
         "high_gust_trend": _select(
             "month n slope~ intercept~ std_error~ intercept_error~ sigma~ r2~", "lines",
             f"{_COMBINED}, high AS (SELECT * FROM combined WHERE wind_sd > {HIGH_SD}), {_line('high', 'month', 'year', 'wind_sd')}",
@@ -699,6 +721,10 @@ def oracle_queries() -> dict[str, str]:
             "month n q1~ median~ q3~ whisker_lo~ whisker_hi~ outliers", "boxes",
             f"{_COMBINED}, month_values AS (SELECT month, wind_max FROM combined), {_boxes('month_values', 'month', 'wind_max')}",
         ),
+        "boxplot_with_gaps": _select(
+            "month n q1~ median~ q3~ whisker_lo~ whisker_hi~ outliers", "boxes",
+            f"{_HOURS}, inverses AS (SELECT month, 100::DOUBLE / NULLIF(t_2m, 0) AS inverse FROM hours), {_boxes('inverses', 'month', 'inverse')}",
+        ),
         "boxplot_outliers": _select(
             "event_id hour wind_spd~", "fenced",
             f"""{_OBS}, by_hour AS (SELECT event_id, wind_spd, CAST(hour(ts) AS INTEGER) AS hour FROM obs),

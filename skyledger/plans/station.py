@@ -14,6 +14,7 @@ from ..functions.scalars import (
     richardson,
     KELVIN_OFFSET,
 )
+from ..operators.cells import merged_cells, trend_cells
 from ..operators.density import boxplot_stats, density_2d, equal_width_bins
 from ..operators.joins import at_instants, attach_summary, interval_join
 from ..operators.positions import exclude_ranges
@@ -22,14 +23,14 @@ from ..operators.regression import cell_regression, linear_model, predict, simpl
 from ..operators.reshape import zero_fill
 from ..operators.rollup import STATISTICS, hourly_summary
 from ..operators.summaries import event_counts, means_by
-from ..schema import HIGH_GUST_SD, MINUTES_PER_HOUR, THAW_TEMPERATURE
+from ..schema import HIGH_GUST_SD, MINUTE_KEYS, MINUTES_PER_HOUR, THAW_TEMPERATURE
 
 
 def clean_minutes(
-    minutes: DataFrame, ranges: Iterable[tuple[int, int]], order_by: Sequence[str], block: Column
+    minutes: DataFrame, ranges: Iterable[tuple[int, int]], order_by: Sequence[str] = tuple(MINUTE_KEYS), lead: int | None = None
 ) -> DataFrame:
-    """Z9. Minutes with a reading of at least zero, less those at the listed positions."""
-    return exclude_ranges(non_negative(minutes), ranges, order_by, block)
+    """Z9. Minutes with a reading of at least zero, less those at the listed positions in the order of their keys."""
+    return exclude_ranges(non_negative(minutes), ranges, order_by, lead)
 
 
 def complete_hours(minutes: DataFrame, expected: int = MINUTES_PER_HOUR, **options) -> DataFrame:
@@ -94,6 +95,14 @@ def monthly_event_counts(
     return zero_fill(event_counts(combined, event, "month", "year"), years=years)
 
 
+TREND_MEASURES = ["t_2m", "wind_spd", "wind_sd"]
+
+
+def trend_events(high_sd: float = HIGH_GUST_SD, thaw: float = THAW_TEMPERATURE) -> dict[str, Column]:
+    """The events that Z5 counts: hours of high gusts, and of thaw."""
+    return {"gust_count": F.col("wind_sd") > high_sd, "thaw_count": F.col("t_2m") > thaw}
+
+
 def monthly_trends(
     combined: DataFrame,
     high_sd: float = HIGH_GUST_SD,
@@ -107,18 +116,18 @@ def monthly_trends(
     hours are read once, into sums per month and year; everything after that
     works on at most twelve rows a year.
     """
-    measures = ["t_2m", "wind_spd", "wind_sd"]
-    sums = []
-    for c in measures:
-        sums += [
-            F.count(c).alias(f"{c}_w"),
-            F.avg(c).alias(f"{c}_mean"),
-            (F.var_pop(c) * F.count(c)).alias(f"{c}_ssd"),
-        ]
-    cells = combined.groupBy("month", "year").agg(
-        F.count_if(F.col("wind_sd") > high_sd).alias("high"), F.count_if(F.col("t_2m") > thaw).alias("thaw"), *sums
-    )
-    filled = zero_fill(cells, ["high", "thaw"], years)
+    cells = trend_cells(combined, TREND_MEASURES, trend_events(high_sd, thaw), ["month", "year"])
+    return _trends(cells, years)
+
+
+def trends_of_cells(cells: DataFrame, years: tuple[int, int] | None = None) -> DataFrame:
+    """Z5 from stored cells of any number of batches and sites (``trend_cells`` of the measures and events of Z5)."""
+    return _trends(merged_cells(cells, TREND_MEASURES, list(trend_events()), ["month", "year"]), years)
+
+
+def _trends(cells: DataFrame, years: tuple[int, int] | None) -> DataFrame:
+    events = list(trend_events())
+    filled = zero_fill(cells, events, years)
 
     def cell(metric: str, weight: Column, mean: Column, ssd: Column) -> Column:
         return F.struct(
@@ -131,9 +140,8 @@ def monthly_trends(
         "year",
         F.inline(
             F.array(
-                cell("gust_count", F.lit(1), F.col("high"), F.lit(0)),
-                cell("thaw_count", F.lit(1), F.col("thaw"), F.lit(0)),
-                *(cell(c, F.col(f"{c}_w"), F.col(f"{c}_mean"), F.col(f"{c}_ssd")) for c in measures),
+                *(cell(e, F.lit(1), F.col(e), F.lit(0)) for e in events),
+                *(cell(c, F.col(f"{c}_w"), F.col(f"{c}_mean"), F.col(f"{c}_ssd")) for c in TREND_MEASURES),
             )
         ),
     )
@@ -148,9 +156,21 @@ def trend_figure(trends: DataFrame, metric: str) -> DataFrame:
     )
 
 
-def month_mean_trends(combined: DataFrame, columns: Sequence[str] = ("wind_spd", "p", "wind_sd", "t_2m")) -> DataFrame:
+MEAN_MEASURES = ["wind_spd", "p", "wind_sd", "t_2m"]
+
+
+def month_mean_trends(combined: DataFrame, columns: Sequence[str] = tuple(MEAN_MEASURES)) -> DataFrame:
     """Z6. Means per month and year, and their trend over the years per month and measure."""
-    means = means_by(combined, ["month", "year"], columns)
+    return _mean_trends(means_by(combined, ["month", "year"], columns), columns)
+
+
+def mean_trends_of_cells(cells: DataFrame, columns: Sequence[str] = tuple(MEAN_MEASURES)) -> DataFrame:
+    """Z6 from stored cells of these columns."""
+    means = merged_cells(cells, columns, [], ["month", "year"])
+    return _mean_trends(means.select("month", "year", *(F.col(f"{c}_mean").alias(f"mean_{c}") for c in columns)), columns)
+
+
+def _mean_trends(means: DataFrame, columns: Sequence[str]) -> DataFrame:
     long = means.unpivot(["month", "year"], [f"mean_{c}" for c in columns], "metric", "value")
     return simple_regression(long, "year", "value", ["metric", "month"])
 

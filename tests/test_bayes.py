@@ -65,12 +65,65 @@ def test_summary_interval(spark):
     assert row.upper - row["mean"] == pytest.approx(1.598193 * row.sd, rel=1e-6)
 
 
-def test_binding_floor_is_refused(spark):
-    """Responses far below the floor put the mode on the bound, which the normal approximation cannot describe."""
-    df = frame(spark, 200).withColumn("gust_time", F.sin(F.col("id") * 5.3) - 5.0)
+def below_floor(spark):
+    return frame(spark, 200).withColumn("gust_time", F.sin(F.col("id") * 5.3) - 0.15 + F.col("wind_spd") * 0.01)
+
+
+def test_mode_on_the_floor(spark):
+    """Responses below the floor: the constrained maximum, from a direct search over the definition of the model."""
+    df, model = below_floor(spark), MODELS["gust_w_formula"]
+    rows = {r.parameter: r for r in bayes.bounded_mode(bayes.model_statistics(df, model), model).collect()}
+    assert rows["c"].bound and rows["c"].mode == 0.0 and not rows["b1"].bound
+    pdf = df.toPandas()
+    means = [pdf["wind_spd"].mean(), (pdf["wind_spd"] ** 2).mean()]
+
+    def f(c, b1, b2, sigma):
+        return log_posterior(model, pdf, [c - b1 * means[0] - b2 * means[1], b1, b2, sigma])
+
+    best = [rows[k].mode for k in ("c", "b1", "b2", "sigma")]
+    for i in (1, 2, 3):
+        h = 1e-4 * rows[["c", "b1", "b2", "sigma"][i]].sd
+        up, down = (f(*[v + s * h * (i == j) for j, v in enumerate(best)]) for s in (1, -1))
+        assert abs(up - down) / 2 < 1e-6 and f(*best) >= max(up, down)
+    assert f(1e-3, *best[1:]) < f(*best)
+    plain = bayes.posterior_mode(bayes.model_statistics(df, model), model).orderBy("position").collect()
+    assert plain[0]["mean"] == pytest.approx(-best[1] * means[0] - best[2] * means[1]) and plain[3]["mean"] == pytest.approx(best[3])
+
+
+def test_truncated_density_around_the_floor(spark):
+    df, model = below_floor(spark), MODELS["gust_w_formula"]
+    sums = bayes.model_statistics(df, model).first()
+    mode, spread, fall = bayes._Posterior(model, sums.n, sums.means, sums.comoments).peak()
+    cut = bayes.truncated(spread, fall)
+    # along the floor's normal the density is exp(fall d - d^2 / 2 V) for d >= 0
+    d = np.linspace(0, 12 * cut.sd, 400_001)
+    weight = np.exp(-((d - spread[0, 0] * fall) ** 2) / (2 * spread[0, 0]))
+    weight /= weight.sum()
+    mean = float(d @ weight)
+    assert cut.mean[0] == pytest.approx(mean, rel=1e-3)
+    assert cut.covariance[0, 0] == pytest.approx(float((d - mean) ** 2 @ weight), rel=1e-3)
+    rows = {r.parameter: r for r in bayes.bounded_mode(bayes.model_statistics(df, model), model).collect()}
+    passed = np.cumsum(weight)
+    assert rows["c"].lower == pytest.approx(d[np.searchsorted(passed, 0.055)], rel=1e-2)
+    assert rows["c"].upper == pytest.approx(d[np.searchsorted(passed, 0.945)], rel=1e-2)
+    assert rows["c"].sd == pytest.approx(np.sqrt(cut.covariance[0, 0])) and rows["c"].lower >= 0
+
+
+def test_far_below_the_floor(spark):
+    df = frame(spark, 200).withColumn("gust_time", F.sin(F.col("id") * 5.3) - 50.0)
+    model = MODELS["gust_d_formula"]
+    rows = {r.parameter: r for r in bayes.bounded_mode(bayes.model_statistics(df, model), model).collect()}
+    assert rows["c"].mode == 0.0 and 0 < rows["c"].lower < rows["c"].upper < 10 and rows["sigma"].mode > 40
+
+
+def test_a_floor_that_does_not_bind_changes_nothing(spark):
     model = MODELS["gust_d_formula"]
-    with pytest.raises(Exception, match="floor binds"):
-        bayes.posterior_mode(bayes.model_statistics(df, model), model).collect()
+    sums = bayes.model_statistics(frame(spark), model)
+    rows = {r.parameter: r for r in bayes.bounded_mode(sums, model).collect()}
+    free = {r.parameter: r for r in bayes.mode_summary(bayes.posterior_mode(sums, model)).collect()}
+    assert not rows["c"].bound and rows["c"].mode == rows["c"]["mean"]
+    for k in ("b1", "b2", "sigma"):
+        assert [rows[k][c] for c in ("mode", "sd", "lower", "upper")] == pytest.approx([free[k][c] for c in ("mean", "sd", "lower", "upper")])
 
 
 @pytest.mark.parametrize("name", ["sd_multi", "sd_multi_ri"])

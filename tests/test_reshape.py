@@ -16,6 +16,19 @@ def test_sample_is_exact_and_repeatable(spark):
     assert sample_rows(df, 5000, ["id"]).count() == 3000
 
 
+def test_large_samples_are_not_put_in_order(spark, plan, monkeypatch):
+    monkeypatch.setattr("skyledger.operators.reshape._DIGITS", 1)
+    monkeypatch.setattr("skyledger.operators.reshape._FEW", 3)
+    df = ids(spark, 3000)
+    by_hash = df.withColumn("h", F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit("0")).cast("binary")))
+    order = [r.id for r in by_hash.orderBy("h").collect()]
+    for n in (0, 1, 2, 17, 1500, 2999, 3000, 3001):
+        drawn = sample_rows(df, n, ["id"])
+        assert {r.id for r in drawn.collect()} == set(order[:n])
+        assert not any(x in plan(drawn) for x in ("Exchange", "Sort", "TakeOrdered"))
+    assert sample_rows(df.limit(0), 5, ["id"]).count() == 0
+
+
 def test_long_form(spark):
     df = spark.createDataFrame([(1.0, 2, 3.0)], "wind_spd double, gust_time int, wind_sd double")
     rows = to_long(df, ["wind_spd"], ["gust_time", "wind_sd"]).collect()

@@ -1,7 +1,9 @@
 import statistics
 from datetime import datetime
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 
 from helpers import collect_by, hour_of_minutes
 from skyledger.operators.rollup import STATISTICS, hourly_summary
@@ -57,14 +59,25 @@ def test_only_complete_hours(spark):
     assert [r.hour for r in complete_hours(minutes).collect()] == [0]
 
 
-def test_one_shuffle_with_map_side_combine(spark, tmp_path, plan):
+def test_minutes_are_read_once_and_counted_before_they_move(spark, tmp_path, plan):
     hour_of_minutes(spark, range(60)).write.parquet(str(tmp_path / "m"))
     minutes = spark.read.parquet(str(tmp_path / "m"))
-    text = plan(complete_hours(minutes))
-    assert text.count("Exchange hashpartitioning") == 1
-    assert "partial_avg" in text and "partial_median" in text or "partial_percentile" in text
-    assert "minute" not in text.split("ReadSchema")[1]    # only the needed columns are read
-    assert "GreaterThanOrEqual(wind_spd,10.0)" in plan(hourly_summary(minutes, gust="refined"))
+    for gust in ("simple", "refined"):
+        text = plan(hourly_summary(minutes, gust=gust))
+        assert text.count("FileScan") == 1 and "ObjectHashAggregate" not in text
+        assert text.rindex("partial_count") > text.rindex("Exchange hashpartitioning")    # the last lines run first
+        assert "minute" not in text.split("ReadSchema")[1]    # only the needed columns are read
+
+
+def test_medians_of_repeated_and_even_counts(spark):
+    cases = [[1], [1, 2], [1, 1, 1, 9], [3, 1, 2], [5, 5, 1, 1], [2, None, 4], [None], [0, 0, 0.5, 0.5, 7, 7]]
+    minutes = [hour_of_minutes(spark, c, h) for h, c in enumerate(cases)]
+    rows = collect_by(hourly_summary(reduce(DataFrame.unionAll, minutes), na="skip"), "hour")
+    for h, c in enumerate(cases):
+        known = [v for v in c if v is not None]
+        assert rows[h]["wind_med"] == (statistics.median(known) if known else None)
+        assert rows[h]["wind_mean"] == (pytest.approx(statistics.mean(known)) if known else None)
+        assert rows[h]["wind_sd"] == (pytest.approx(statistics.stdev(known)) if len(known) > 1 else None)
 
 
 def test_crowded_hour(spark):
