@@ -7,7 +7,7 @@ group, or are removed, where they are read. All other digests are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.session import stored
@@ -53,15 +53,12 @@ def duplicate_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     repeats. An empty table gives an empty result; other columns are ignored.
     """
     digests = _digests(docs)
-    dealt = digests.join(F.broadcast(frequent(digests, support)), "text_sha256", "left")
-    group = Window.partitionBy("text_sha256")
-    common = dealt.where(F.col("_best").isNotNull())
-    rest = (
-        dealt.where(F.col("_best").isNull())
-        .withColumn("_best", _first().over(group))
-        .withColumn("group_size", F.count(F.lit(1)).over(group))
-    )
-    return common.unionByName(rest).select(
+    winners = stored(frequent(digests, support), "winners")
+    common = digests.join(F.broadcast(winners), "text_sha256")
+    others = digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    # counted in each task first; the way back is a join, which adaptive execution splits where a group is large
+    groups = others.groupBy("text_sha256").agg(_first().alias("_best"), F.count(F.lit(1)).alias("group_size"))
+    return common.unionByName(others.join(groups, "text_sha256")).select(
         "doc_id",
         F.col("_best.doc_id").alias("keep_id"),
         "group_size",
@@ -73,15 +70,21 @@ def duplicate_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 def drop_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs`` without later copies: equality, order and edge cases as in ``duplicate_groups``.
 
-    Rows of frequent groups whose id isn't the winner's go where they are read;
-    what is left is shuffled by digest, with its text, once.
+    Rows of frequent groups whose id isn't the winner's go where they are read.
+    What is left is shuffled with its text once, by digest and id: rows of one
+    digest spread by their ids, and rows that repeat id and text become one in
+    each task first. A row stays if its id is the one that the digests name.
     """
-    winners = frequent(_digests(docs), support)
-    winners = winners.select(F.col("text_sha256").alias("sha"), F.col("_best.doc_id").alias("keep"), F.lit(True).alias("hot"))
-    marked = docs.select(F.struct("*").alias("doc"), "doc_id", text_digest(F.col("text")).alias("sha")).join(F.broadcast(winners), "sha", "left")
+    digests = _digests(docs)
+    winners = stored(frequent(digests, support), "winners")
+    hot = winners.select(F.col("text_sha256").alias("sha"), F.col("_best.doc_id").alias("keep"), F.lit(True).alias("hot"))
+    marked = docs.select(F.struct("*").alias("doc"), "doc_id", text_digest(F.col("text")).alias("sha")).join(F.broadcast(hot), "sha", "left")
     left = marked.where(F.col("hot").isNull() | F.col("doc_id").eqNullSafe(F.col("keep")))
-    order = Window.partitionBy("sha").orderBy(F.col("doc_id").asc_nulls_last())
-    return left.withColumn("place", F.row_number().over(order)).where("place = 1").select("doc.*")
+    best = digests.groupBy(F.col("text_sha256").alias("sha")).agg(_first().alias("_best"))
+    key = ["sha", "_none", "_id"]
+    named = best.select("sha", F.col("_best.last").alias("_none"), F.coalesce("_best.doc_id", F.lit(0)).alias("_id"))
+    once = left.select("doc", "sha", F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id")).dropDuplicates(key)
+    return once.join(named, key, "left_semi").select("doc.*")
 
 
 ORACLE = """

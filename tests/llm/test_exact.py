@@ -53,6 +53,16 @@ def test_dropping_keeps_one_row_and_all_columns(make):
     assert all(r.key == "x0" and r.sha == "x7" for r in rows)
 
 
+def test_no_group_meets_in_a_window(make, plan):
+    rows = [(i % 50, "warm") for i in range(300)] + [(None, "none")] * 200 + [(i, f"t{i}") for i in range(100)]
+    docs = make(rows)
+    for df in (exact.duplicate_groups(docs, 0.5), exact.drop_duplicates(docs, 0.5), exact.drop_duplicates(docs, 0.2)):
+        assert "Window" not in plan(df)
+    check(exact.duplicate_groups(docs, 0.5).collect(), rows)
+    for support in (0.5, 0.2):
+        assert sorted((repr(r.doc_id), r.text) for r in exact.drop_duplicates(docs, support).collect()) == sorted([("0", "warm"), ("None", "none"), *((str(i), f"t{i}") for i in range(100))])
+
+
 def test_empty_table(make):
     assert exact.duplicate_groups(make([])).count() == 0
     assert exact.drop_duplicates(make([])).count() == 0
