@@ -15,15 +15,20 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
-from ..functions.normal import truncated_moments, truncated_quantile
+from ..functions.normal import mixture_quantile, truncated_moments, truncated_quantile
 from .regression import plain_terms, sufficient_statistics
 
 Normal = tuple[float, float]
 
 _PERFECT = 1e-24    # a residual below this share of the response's variation is rounding
 _TURNS = 2000
+# quadrature over log sigma: its reach in standard deviations, nodes of mixtures and of sigma's own distribution
+_REACH, _NODES, _DENSE = 12.0, 97, 20_001
+_ROWS = 2048    # rows of a band that are in arrays at a time
 
 
 @dataclass(frozen=True)
@@ -192,6 +197,23 @@ class _Posterior:
         curvature[size, size] = -self.n / sigma**2 + 3 * float(self.residual(theta[None])[0]) / sigma**4
         return np.append(theta, sigma), np.linalg.inv(curvature), self.inward(theta, sigma) if on_floor else 0.0
 
+    def log_density(self, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log of sigma's own density, the coefficients integrated out, up to a constant; best coefficients and precision."""
+        theta, precision = self.coefficients(sigma)
+        away = np.einsum("ki,ij,kj->k", theta, self.prior, theta) - 2 * theta @ self.pull
+        value = -self.n * np.log(sigma) - self.model.sigma_rate * sigma - np.linalg.slogdet(precision)[1] / 2
+        return value - (self.residual(theta) / sigma**2 + away) / 2, theta, precision
+
+    def nodes(self, count: int) -> tuple[np.ndarray, ...]:
+        """Weights, sigma, (intercept, slopes) and their covariance at even steps of log sigma over all of its density that counts."""
+        centre = float(np.log(self.mode()[1]))
+        reach = _REACH / np.sqrt(2 * max(self.n - self.size, 1))
+        sigma = np.exp(np.linspace(centre - reach, centre + reach, count))
+        value, theta, precision = self.log_density(sigma)
+        weight = np.exp(value + np.log(sigma) - (value + np.log(sigma)).max())
+        back = self.to_intercept
+        return weight / weight.sum(), sigma, theta @ back.T, back @ np.linalg.inv(precision) @ back.T
+
     def mode_with_covariance(self) -> tuple[np.ndarray, np.ndarray]:
         """L1. Mode and covariance in (intercept, slopes, sigma): the inverse curvature, one-sided on a floor."""
         mode, spread, fall = self.peak()
@@ -250,6 +272,67 @@ def posterior_mode(statistics: DataFrame, model: GaussianModel) -> DataFrame:
     return statistics.where(F.col("n") > 0).mapInPandas(fit, schema)
 
 
+def marginal_summary(statistics: DataFrame, model: GaussianModel, level: float = 0.89) -> DataFrame:
+    """L5, exact. Mean, sd and central interval per parameter of its marginal distribution.
+
+    Given sigma the coefficients are normal; sigma's own density is known up to
+    a factor. One quadrature over log sigma turns the marginals of coefficients
+    into mixtures of normal distributions, whose quantiles are found by Newton's
+    steps; sigma's come from its distribution function on a dense grid. For
+    models without a floor, and fits that leave a residual.
+    """
+    names, shares = model.parameters, ((1 - level) / 2, (1 + level) / 2)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                posterior = _Posterior(model, row.n, row.means, row.comoments)
+                weight, _, theta, spread = posterior.nodes(_NODES)
+                variance = np.einsum("kii->ki", spread)
+                mean = weight @ theta
+                sd = np.sqrt(weight @ (variance + (theta - mean) ** 2))
+                ends = [mixture_quantile(weight, theta.T, np.sqrt(variance.T), q) for q in shares]
+                dense, sigma, _, _ = posterior.nodes(_DENSE)
+                passed = np.cumsum(dense) - dense / 2
+                s_mean = float(dense @ sigma)
+                s_ends = [float(np.exp(np.interp(q, passed, np.log(sigma)))) for q in shares]
+                columns = [np.append(mean, s_mean), np.append(sd, np.sqrt(dense @ (sigma - s_mean) ** 2)), *(np.append(e, s) for e, s in zip(ends, s_ends))]
+                yield pd.DataFrame({"parameter": names, **dict(zip(("mean", "sd", "lower", "upper"), columns))})
+
+    return statistics.where(F.col("n") > 0).mapInPandas(fit, "parameter string, mean double, sd double, lower double, upper double")
+
+
+def mixture_band(rows: DataFrame, statistics: DataFrame, model: GaussianModel, *, predictive: bool = False, level: float = 0.90) -> DataFrame:
+    """L8/L9 with E16, exact. Mean and central interval of the model at every row, as mixtures over sigma.
+
+    The sums of a single model, one row, are solved first; then every row is
+    handled by itself, in batches. Rows lacking a term get NULL.
+    """
+    sums = statistics.first()
+    weight, sigma, theta, spread = _Posterior(model, sums.n, sums.means, sums.comoments).nodes(_NODES)
+    names = [f"_x{i}" for i in range(len(model.terms))]
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(lo, _ROWS)
+                x = np.column_stack([np.ones(part.num_rows), *(part.column(c).to_numpy(zero_copy_only=False) for c in names)])
+                known = np.isfinite(x).all(axis=1)
+                out = np.full((3, len(x)), np.nan)
+                if known.any():
+                    x = x[known]
+                    means = x @ theta.T
+                    variance = np.einsum("ri,kij,rj->rk", x, spread, x) + (sigma**2 if predictive else 0.0)
+                    ends = [mixture_quantile(weight, means, np.sqrt(variance), q) for q in ((1 - level) / 2, (1 + level) / 2)]
+                    out[:, known] = np.stack([means @ weight, *ends])
+                made = [pa.array(v, mask=~known) for v in out]
+                yield pa.RecordBatch.from_arrays([part.column("_row"), *made], ["_row", "mean", "lower", "upper"])
+
+    asked = rows.select(F.struct("*").alias("_row"), *(c.alias(a) for c, a in zip(plain_terms(*model.terms).values(), names)))
+    schema = T.StructType([asked.schema["_row"], *(T.StructField(c, T.DoubleType()) for c in ("mean", "lower", "upper"))])
+    return asked.mapInArrow(band, schema).select("_row.*", "mean", "lower", "upper")
+
+
 def bounded_mode(statistics: DataFrame, model: GaussianModel, level: float = 0.89) -> DataFrame:
     """L4. Mode, mean, sd and central interval of a centred model: ``c`` (the value at the means), slopes and sigma.
 

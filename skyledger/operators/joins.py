@@ -47,12 +47,15 @@ def at_instants(df: DataFrame, instants: DataFrame, by_site: bool = False) -> Da
     return kept.select(*df.columns)
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], salts: int = 64) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], salts: int | None = None) -> DataFrame:
     """Join ``rows`` to a table of one row per key, however unevenly the rows spread over the keys.
 
     Equal rows are counted first (``_w`` says how many), then each key's rows
-    are dealt over ``salts`` partitions and the table is repeated for each.
+    are dealt over ``salts`` partitions and the table is repeated for each. If
+    not said, that is as many as the session shuffles to: what is set for the
+    size of the input lets one key use all of it.
     """
+    salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = [c for c in rows.columns if c not in keys]
     counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_w"))
     dealt = counted.withColumn("_salt", F.pmod(F.xxhash64(*values), F.lit(salts)).cast("int"))

@@ -13,8 +13,10 @@ from .joins import spread_join
 from .quality import censor
 from .quantiles import grouped_quantiles
 
-_LOG_PENALTIES = np.linspace(-8.0, 12.0, 81)
-_REFINEMENTS = 40
+# the decimal logarithm of the penalty is searched in steps of 1/4, then around the best in steps of 1/80 and 1/1600
+_COARSE = np.linspace(-8.0, 12.0, 81)
+_FINER = ((0.25, 41), (0.0125, 41))
+_SINGULAR = 1e12
 
 
 def spline_smooth(
@@ -103,12 +105,10 @@ def _renamed(limits: dict[str, tuple[float, float]] | None, x: str, y: str) -> d
     return {names[c]: band for c, band in (limits or {}).items()}
 
 
-def _second_derivatives(knots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Matrices giving the spline's curvature at the knots, and its total squared curvature."""
+def _bending(knots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The natural spline with values v has curvature c at its inner knots where band @ c = differences @ v."""
     h = np.diff(knots)
     inner = len(knots) - 2
-    if inner <= 0:
-        return np.zeros((len(knots), len(knots))), np.zeros((len(knots), len(knots)))
     differences = np.zeros((inner, len(knots)))
     band = np.zeros((inner, inner))
     for i in range(inner):
@@ -116,6 +116,14 @@ def _second_derivatives(knots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         band[i, i] = (h[i] + h[i + 1]) / 3
         if i + 1 < inner:
             band[i, i + 1] = band[i + 1, i] = h[i + 1] / 6
+    return band, differences
+
+
+def _second_derivatives(knots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices giving the spline's curvature at the knots, and its total squared curvature."""
+    if len(knots) <= 2:
+        return np.zeros((len(knots), len(knots))), np.zeros((len(knots), len(knots)))
+    band, differences = _bending(knots)
     solved = np.linalg.solve(band, differences)
     curvature = np.vstack([np.zeros(len(knots)), solved, np.zeros(len(knots))])
     return curvature, differences.T @ solved
@@ -139,26 +147,39 @@ def _fit(knots: np.ndarray, parts, points: int, se_multiple: float) -> pd.DataFr
         total += part["yy"]
         n += part["n"]
     weight = np.trace(gram) / np.trace(penalty) if size > 2 else 0.0
+    scaled = gram / np.sqrt(np.outer(np.diag(gram), np.diag(gram))) if np.diag(gram).min() > 0 else np.zeros_like(gram)
+    if size > 2 and np.linalg.cond(scaled) < _SINGULAR:
+        # In terms of the curvature, every penalty is as well conditioned as the data: with a free fit b and
+        # d = penalty * curvature, (band / penalty + middle) d = differences @ b.
+        band, differences = _bending(knots)
+        free = np.linalg.inv(gram)
+        across = differences @ free
+        middle = across @ differences.T
+        start, wanted = free @ cross, across @ cross
+
+        def fitted(log_penalty: float):
+            bent = np.linalg.inv(band / (10.0**log_penalty * weight) + middle)
+            beta = start - across.T @ (bent @ wanted)
+            return beta, free - across.T @ bent @ across, size - float(np.trace(bent @ middle))
+    else:    # knots between few distinct values: only with the penalty is there one solution
+
+        def fitted(log_penalty: float):
+            inverse = np.linalg.inv(gram + 10.0**log_penalty * weight * penalty)
+            return inverse @ cross, inverse, float(np.trace(inverse @ gram))
 
     def solve(log_penalty: float):
-        whole = gram + 10.0**log_penalty * weight * penalty
-        inverse = np.linalg.inv(whole)
-        beta = inverse @ cross
-        edf = float(np.trace(inverse @ gram))
+        beta, inverse, edf = fitted(log_penalty)
         residual = max(float(total - 2 * beta @ cross + beta @ gram @ beta), 0.0)
         score = n * residual / (n - edf) ** 2 if n > edf else np.inf
         return score, beta, inverse, edf, residual
 
-    scores = [solve(p)[0] for p in _LOG_PENALTIES]
-    best = int(np.argmin(scores))
-    low, high = _LOG_PENALTIES[max(best - 1, 0)], _LOG_PENALTIES[min(best + 1, len(scores) - 1)]
-    for _ in range(_REFINEMENTS):
-        third = (high - low) / 3
-        if solve(low + third)[0] <= solve(high - third)[0]:
-            high -= third
-        else:
-            low += third
-    _, beta, inverse, edf, residual = solve((low + high) / 2)
+    def least(penalties: np.ndarray) -> float:
+        return float(penalties[int(np.argmin([solve(p)[0] for p in penalties]))])
+
+    chosen = least(_COARSE)
+    for reach, count in _FINER:
+        chosen = least(np.linspace(chosen - reach, chosen + reach, count))
+    _, beta, inverse, edf, residual = solve(chosen)
     scale = residual / (n - edf) if n > edf else np.nan
 
     x = np.linspace(knots[0], knots[-1], points)

@@ -34,7 +34,10 @@ def zero_inflated_fit(
     table bounded by the sensor's resolution times ``trials + 1``, which is
     stored once in the shared folder. Each Newton step is one aggregation of
     that table to a few sums: log density, gradient and curvature. Returns
-    one row; ``converged`` says whether the parameters settled.
+    one row; ``converged`` says whether the parameters settled. The ``_sd``
+    columns come from the observed information at the mode, the share's by its
+    slope against the log odds; they are NULL where the density is not curved
+    all ways.
     """
     usable = F.col(x).isNotNull() & F.col(count).between(0, trials) & (F.abs(x) < F.lit(float("inf")))
     cells = checkpointed(
@@ -47,7 +50,8 @@ def zero_inflated_fit(
         F.sum("w"), F.sum(F.col("w") * F.col("k")), F.avg("x"), F.stddev_pop("x")
     ).first()
     n = seen[0]
-    schema = "n long, p_zero double, a double, b1 double, b2 double, iterations int, converged boolean"
+    spreads = ["p_zero_sd", "a_sd", "b1_sd", "b2_sd"]
+    schema = "n long, p_zero double, a double, b1 double, b2 double, iterations int, converged boolean, " + ", ".join(f"{c} double" for c in spreads)
     if not n:
         return spark.createDataFrame([], schema)
 
@@ -99,7 +103,12 @@ def zero_inflated_fit(
         value, gradient, observed, complete = after
     a, b1, b2 = (float(v) for v in back @ theta[1:])
     p_zero = float(1 / (1 + np.exp(-theta[0])))
-    return spark.createDataFrame([(int(n), p_zero, a, b1, b2, steps, converged)], schema)
+    sds: list[float | None] = [None] * 4
+    if np.linalg.eigvalsh(observed)[0] > 0:
+        out = np.zeros((4, 4))
+        out[0, 0], out[1:, 1:] = p_zero * (1 - p_zero), back
+        sds = [float(v) for v in np.sqrt(np.diag(out @ np.linalg.inv(observed) @ out.T))]
+    return spark.createDataFrame([(int(n), p_zero, a, b1, b2, steps, converged, *sds)], schema)
 
 
 def _sums(cells: DataFrame, theta: np.ndarray, shift: float, scale: float, trials: int) -> DataFrame:

@@ -69,6 +69,7 @@ from .station import (
     month_mean_trends,
     monthly_event_counts,
     monthly_trends,
+    smooth_figure,
     stability,
     trend_events,
     trend_figure,
@@ -715,6 +716,13 @@ def smooth_by_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spline_smooth(long, "wind_spd", "value", by=["var"], limits={"wind_spd": (0.0, 19.0)}))
 
 
+@_query("smooth_figure")
+def smooth_of_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve on t + t^2 as one covariate, within limits."""
+    temperature = F.col("t_2m")
+    return rounded(smooth_figure(_stable(spark, sf_dir), temperature + temperature * temperature, "wind_sd", limits={"covariate": (0.0, 1600.0)}))
+
+
 # --- Bayesian models --------------------------------------------------------
 
 
@@ -756,6 +764,34 @@ def posterior_map_richardson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bayes.mode_summary(bayes.posterior_mode(sums, model)))
 
 
+#: Temperatures lie below zero on average, so the floor of the formula models binds.
+FLOOR_MODEL = bayes.GaussianModel("t_2m", ("wind_spd", "wind_spd^2"), (5.0, 5.0), ((0.0, 1.0), None), 0.05, True, 0.0)
+
+
+@_query("posterior_map_bounded")
+def posterior_map_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4: a formula model whose mode lies on the floor."""
+    hours = _combined(spark, sf_dir)
+    return rounded(bayes.bounded_mode(bayes.model_statistics(hours, FLOOR_MODEL), FLOOR_MODEL))
+
+
+@_query("posterior_marginals")
+def posterior_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and intervals of the marginals, by quadrature over sigma."""
+    sums, model = _fitted(spark, sf_dir, "sd_t")
+    return rounded(bayes.marginal_summary(sums, model))
+
+
+@_query("posterior_mean_band_exact")
+def posterior_mean_band_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band of the mean along a grid of temperatures, by quadrature over sigma."""
+    hours = _stable(spark, sf_dir)
+    model = bayes.MODELS["sd_t"]
+    seen = hours.agg(F.min("t_2m").alias("lo"), F.max("t_2m").alias("hi"))
+    grid = seen.select(F.posexplode(grid_values(F.col("lo"), F.col("hi"), 30)).alias("point", "t_2m"))
+    return rounded(bayes.mixture_band(grid, bayes.model_statistics(hours, model), model))
+
+
 @_query("posterior_mean_band")
 def posterior_mean_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean and its interval along a grid of temperatures."""
@@ -785,3 +821,10 @@ def zero_inflated(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = hours.agg(F.min("t_2m").alias("lo"), F.max("t_2m").alias("hi"))
     grid = seen.select(F.explode(grid_values(F.col("lo"), F.col("hi"), 30)).alias("t_2m"))
     return rounded(zero_inflated_mean(grid, fit, trials=views.COMPLETE_ROWS))
+
+
+@_query("zero_inflated_parameters")
+def zero_inflated_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode and spread of the zero-inflated model."""
+    fit = zero_inflated_fit(_stable(spark, sf_dir), trials=views.COMPLETE_ROWS)
+    return rounded(fit.select("n", "p_zero", "a", "b1", "b2", "p_zero_sd", "a_sd", "b1_sd", "b2_sd"))

@@ -7,13 +7,56 @@ plain joins, built-in quantiles, closed-form t probabilities.
 from __future__ import annotations
 
 from itertools import combinations
+from typing import NamedTuple
 
-from ..operators.bayes import MODELS
-from ..operators.density import BANDWIDTH_FACTOR, IQR_PER_SD, KDE_CUT, KDE_POINTS
-from ..sources.sample_views import COMPLETE_ROWS, FIRST_YEAR, LAST_YEAR
-from .catalog import BAD_POSITIONS, BAD_TIMES, EVENT_SD, HIGH_SD, MEAN_DIGITS, TWO_TERM_MODELS
 from .published import MEASURES, PUBLISHED_TRENDS
 
+# Fixed values, stated apart from the engine's so that a slip in one of them shows.
+COMPLETE_ROWS = 4
+FIRST_YEAR, LAST_YEAR = 1994, 2022
+HIGH_SD, EVENT_SD = 4.0, 8.0
+MEAN_DIGITS = 9
+KDE_POINTS, KDE_CUT, BANDWIDTH_FACTOR, IQR_PER_SD = 512, 4.0, 0.9, 1.34
+BAD_POSITIONS = [(1, 1), (3, 3), (17, 250), (251, 260), (700, 705), (4000, 9000), (99000, 1000000000000)]
+BAD_TIMES = [
+    ("click", "2024-01-03 05:00:00", "2024-01-03 07:30:00"),
+    ("view", "2024-01-10 22:00:00", "2024-01-12 03:00:00"),
+    ("error", "2024-01-20 00:00:00", "2024-01-20 00:00:00"),
+]
+
+
+class Model(NamedTuple):
+    """Response, terms, Normal priors (mean, sd; None: flat), rate of sigma's prior; centred: intercept at the means."""
+
+    response: str
+    terms: tuple[str, ...]
+    intercept: tuple[float, float]
+    slopes: tuple
+    sigma_rate: float
+    centred: bool = False
+
+
+_T, _W, _D = ("t_2m", "t_2m^2"), ("wind_spd", "wind_spd^2"), ("t_difference", "t_difference^2")
+MODELS = {
+    "gust_t": Model("gust_time", _T, (5, 5), ((0, 1), (0, 1)), 0.05),
+    "gust_w": Model("gust_time", _W, (5, 5), ((0, 1), (0, 1)), 0.05),
+    "gust_t_formula": Model("gust_time", _T, (5, 5), ((0, 1), None), 0.05, True),
+    "gust_w_formula": Model("gust_time", _W, (5, 5), ((0, 1), None), 0.05, True),
+    "gust_d_formula": Model("gust_time", _D, (5, 5), ((0, 1), None), 0.05, True),
+    "sd_t": Model("wind_sd", _T, (5, 5), ((0, 1), (0, 1)), 0.05),
+    "sd_t_tight": Model("wind_sd", _T, (0.5, 2), ((0, 0.1), (0, 0.1)), 1.0),
+    "sd_t_mid": Model("wind_sd", _T, (1, 1), ((0, 0.3), (0, 0.3)), 1.0),
+    "sd_t_wide": Model("wind_sd", _T, (5, 5), ((0, 0.3), (0, 0.3)), 1.0),
+    "sd_w": Model("wind_sd", _W, (5, 5), ((0, 1), (0, 1)), 0.05),
+    "sd_w_tight": Model("wind_sd", _W, (5, 5), ((0, 0.3), (0, 0.3)), 1.0),
+    "sd_multi": Model("wind_sd", ("wind_spd", "t_2m"), (0.5, 0.5), ((0, 0.02), (0, 0.05)), 1.0),
+    "sd_multi_ri": Model("wind_sd", ("wind_spd", "t_2m", "richardson_bulk"), (0.5, 0.5), ((0, 0.02), (0, 0.05), (0, 0.04)), 1.0),
+    "sd_t_formula": Model("wind_sd", _T, (5, 5), ((0, 1), None), 0.05, True),
+    "sd_w_formula": Model("wind_sd", _W, (5, 5), ((0, 1), None), 0.05, True),
+    "sd_d_formula": Model("wind_sd", _D, (5, 5), ((0, 1), None), 0.05, True),
+}
+TWO_TERM_MODELS = [name for name, model in MODELS.items() if len(model.terms) == 2]
+
 KEYS = "site, year, month, day, hour"
 
 
@@ -276,9 +319,35 @@ def _determinant(rows: list[int], columns: list[int]) -> str:
     return "(" + " ".join(parts).removeprefix("+ ") + ")"
 
 
-def _map_model(name: str, source: str) -> str:
+def _normal_share(z: str) -> str:
+    """Phi(z) for z of moderate size."""
+    odd = "list_transform(range(80, 0, -1), lambda k: 2 * k::DOUBLE + 1)"
+    return f"(0.5::DOUBLE + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {z} * list_reduce(list_prepend(1::DOUBLE, {odd}), lambda v, d: 1 + {z} * {z} / d * v))"
+
+
+def _mixture_ends(name: str, source: str, keys: str, level: float) -> str:
+    """`name`: ``keys``, mean, sd, lower and upper of the mixtures of normal distributions (w, mu, sd) in ``source``."""
+    lo, hi = (1 - level) / 2, (1 + level) / 2
+    return f"""{name}_parts AS (SELECT {keys}, w, mu, sd AS s FROM {source}),
+    {name}_means AS (
+        SELECT {keys}, sum(w * mu) AS mean, sqrt(sum(w * (s * s + mu * mu)) - sum(w * mu) * sum(w * mu)) AS sd FROM {name}_parts GROUP BY {keys}),
+    {name}_steps AS (
+        SELECT {keys}, 0 AS step, share, mean + z * sd AS x FROM {name}_means, (VALUES ({lo!r}::DOUBLE, -1.6::DOUBLE), ({hi!r}::DOUBLE, 1.6::DOUBLE)) e(share, z)
+        UNION ALL
+        SELECT {keys}, step + 1, share, x - (sum(w * phi) - share) / sum(w * exp(-z * z / 2) / (s * sqrt(2 * pi()))) FROM (
+            SELECT *, {_normal_share('z')} AS phi FROM (
+                SELECT *, (x - mu) / s AS z FROM (SELECT * FROM {name}_steps WHERE step < 8) JOIN {name}_parts USING ({keys})))
+        GROUP BY {keys}, step, share, x),
+    {name} AS (
+        SELECT {keys}, mean, sd, min(x) AS lower, max(x) AS upper FROM {name}_means JOIN (SELECT * FROM {name}_steps WHERE step = 8) USING ({keys})
+        GROUP BY {keys}, mean, sd)"""
+
+
+def _map_model(name: str, source: str, nodes: bool = False) -> str:
     """`mode`: posterior mode and sds of a model, by turns over sigma and the rest. Needs RECURSIVE.
 
+    With ``nodes``, `map_nodes` has the coefficients at 193 steps of log sigma and `map_dense` sigma's density at 8,001.
+
     Everything is around the means of the terms (d1, d2, ...), where the
     intercept a becomes c = a + b1 m1 + b2 m2 + ...; `map_sigma` keeps those numbers.
     """
@@ -337,6 +406,18 @@ def _map_model(name: str, source: str) -> str:
         + [f"count(*) * covar_pop(x{i}, x{j}) AS s{i}{j}" for i in slopes for j in slopes if i <= j]
     )
     used = " AND ".join(f"x{i} IS NOT NULL" for i in slopes)
+    inside = " + ".join(f"{prior[min(i, j), max(i, j)]} * h{i} * h{j}" for i in every for j in every)
+    pulled = " + ".join(f"{pull[i]} * h{i}" for i in every)
+
+    def density(table: str, steps: int) -> str:
+        grid = f"""SELECT i, p.sigma * exp(12::DOUBLE / sqrt(2 * (n - {size - 1})) * (2 * i / {steps}::DOUBLE - 1)) AS sigma FROM map_peak p, range({steps + 1}) r(i)"""
+        return f""",
+    {table}_raw AS (
+        SELECT *, (1 - n) * ln(sigma) - {rate} * sigma - ln(det) / 2 - ({rss} / (sigma * sigma) + {inside} - 2 * ({pulled})) / 2 AS value
+        FROM ({solved(f"SELECT i, g.sigma, {moments}, {entries}, {targets} FROM (SELECT i, sigma FROM ({grid})) g, map_sums")})),
+    {table} AS (SELECT *, exp(value - max(value) OVER ()) / sum(exp(value - top)) OVER () AS w FROM (SELECT *, max(value) OVER () AS top FROM {table}_raw))"""
+
+    extra = density("map_nodes", 192) + density("map_dense", 8000) if nodes else ""
     return f"""map_frame AS (SELECT {', '.join(f'{e} AS x{i}' for i, e in x.items())}, {model.response} AS y FROM {source}),
     map_sums AS (
         SELECT count(*) AS n, avg(y) AS my, count(*) * covar_pop(y, y) AS syy, {sums}
@@ -359,7 +440,40 @@ def _map_model(name: str, source: str) -> str:
         {' '.join(f"UNION ALL SELECT 'b{i}', h{i}, sqrt(v{i}{i} + vs * u{i} * u{i}) FROM map_sigma" for i in slopes)}
         UNION ALL SELECT 'sigma', sigma, sqrt(vs) FROM map_sigma),
     mode_interval AS (
-        SELECT *, mean - 1.5981931399228173::DOUBLE * sd AS lower, mean + 1.5981931399228173::DOUBLE * sd AS upper FROM mode)"""
+        SELECT *, mean - 1.5981931399228173::DOUBLE * sd AS lower, mean + 1.5981931399228173::DOUBLE * sd AS upper FROM mode){extra}"""
+
+
+def _marginals(name: str) -> str:
+    """`marginals` of a model of `_map_model` with nodes: one row per parameter."""
+    slopes = range(1, len(MODELS[name].terms) + 1)
+    every = range(len(slopes) + 1)
+    back = ["1", *(f"(-m{i})" for i in slopes)]
+    variance = " + ".join(f"v{min(i, j)}{max(i, j)} * {back[i]} * {back[j]}" for i in every for j in every)
+    parts = [f"SELECT 'a' AS parameter, w, h0 - ({' + '.join(f'm{i} * h{i}' for i in slopes)}) AS mu, sqrt({variance}) AS sd FROM map_nodes"]
+    parts += [f"SELECT 'b{i}', w, h{i}, sqrt(v{i}{i}) FROM map_nodes" for i in slopes]
+    return f"""mix_source AS ({' UNION ALL '.join(parts)}),
+    {_mixture_ends('mix', 'mix_source', 'parameter', 0.89)},
+    passed AS (SELECT i, w, ln(sigma) AS s, sigma, sum(w) OVER (ORDER BY i) - w / 2 AS upto FROM map_dense),
+    crossed AS (SELECT s, upto, lead(s) OVER (ORDER BY i) AS s2, lead(upto) OVER (ORDER BY i) AS upto2 FROM passed),
+    sigma_ends AS (
+        SELECT min(exp(s + (share - upto) / (upto2 - upto) * (s2 - s))) AS lower, max(exp(s + (share - upto) / (upto2 - upto) * (s2 - s))) AS upper
+        FROM crossed, (VALUES (0.055::DOUBLE), (0.945::DOUBLE)) e(share) WHERE upto <= share AND share < upto2),
+    marginals AS (
+        SELECT parameter, mean, sd, lower, upper FROM mix
+        UNION ALL
+        SELECT 'sigma', mean, sqrt((SELECT sum(w * (sigma - mean) * (sigma - mean)) FROM passed)), lower, upper
+        FROM (SELECT sum(w * sigma) AS mean FROM passed), sigma_ends)"""
+
+
+def _exact_band(name: str, rows: str, columns: str) -> str:
+    """`exact_band`: mean and 90 % band of the mean of a model of `_map_model` with nodes at every row of ``rows``."""
+    terms = [f"({t[:-2]} * {t[:-2]})" if t.endswith("^2") else t for t in MODELS[name].terms]
+    d = ["1", *(f"({t} - m{i})" for i, t in enumerate(terms, start=1))]
+    every = range(len(d))
+    mu = " + ".join(f"h{i} * {d[i]}" for i in every)
+    spread = " + ".join(f"v{min(i, j)}{max(i, j)} * {d[i]} * {d[j]}" for i in every for j in every)
+    return f"""band_source AS (SELECT {columns}, w, {mu} AS mu, sqrt({spread}) AS sd FROM {rows}, map_nodes),
+    {_mixture_ends('exact_band', 'band_source', columns, 0.90)}"""
 
 
 def _map_band(name: str, rows: str, columns: str, predictive: bool = False) -> str:
@@ -376,6 +490,113 @@ def _map_band(name: str, rows: str, columns: str, predictive: bool = False) -> s
         FROM (SELECT {columns}, {' + '.join(f'h{i} * {d[i]}' for i in every)} AS mean, {variance} AS var FROM {rows}, map_sigma))"""
 
 
+def _bounded() -> str:
+    """`bounded`: the floor model of the temperature, its value at the means held at 0. Needs RECURSIVE."""
+    newton = "sqrt(rss / n)"
+    for _ in range(4):
+        newton = f"(SELECT s - (0.05::DOUBLE * s * s * s + n * s * s - rss) / (0.15::DOUBLE * s * s + 2 * n * s) FROM (SELECT {newton} AS s))"
+
+    def solved(source: str) -> str:
+        return f"""SELECT *, syy - 2 * (b1 * s1y + b2 * s2y) + b1 * b1 * s11 + 2 * b1 * b2 * s12 + b2 * b2 * s22 + n * my * my AS rss FROM (
+            SELECT *, (q22 * s1y - q12 * s2y) / (v * (q11 * q22 - q12 * q12)) AS b1, (q11 * s2y - q12 * s1y) / (v * (q11 * q22 - q12 * q12)) AS b2
+            FROM (SELECT *, s11 / v + 1 AS q11, s12 / v AS q12, s22 / v AS q22 FROM (SELECT *, sigma * sigma AS v FROM {source})))"""
+
+    def mills(x: str) -> str:
+        down = "list_transform(range(200, 0, -1), lambda k: k::DOUBLE)"
+        return f"(1 / list_reduce(list_prepend({x}, {down}), lambda v, k: {x} + k / v))"
+
+    z = "1.5981931399228173::DOUBLE"
+    return f"""floor_frame AS (
+        SELECT wind_spd AS x1, wind_spd * wind_spd AS x2, t_2m AS y FROM combined WHERE wind_spd IS NOT NULL AND t_2m IS NOT NULL),
+    floor_sums AS (
+        SELECT count(*) AS n, avg(y) AS my, count(*) * var_pop(y) AS syy, count(*) * var_pop(x1) AS s11,
+            count(*) * covar_pop(x1, x2) AS s12, count(*) * var_pop(x2) AS s22, count(*) * covar_pop(x1, y) AS s1y,
+            count(*) * covar_pop(x2, y) AS s2y
+        FROM floor_frame),
+    floor_steps AS (
+        SELECT 0 AS k, sqrt(syy / n) AS sigma FROM floor_sums
+        UNION ALL
+        SELECT k + 1, {newton} FROM (SELECT k, n, rss FROM ({solved('floor_steps, floor_sums')}) WHERE k < 60)),
+    floor_peak AS (
+        SELECT *, n * my / v + 0.2::DOUBLE AS fall, sqrt(1 / (n / v + 0.04::DOUBLE)) AS s, 2 * b1 / sigma AS t1s,
+            -n / v + 3 * rss / (v * v) AS tss
+        FROM ({solved('(SELECT * FROM floor_steps WHERE k = 60), floor_sums')})),
+    floor_cut AS (
+        SELECT *, -fall * s AS alpha, q11 * q22 * tss - q12 * q12 * tss - t1s * t1s * q22 AS det FROM floor_peak),
+    floor_tail AS (SELECT *, {mills('alpha')} AS m FROM floor_cut),
+    floor_roots AS (
+        SELECT 0 AS k, share, alpha, ln(1 - share) + ln(m) - alpha * alpha / 2 AS target, alpha + 3 AS x
+        FROM floor_tail, (VALUES (0.055::DOUBLE), (0.945::DOUBLE)) shares(share)
+        UNION ALL
+        SELECT k + 1, share, alpha, target, x + (ln(m) - x * x / 2 - target) * m
+        FROM (SELECT *, {mills('x')} AS m FROM floor_roots WHERE k < 60)),
+    floor_ends AS (
+        SELECT max(x) FILTER (share < 0.5) AS lo, max(x) FILTER (share > 0.5) AS hi FROM floor_roots WHERE k = 60),
+    bounded_plain AS (
+        SELECT 'b1' AS parameter, b1 AS mode, sqrt(q22 * tss / det) AS sd FROM floor_cut
+        UNION ALL SELECT 'b2', b2, sqrt((q11 * tss - t1s * t1s) / det) FROM floor_cut
+        UNION ALL SELECT 'sigma', sigma, sqrt((q11 * q22 - q12 * q12) / det) FROM floor_cut),
+    bounded AS (
+        SELECT 'c' AS parameter, 0::DOUBLE AS mode, s * (1 / m - alpha) AS mean, s * sqrt(1 + alpha / m - 1 / (m * m)) AS sd,
+            s * (lo - alpha) AS lower, s * (hi - alpha) AS upper, fall < 0 AS bound FROM floor_tail, floor_ends
+        UNION ALL SELECT parameter, mode, mode, sd, mode - {z} * sd, mode + {z} * sd, false FROM bounded_plain)"""
+
+
+def _zero_inflated(trials: int) -> str:
+    """`zi`: mode and spreads of the zero-inflated model of gust_time on t_2m by Newton's steps. Needs RECURSIVE.
+
+    Works in u = (t_2m - h) / c; priors: a ~ Normal(5, 5), b1 and b2 ~ Normal(0, 1), p_zero ~ Beta(3, 3).
+    """
+    every = range(4)
+    pairs = [(i, j) for i in every for j in every if i <= j]
+    others = lambda i: [k for k in every if k != i]
+    inverse = {(i, j): f"({'-' if (i + j) % 2 else ''}{_determinant(others(i), others(j))} / det)" for i, j in pairs}
+    inv = lambda i, j: f"v{min(i, j)}{max(i, j)}"
+    prior = {
+        "11": "0.04::DOUBLE", "12": "-h / c * 0.04::DOUBLE", "13": "h * h / c / c * 0.04::DOUBLE", "22": "(h * h * 0.04::DOUBLE + 1) / c / c",
+        "23": "-(h * h * h * 0.04::DOUBLE + 2 * h) / c / c / c", "33": "(h * h * h * h * 0.04::DOUBLE + 4 * h * h + 1) / c / c / c / c",
+    }
+    u = ["1", "u", "u * u"]
+    bent = ", ".join(f"sum(w * (bend - unsure * mean * mean) * {u[i - 1]} * {u[j - 1]}) + {prior[f'{i}{j}']} AS q{i}{j}" for i, j in pairs if i)
+    crossed = ", ".join(f"-sum(w * unsure * mean * {u[j - 1]}) AS q0{j}" for j in (1, 2, 3))
+    pulled = ", ".join(f"sum(w * pull * {u[j - 1]}) AS d{j}" for j in (1, 2, 3))
+    state = "step, t0, t1, t2, t3"
+
+    def sums(source: str) -> str:
+        return f"""SELECT *, {', '.join(f'{e} AS v{i}{j}' for (i, j), e in inverse.items())} FROM (
+            SELECT *, {_determinant(list(every), list(every))} AS det, d1 - f0 * 0.04::DOUBLE AS g1,
+                d2 + h / c * f0 * 0.04::DOUBLE - f1 / c AS g2,
+                d3 - h * h / c / c * f0 * 0.04::DOUBLE + 2 * h / c / c * f1 - f2 / c / c AS g3
+            FROM (SELECT *, t1 - h / c * t2 + h * h / c / c * t3 - 5 AS f0, t2 / c - 2 * h / c / c * t3 AS f1, t3 / c / c AS f2
+                FROM (SELECT {state}, h, c, share, sum(w * (structural - share)) + 2 - 4 * share AS g0,
+                    -sum(w * unsure) + (sum(w) + 4) * share * (1 - share) AS q00, {crossed}, {bent}, {pulled}
+                    FROM (SELECT *, structural * (1 - structural) AS unsure, (1 - structural) * spread AS bend,
+                            CASE WHEN k = 0 THEN -(1 - structural) * mean ELSE k - mean END AS pull
+                        FROM (SELECT *, CASE WHEN k = 0 THEN 1 / (1 + exp(ln(1 - share) - ln(share) - {trials} * (greatest(eta, 0) + ln(1 + exp(-abs(eta)))))) ELSE 0 END AS structural,
+                                {trials} / (1 + exp(-eta)) AS mean, {trials} / (1 + exp(-eta)) / (1 + exp(eta)) AS spread
+                            FROM (SELECT *, t1 + t2 * u + t3 * u * u AS eta, 1 / (1 + exp(-t0)) AS share FROM {source}, zi_cells)))
+                    GROUP BY {state}, h, c, share)))"""
+
+    moves = ", ".join(f"t{i} + " + " + ".join(f"{inv(i, j)} * g{j}" for j in every) for i in every)
+    spread_a = f"v11 + h * h / c / c * v22 + h * h * h * h / c / c / c / c * v33 - 2 * h / c * v12 + 2 * h * h / c / c * v13 - 2 * h * h * h / c / c / c * v23"
+    return f"""zi_rows AS (
+        SELECT t_2m::DOUBLE AS x, gust_time::DOUBLE AS k, count(*)::DOUBLE AS w FROM stable
+        WHERE t_2m IS NOT NULL AND gust_time BETWEEN 0 AND {trials} GROUP BY ALL),
+    zi_shape AS (
+        SELECT sum(w) AS n, sum(w * k) AS hits, sum(w * x) / sum(w) AS shift0, avg(x) AS h, stddev_pop(x) AS c FROM zi_rows),
+    zi_cells AS (SELECT k, w, h, c, (x - h) / c AS u FROM zi_rows, zi_shape),
+    zi_steps AS (
+        SELECT 0 AS step, ln(0.1::DOUBLE / 0.9::DOUBLE) AS t0, ln(hits / (n * {trials} - hits)) AS t1, 0::DOUBLE AS t2, 0::DOUBLE AS t3 FROM zi_shape
+        UNION ALL
+        SELECT step + 1, {moves} FROM ({sums('(SELECT * FROM zi_steps WHERE step < 25) s')})),
+    zi_last AS ({sums('(SELECT * FROM zi_steps WHERE step = 25) s')}),
+    zi AS (
+        SELECT share AS p_zero, t1 - h / c * t2 + h * h / c / c * t3 AS a, t2 / c - 2 * h / c / c * t3 AS b1, t3 / c / c AS b2,
+            share * (1 - share) * sqrt(v00) AS p_zero_sd, sqrt({spread_a}) AS a_sd,
+            sqrt(v22 / c / c + 4 * h * h / c / c / c / c * v33 - 4 * h / c / c / c * v23) AS b1_sd, sqrt(v33) / c / c AS b2_sd
+        FROM zi_last)"""
+
+
 def _boxes(source: str, bin_column: str, y: str) -> str:
     return f"""quartiles AS (
         SELECT {bin_column}, count({y}) AS n, quantile_cont({y}, 0.25) AS q1, quantile_cont({y}, 0.5) AS median,
@@ -458,6 +679,92 @@ def _kde(source: str, by: str | None, limits: tuple[float, float] | None) -> str
         JOIN kde_smooth u ON u.g = p.g AND u.i = CAST(floor(place) AS BIGINT) + 1)"""
 
 
+def _inverse(name: str, source: str, keys: str, matrix: str, size: int) -> str:
+    """`name`: ``keys`` and ``inv``, the inverse of each row's ``matrix``, by Gauss-Jordan elimination. Needs RECURSIVE."""
+    unit = "[CASE WHEN i = j THEN 1::DOUBLE ELSE 0::DOUBLE END FOR j IN range(1, {0})]".format(size + 1)
+    return f"""{name}_steps AS (
+        SELECT {keys}, 1 AS step, [list_concat(m[i], {unit}) FOR i IN range(1, {size + 1})] AS a FROM (SELECT {keys}, {matrix} AS m FROM {source})
+        UNION ALL
+        SELECT {keys}, step + 1, [[CASE WHEN i = step THEN a[step][j] / a[step][step] ELSE a[i][j] - a[i][step] * a[step][j] / a[step][step] END
+            FOR j IN range(1, {2 * size + 1})] FOR i IN range(1, {size + 1})]
+        FROM {name}_steps WHERE step <= {size}),
+    {name} AS (SELECT {keys}, [a[i][{size + 1}:{2 * size}] FOR i IN range(1, {size + 1})] AS inv FROM {name}_steps WHERE step = {size + 1})"""
+
+
+def _product(a: str, b: str, rows: int, inner: int, columns: int, transposed: str = "") -> str:
+    """Of two matrices; ``transposed`` names those that enter the other way round."""
+    left = f"{a}[l][i]" if "a" in transposed else f"{a}[i][l]"
+    right = f"{b}[j][l]" if "b" in transposed else f"{b}[l][j]"
+    return f"[[list_sum([{left} * {right} FOR l IN range(1, {inner + 1})]) FOR j IN range(1, {columns + 1})] FOR i IN range(1, {rows + 1})]"
+
+
+def _smooth(source: str) -> str:
+    """`smooth`: penalised natural cubic splines with ten knots through the points (g, x, y) of ``source``. Needs RECURSIVE."""
+    k, inner = 10, 8
+    total = lambda e, n: f"list_sum([{e} FOR i IN range(1, {n + 1})])"
+    here = " + ".join(f"CASE WHEN x > k[{i}] THEN 1 ELSE 0 END" for i in range(2, k))
+    basis = f"""[CASE WHEN j = i THEN r / h WHEN j = i + 1 THEN l / h ELSE 0 END + (r * r * r / h - h * r) / 6 * bend[i][j]
+        + (l * l * l / h - h * l) / 6 * bend[i + 1][j] FOR j IN range(1, {k + 1})]"""
+    placed = lambda rows: f"""SELECT * EXCLUDE (h, l, r, i, bend), {basis} AS b FROM (
+        SELECT *, k[i + 1] - k[i] AS h, x - k[i] AS l, k[i + 1] - x AS r FROM (SELECT *, 1 + {here} AS i FROM {rows} JOIN sm_bend USING (g)))"""
+    gram = "[" + ", ".join("[" + ", ".join(f"sum(b[{min(i, j)}] * b[{max(i, j)}])" for j in range(1, k + 1)) + "]" for i in range(1, k + 1)) + "]"
+    cross = "[" + ", ".join(f"sum(b[{i}] * y)" for i in range(1, k + 1)) + "]"
+
+    def scored(level: int, penalties: str) -> str:
+        """`sm_best{level}`: the penalty of the least score among ``penalties`` (g, p)."""
+        system = f"[[band[i][j] / (pow(10::DOUBLE, p) * weight) + middle[i][j] FOR j IN range(1, {inner + 1})] FOR i IN range(1, {inner + 1})]"
+        return f"""sm_try{level} AS ({penalties}),
+    {_inverse(f'sm_bent{level}', f'(SELECT * FROM sm_try{level} JOIN sm_system USING (g))', 'g, p', system, inner)},
+    sm_fit{level} AS (
+        SELECT *, yy - 2 * {total('beta[i] * c[i]', k)} + {total('beta[i] * gb[i]', k)} AS rss FROM (
+            SELECT *, [list_sum([gram[i][j] * beta[j] FOR j IN range(1, {k + 1})]) FOR i IN range(1, {k + 1})] AS gb FROM (
+                SELECT *, [start[i] - list_sum([across[j][i] * d[j] FOR j IN range(1, {inner + 1})]) FOR i IN range(1, {k + 1})] AS beta,
+                    {k} - {total(f'list_sum([inv[i][j] * middle[j][i] FOR j IN range(1, {inner + 1})])', inner)} AS edf
+                FROM (SELECT *, [list_sum([inv[i][j] * wanted[j] FOR j IN range(1, {inner + 1})]) FOR i IN range(1, {inner + 1})] AS d
+                    FROM sm_bent{level} JOIN sm_system USING (g))))),
+    sm_best{level} AS (SELECT g, arg_min(p, n * greatest(rss, 0) / pow(n - edf, 2)) AS best FROM sm_fit{level} GROUP BY g)"""
+
+    finer = lambda level, reach: f"SELECT g, best - {reach}::DOUBLE + i * {reach}::DOUBLE / 20 AS p FROM sm_best{level}, range(41) r(i)"
+    return f"""sm_points AS ({source}),
+    sm_knots AS (
+        SELECT g, quantile_cont(x, [{', '.join(f'{i / (k - 1)!r}' for i in range(k))}]) AS k FROM (SELECT DISTINCT g, x FROM sm_points) GROUP BY g),
+    sm_bands AS (
+        SELECT *, [[CASE WHEN j = i THEN 1 / h[i] WHEN j = i + 1 THEN -1 / h[i] - 1 / h[i + 1] WHEN j = i + 2 THEN 1 / h[i + 1] ELSE 0 END
+                FOR j IN range(1, {k + 1})] FOR i IN range(1, {inner + 1})] AS diffs,
+            [[CASE WHEN j = i THEN (h[i] + h[i + 1]) / 3 WHEN j = i + 1 THEN h[j] / 6 WHEN j = i - 1 THEN h[i] / 6 ELSE 0 END
+                FOR j IN range(1, {inner + 1})] FOR i IN range(1, {inner + 1})] AS band
+        FROM (SELECT *, [k[i + 1] - k[i] FOR i IN range(1, {k})] AS h FROM sm_knots)),
+    {_inverse('sm_band', 'sm_bands', 'g', 'band', inner)},
+    sm_bend AS (
+        SELECT g, k, diffs, band, list_concat([[0::DOUBLE FOR j IN range({k})]], list_concat(solved, [[0::DOUBLE FOR j IN range({k})]])) AS bend,
+            {total(f'list_sum([diffs[j][i] * solved[j][i] FOR j IN range(1, {inner + 1})])', k)} AS bending
+        FROM (SELECT *, {_product('inv', 'diffs', inner, inner, k)} AS solved FROM sm_bands JOIN sm_band USING (g))),
+    sm_sums AS (
+        SELECT g, count(*) AS n, sum(y * y) AS yy, {gram} AS gram, {cross} AS c FROM ({placed('sm_points')}) GROUP BY g),
+    {_inverse('sm_free', 'sm_sums', 'g', 'gram', k)},
+    sm_system AS (
+        SELECT *, {_product('across', 'diffs', inner, k, inner, 'b')} AS middle,
+            [list_sum([across[i][j] * c[j] FOR j IN range(1, {k + 1})]) FOR i IN range(1, {inner + 1})] AS wanted
+        FROM (SELECT g, n, yy, gram, c, band, diffs, {total('gram[i][i]', k)} / bending AS weight, inv AS free,
+                [list_sum([inv[i][j] * c[j] FOR j IN range(1, {k + 1})]) FOR i IN range(1, {k + 1})] AS start,
+                {_product('diffs', 'inv', inner, k, k)} AS across
+            FROM sm_sums JOIN sm_free USING (g) JOIN sm_bend USING (g))),
+    {scored(1, 'SELECT g, -8 + i * 0.25::DOUBLE AS p FROM sm_sums, range(81) r(i)')},
+    {scored(2, finer(1, 0.25))},
+    {scored(3, finer(2, 0.0125))},
+    sm_last AS (
+        SELECT f.g, f.beta, f.edf, f.rss / (f.n - f.edf) AS scale,
+            [[f.free[i][j] - list_sum([list_sum([f.across[a][i] * f.inv[a][b] FOR a IN range(1, {inner + 1})]) * f.across[b][j] FOR b IN range(1, {inner + 1})])
+                FOR j IN range(1, {k + 1})] FOR i IN range(1, {k + 1})] AS spread
+        FROM sm_fit3 f JOIN sm_best3 o ON f.g = o.g AND f.p = o.best),
+    sm_grid AS (SELECT g, i AS point, k[1] + i * (k[{k}] - k[1]) / 79 AS x FROM sm_knots, range(80) r(i)),
+    smooth AS (
+        SELECT g, CAST(point AS INTEGER) AS point, x, fit, se, fit - 2 * se AS lower, fit + 2 * se AS upper, edf FROM (
+            SELECT *, {total('b[i] * beta[i]', k)} AS fit,
+                sqrt(greatest(scale * {total(f'b[i] * list_sum([spread[i][j] * b[j] FOR j IN range(1, {k + 1})])', k)}, 0)) AS se
+            FROM ({placed('sm_grid')}) JOIN sm_last USING (g)))"""
+
+
 def _published() -> str:
     rows = [
         f"('{metric}', {month + 1}, {PUBLISHED_TRENDS[f'{name}_slope'][month]}::DOUBLE, "
@@ -791,6 +1098,46 @@ def oracle_queries() -> dict[str, str]:
             ),
             f"{_COMBINED}, {_map_model('sd_t', 'combined')}", recursive=True,
         ),
+        "posterior_marginals": _select(
+            "parameter mean~ sd~ lower~ upper~", "marginals",
+            f"{_COMBINED}, {_map_model('sd_t', 'combined', nodes=True)}, {_marginals('sd_t')}", recursive=True,
+        ),
+        "posterior_mean_band_exact": _select(
+            "point t_2m~ mean~ lower~ upper~", "exact_band",
+            f"""{_COMBINED}, {_map_model('sd_t', 'combined', nodes=True)},
+            {_exact_band('sd_t', '''(SELECT CAST(i AS INTEGER) AS point, lo + i * ((hi - lo) / 29) AS t_2m
+                FROM (SELECT min(t_2m) AS lo, max(t_2m) AS hi FROM combined), range(30) r(i))''', 'point, t_2m')}""",
+            recursive=True,
+        ),
+        "posterior_map_bounded": _select(
+            "parameter mode~ mean~ sd~ lower~ upper~ bound", "bounded", f"{_COMBINED}, {_bounded()}", recursive=True,
+        ),
+        "smooth_curve": _select(
+            "point x~ fit~ se~ lower~ upper~ edf~", "smooth",
+            f"{_COMBINED}, {_smooth('SELECT 1 AS g, t_2m AS x, wind_sd AS y FROM combined')}", recursive=True,
+        ),
+        "smooth_by_variable": _select(
+            "var point x~ fit~ se~ lower~ upper~ edf~", "(SELECT g AS var, * EXCLUDE (g) FROM smooth)",
+            _COMBINED + ", long AS (" + " UNION ALL ".join(_LONG.format(c) for c in ("wind_max", "wind_min", "wind_sd", "gust_time")) + "), "
+            + _smooth("SELECT var AS g, wind_spd AS x, value AS y FROM long WHERE wind_spd BETWEEN 0 AND 19"), recursive=True,
+        ),
+        "smooth_figure": _select(
+            "point x~ fit~ se~ lower~ upper~ edf~", "smooth",
+            f"{_COMBINED}, {_smooth('SELECT 1 AS g, t_2m + t_2m * t_2m AS x, wind_sd AS y FROM combined WHERE t_2m + t_2m * t_2m BETWEEN 0 AND 1600')}",
+            recursive=True,
+        ),
+        "zero_inflated_parameters": _select(
+            "n p_zero~ a~ b1~ b2~ p_zero_sd~ a_sd~ b1_sd~ b2_sd~",
+            "(SELECT CAST((SELECT n FROM zi_shape) AS BIGINT) AS n, * FROM zi)", f"{_STABLE}, {_zero_inflated(4)}", recursive=True,
+        ),
+        "zero_inflated_fit": _select(
+            "t_2m~ p~ expected~",
+            """(SELECT t_2m, 1 / (1 + exp(-(a + b1 * t_2m + b2 * t_2m * t_2m))) AS p,
+                (1 - p_zero) * 4 / (1 + exp(-(a + b1 * t_2m + b2 * t_2m * t_2m))) AS expected
+            FROM zi, (SELECT lo + i * ((hi - lo) / 29) AS t_2m
+                FROM (SELECT min(t_2m) AS lo, max(t_2m) AS hi FROM stable), range(30) r(i)))""",
+            f"{_STABLE}, {_zero_inflated(4)}", recursive=True,
+        ),
         "predictive_band": _select(
             "site date wind_spd~ wind_sd~ mean~ lower~ upper~",
             _map_band("sd_w", "combined", "site, date, wind_spd, wind_sd", predictive=True),

@@ -22,6 +22,7 @@ from ..operators.quality import complete_cases, complete_groups, non_negative
 from ..operators.regression import cell_regression, linear_model, predict, simple_regression, sufficient_statistics
 from ..operators.reshape import zero_fill
 from ..operators.rollup import STATISTICS, hourly_summary
+from ..operators.smooth import spline_smooth
 from ..operators.summaries import event_counts, means_by
 from ..schema import HIGH_GUST_SD, MINUTE_KEYS, MINUTES_PER_HOUR, THAW_TEMPERATURE
 
@@ -180,6 +181,11 @@ def density_figure(df: DataFrame, x: str, y: str, **options) -> DataFrame:
     return density_2d(df, x, y, **options)
 
 
+def smooth_figure(df: DataFrame, x: Column, y: str, **options) -> DataFrame:
+    """Z7. A smooth curve of ``y`` with its band, on any single covariate made of the columns (such as t + t^2)."""
+    return spline_smooth(df.select(x.cast("double").alias("covariate"), F.col(y)), "covariate", y, **options)
+
+
 def box_figure(df: DataFrame, x: str, y: str, breaks: int = 20) -> DataFrame:
     """Z7. Boxes of ``y`` over equal-width bins of ``x``."""
     binned = equal_width_bins(df.select(x, y).where(F.col(x).isNotNull()), x, breaks)

@@ -65,6 +65,46 @@ def test_summary_interval(spark):
     assert row.upper - row["mean"] == pytest.approx(1.598193 * row.sd, rel=1e-6)
 
 
+def test_exact_marginals_against_a_dense_grid(spark):
+    """Few rows, so that the marginals are far from normal: sigma and one slope integrated over a plain grid."""
+    model = bayes.GaussianModel("wind_sd", ("t_difference",), (5.0, 5.0), ((0.0, 1.0),), 0.05)
+    df = frame(spark, 9)
+    sums = bayes.model_statistics(df, model)
+    found = {r.parameter: r for r in bayes.marginal_summary(sums, model).collect()}
+    pdf = df.toPandas()
+    x, y = pdf["t_difference"].to_numpy(), pdf["wind_sd"].to_numpy()
+    a = np.linspace(found["a"].mean - 9 * found["a"].sd, found["a"].mean + 9 * found["a"].sd, 161)[:, None, None]
+    b = np.linspace(found["b1"].mean - 9 * found["b1"].sd, found["b1"].mean + 9 * found["b1"].sd, 161)[None, :, None]
+    s = np.exp(np.linspace(np.log(found["sigma"].mean) - 2.2, np.log(found["sigma"].mean) + 4, 261))[None, None, :]
+    rss = sum((yi - a - b * xi) ** 2 for xi, yi in zip(x, y))
+    value = -len(y) * np.log(s) - rss / (2 * s * s) - 0.05 * s - ((a - 5) / 5) ** 2 / 2 - b * b / 2 + np.log(s)
+    weight = np.exp(value - value.max())
+    weight /= weight.sum()
+    for k, grid, axes in (("a", a, (1, 2)), ("b1", b, (0, 2)), ("sigma", s, (0, 1))):
+        own, at = weight.sum(axis=axes), grid.ravel()
+        mean = own @ at
+        assert found[k].mean == pytest.approx(mean, rel=2e-3, abs=2e-3) and found[k].sd == pytest.approx(np.sqrt(own @ (at - mean) ** 2), rel=2e-2)
+        ends = np.interp([0.055, 0.945], np.cumsum(own) - own / 2, at)
+        assert [found[k].lower, found[k].upper] == pytest.approx(ends.tolist(), abs=0.02 * found[k].sd)
+    assert found["sigma"].upper - found["sigma"].mean > 1.2 * (found["sigma"].mean - found["sigma"].lower)
+
+
+def test_exact_band(spark):
+    model = MODELS["sd_t"]
+    df = frame(spark, 12)
+    sums = bayes.model_statistics(df, model)
+    rows = spark.createDataFrame([(1, 0.0), (2, None), (3, 12.5)], "id int, t_2m double")
+    got = collect_by(bayes.mixture_band(rows, sums, model), "id")
+    normal = collect_by(bayes.normal_band(rows, bayes.posterior_mode(sums, model), model), "id")
+    found = {r.parameter: r for r in bayes.marginal_summary(sums, model, 0.90).collect()}
+    assert [got[1][c] for c in ("mean", "lower", "upper")] == pytest.approx([found["a"][c] for c in ("mean", "lower", "upper")])
+    assert got[2]["mean"] is None and got[2]["lower"] is None
+    assert got[3]["upper"] - got[3]["lower"] > normal[3]["upper"] - normal[3]["lower"]
+    wide = collect_by(bayes.mixture_band(rows, sums, model, predictive=True), "id")
+    assert wide[1]["lower"] < got[1]["lower"] and wide[1]["mean"] == pytest.approx(got[1]["mean"])
+    assert bayes.mixture_band(rows.limit(0), sums, model).count() == 0
+
+
 def below_floor(spark):
     return frame(spark, 200).withColumn("gust_time", F.sin(F.col("id") * 5.3) - 0.15 + F.col("wind_spd") * 0.01)
 

@@ -1,9 +1,10 @@
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 
-from skyledger.functions.normal import log_tail, tail_over_density, truncated_moments, truncated_quantile
+from skyledger.functions.normal import distribution, log_tail, mixture_quantile, tail_over_density, truncated_moments, truncated_quantile
 
 
 @pytest.mark.parametrize("x", [-6.0, -1.0, 0.0, 1.9, 2.0, 2.1, 5.0, 8.0])
@@ -35,3 +36,17 @@ def test_truncated(alpha):
         x = truncated_quantile(alpha, share)
         below = sum(y for z, y in zip(xs, w) if z <= x) / total
         assert below == pytest.approx(share, abs=2e-4)
+
+
+def test_distribution_over_arrays():
+    x = np.array([-30.0, -8.0, -5.0, -4.999, -1.0, 0.0, 1e-9, 2.5, 5.0, 7.0])
+    want = [0.5 * math.erfc(-v / math.sqrt(2)) for v in x]
+    assert distribution(x) == pytest.approx(want, rel=1e-12)
+
+
+def test_mixture_quantiles():
+    weights, means, sds = np.array([0.2, 0.5, 0.3]), np.array([[0.0, 1.0, 9.0], [5.0, 5.0, 5.0]]), np.array([[1.0, 0.1, 2.0], [1.0, 1.0, 1.0]])
+    for share in (0.01, 0.3, 0.71, 0.99):
+        x = mixture_quantile(weights, means, sds, share)
+        assert (distribution((x[:, None] - means) / sds) @ weights).tolist() == pytest.approx([share, share], abs=1e-12)
+        assert x[1] == pytest.approx(5 + NormalDist().inv_cdf(share))
