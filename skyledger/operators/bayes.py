@@ -373,16 +373,13 @@ def mode_summary(mode: DataFrame, level: float = 0.89) -> DataFrame:
     )
 
 
-def normal_band(
-    rows: DataFrame, mode: DataFrame, model: GaussianModel, *, predictive: bool = False, level: float = 0.90
-) -> DataFrame:
-    """L8/L9 with E16. Mean and central interval of the model at every row, by the normal approximation.
+def predictive_moments(rows: DataFrame, mode: DataFrame, model: GaussianModel, *, predictive: bool = True) -> DataFrame:
+    """L9. ``mean`` and ``sd`` of the response at every row, by the normal approximation; of its mean if not ``predictive``.
 
     The mean's variance is that of the terms under the covariance of the
     coefficients; ``predictive`` adds the response's own. The parameters arrive
     as a one-row subquery, so the rows are not moved. Rows lacking a term get NULL.
     """
-    z = NormalDist().inv_cdf((1 + level) / 2)
     entries = F.sort_array(F.collect_list(F.struct("position", "mean", "covariance")))
     fitted = rows.withColumn("_m", mode.agg(entries).scalar())
     terms = [F.lit(1.0), *plain_terms(*model.terms).values()]
@@ -391,5 +388,14 @@ def normal_band(
     variance = sum((F.col("_m")[i]["covariance"][j] * terms[i] * terms[j] for i in size for j in size), F.lit(0.0))
     if predictive:
         variance = variance + F.col("_m")[len(terms)]["mean"] * F.col("_m")[len(terms)]["mean"]
-    reach = z * F.sqrt(F.greatest(variance, F.lit(0.0)))
-    return fitted.select(*rows.columns, mean.alias("mean"), (mean - reach).alias("lower"), (mean + reach).alias("upper"))
+    return fitted.select(*rows.columns, mean.alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sd"))
+
+
+def normal_band(
+    rows: DataFrame, mode: DataFrame, model: GaussianModel, *, predictive: bool = False, level: float = 0.90
+) -> DataFrame:
+    """L8/L9 with E16. Mean and central interval of the model at every row, from ``predictive_moments``."""
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    moments = predictive_moments(rows, mode, model, predictive=predictive)
+    reach = z * F.col("sd")
+    return moments.select(*rows.columns, "mean", (F.col("mean") - reach).alias("lower"), (F.col("mean") + reach).alias("upper"))

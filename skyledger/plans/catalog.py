@@ -19,6 +19,7 @@ from ..operators.density import boxplot_outliers, boxplot_stats, density_2d, equ
 from ..operators.joins import attach_summary, left_join_suffixed, outside_intervals
 from ..operators.orthogonal import qr_factor, qr_model
 from ..operators.positions import exclude_ranges, with_row_numbers
+from ..operators.predictive import predictive_boxes, predictive_density
 from ..operators.quality import (
     above,
     complete_cases,
@@ -764,6 +765,25 @@ def posterior_map_richardson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bayes.mode_summary(bayes.posterior_mode(sums, model)))
 
 
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hours = _stable(spark, sf_dir)
+    model = bayes.MODELS["sd_w"]
+    mode = bayes.posterior_mode(bayes.model_statistics(hours, model), model)
+    return bayes.predictive_moments(hours.select("wind_spd"), mode, model)
+
+
+@_query("predictive_density")
+def predicted_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The density of predicted wind_sd over wind speed, without draws."""
+    return rounded(predictive_density(_predicted(spark, sf_dir), "wind_spd", "mean", "sd", (20, 25), (0.0, 20.0), (-2.0, 8.0)))
+
+
+@_query("predictive_boxes")
+def predicted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the predictions."""
+    return rounded(predictive_boxes(_predicted(spark, sf_dir), "wind_spd", "mean", "sd", 10, (0.0, 20.0), (-4.0, 12.0), 128))
+
+
 #: Temperatures lie below zero on average, so the floor of the formula models binds.
 FLOOR_MODEL = bayes.GaussianModel("t_2m", ("wind_spd", "wind_spd^2"), (5.0, 5.0), ((0.0, 1.0), None), 0.05, True, 0.0)
 

@@ -597,6 +597,41 @@ def _zero_inflated(trials: int) -> str:
         FROM zi_last)"""
 
 
+def _expected(bins: int, edges: int, lo: float, hi: float) -> str:
+    """`below`: responses expected up to each of even edges among the predictions of each bin of wind_spd on [0, 20]."""
+    z = _normal_share("least(greatest((y - mean) / sd, -8), 8)")
+    return f"""moments AS (
+        SELECT wind_spd, mean, (upper - mean) / 1.6448536269514722::DOUBLE AS sd
+        FROM {_map_band('sd_w', '(SELECT * FROM combined WHERE wind_spd BETWEEN 0 AND 20)', 'wind_spd', predictive=True)}),
+    below AS (
+        SELECT x_bin, edge, sum({z}) AS below, count(*) AS n FROM (
+            SELECT {_index('wind_spd', '0::DOUBLE', '20::DOUBLE', bins)} AS x_bin, mean, sd FROM moments),
+            (SELECT i AS edge, {lo!r}::DOUBLE + i * {(hi - lo) / edges!r}::DOUBLE AS y FROM range({edges + 1}) r(i))
+        GROUP BY x_bin, edge)"""
+
+
+def _expected_boxes(edges: int, lo: float, hi: float) -> str:
+    step = (hi - lo) / edges
+
+    def quantile(q: float) -> str:
+        return f"max({lo!r}::DOUBLE + (edge + ({q} - share) / (next - share)) * {step!r}::DOUBLE) FILTER (WHERE share <= {q} AND next > {q})"
+
+    def reached(y: str) -> str:
+        place = f"(({y} - {lo!r}::DOUBLE) / {step!r}::DOUBLE)"
+        own = f"least(greatest(floor({place}), 0), {edges - 1})"
+        return f"max(share + least(greatest({place} - edge, 0), 1) * (next - share)) FILTER (WHERE edge = {own})"
+
+    return f"""shares AS (
+        SELECT x_bin, n, edge, below / n AS share, lead(below / n) OVER (PARTITION BY x_bin ORDER BY edge) AS next FROM below),
+    predicted_quartiles AS (
+        SELECT x_bin, n, {quantile(0.25)} AS q1, {quantile(0.5)} AS median, {quantile(0.75)} AS q3 FROM shares GROUP BY x_bin, n),
+    predicted_fences AS (SELECT *, q1 - 1.5::DOUBLE * (q3 - q1) AS fence_lo, q3 + 1.5::DOUBLE * (q3 - q1) AS fence_hi FROM predicted_quartiles),
+    predicted_boxes AS (
+        SELECT x_bin, f.n, q1, median, q3, fence_lo, fence_hi, f.n * ({reached('fence_lo')} + 1 - {reached('fence_hi')}) AS outside
+        FROM predicted_fences f JOIN shares s USING (x_bin) WHERE next IS NOT NULL
+        GROUP BY x_bin, f.n, q1, median, q3, fence_lo, fence_hi)"""
+
+
 def _boxes(source: str, bin_column: str, y: str) -> str:
     return f"""quartiles AS (
         SELECT {bin_column}, count({y}) AS n, quantile_cont({y}, 0.25) AS q1, quantile_cont({y}, 0.5) AS median,
@@ -1098,6 +1133,18 @@ def oracle_queries() -> dict[str, str]:
             ),
             f"{_COMBINED}, {_map_model('sd_t', 'combined')}", recursive=True,
         ),
+        "predictive_density": _select(
+            "x_bin y_bin x_lo~ y_lo~ expected~ density~ ndensity~ log_ndensity~",
+            """(SELECT x_bin, CAST(edge AS INTEGER) AS y_bin, (x_bin - 1)::DOUBLE AS x_lo, -2 + (edge - 1) * 0.4::DOUBLE AS y_lo, expected,
+                expected / sum(expected) OVER () AS density, expected / max(expected) OVER () AS ndensity,
+                ln(expected / max(expected) OVER ()) AS log_ndensity
+            FROM (SELECT *, below - lag(below) OVER (PARTITION BY x_bin ORDER BY edge) AS expected FROM below) WHERE edge > 0)""",
+            f"{_COMBINED}, {_map_model('sd_w', 'combined')}, {_expected(20, 25, -2.0, 8.0)}", recursive=True,
+        ),
+        "predictive_boxes": _select(
+            "x_bin n q1~ median~ q3~ fence_lo~ fence_hi~ outside~", "predicted_boxes",
+            f"{_COMBINED}, {_map_model('sd_w', 'combined')}, {_expected(10, 128, -4.0, 12.0)}, {_expected_boxes(128, -4.0, 12.0)}", recursive=True,
+        ),
         "posterior_marginals": _select(
             "parameter mean~ sd~ lower~ upper~", "marginals",
             f"{_COMBINED}, {_map_model('sd_t', 'combined', nodes=True)}, {_marginals('sd_t')}", recursive=True,
