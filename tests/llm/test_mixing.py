@@ -48,6 +48,22 @@ def test_targets_and_taken_words(make, words, chunk):
     for s, t in targets.items():
         assert abs(taken[s] - t) <= largest
     assert sum(targets.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    if chunk == 4096:
+        for s, t in targets.items():
+            own = sorted(r["size"] for r in out if r.source == s)
+            assert abs(taken[s] - t) <= max(0.01 * t, own[len(own) // 2])
+
+
+def test_a_long_text_settled_last_is_made_up_by_short_ones():
+    size = np.array([5000.0, 90, 40, 20, 10, 5, 3])
+    for last, settled in ((1.0, [1, 1, 0, 1, 0, 1]), (0.0, [0, 1, 0, 0, 1, 0])):
+        fraction = np.array([last, *settled], float)
+        for gap in (-170.0, -60.0, -1.0, 0.0, 2.0, 77.0, 100.0):
+            now = fraction.copy()
+            left = mixing.even_out(size, now, gap)
+            assert abs(left) <= abs(gap) and set(now) <= {0.0, 1.0}
+            assert gap - left == pytest.approx(float(size @ (now - fraction)))
+
 
 
 def test_reruns_and_partitions_agree(make, words):
