@@ -1,5 +1,8 @@
 """Cross-entropy difference: how much better a target model predicts a text than a background model.
 
+A text is never scored by counts of its own: what it added to a model is taken off first, so a text in the target scores
+like an equally good one outside.
+
 Both are bigram models of one make over one vocabulary. Words, contexts and
 pairs of words are counted exactly, all of them: texts are read into chunks,
 each chunk sends its distinct keys to ranges of keys, where they are added up
@@ -24,6 +27,8 @@ from skyledger.session import stored
 PRIOR = 20.0
 #: Bytes of text a chunk, and tokens of the corpus for each range of keys.
 _CHUNK, _RANGE = 16 << 20, 1 << 20
+#: Tokens, about, whose own counts are taken at a time; a text is never split.
+_TOKENS = 1 << 18
 _UNKNOWN, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _KINDS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
@@ -73,11 +78,24 @@ def _chunk(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _risen(_unpacked(row["words"])), _unpacked(row["number"]), _unpacked(row["splits"])
 
 
-def _losses(pair: np.ndarray, word: np.ndarray, context: np.ndarray, total: int, v: int) -> np.ndarray:
+def _losses(pair: np.ndarray, word: np.ndarray, context: np.ndarray, total: np.ndarray, v: int) -> np.ndarray:
     """Nats a token: pair counts with ``PRIOR`` words of the word model mixed in, which has one more of each word."""
     return -np.log((pair + PRIOR * ((word + 1) / (total + v + 2))) / (context + PRIOR))
 
 
+def _own_counts(place: np.ndarray, splits: np.ndarray) -> np.ndarray:
+    """For each token, how often its text holds the key at its ``place``."""
+    out, lo = np.zeros(len(place), np.int64), 0
+    while lo < len(splits) - 1:
+        hi = max(lo + 1, int(np.searchsorted(splits, splits[lo] + _TOKENS, "right")) - 1)
+        own = place[splits[lo] : splits[hi]]
+        text = np.repeat(np.arange(hi - lo), np.diff(splits[lo : hi + 1]))
+        _, inverse, count = np.unique(text * (own.max(initial=0) + 1) + own, return_inverse=True, return_counts=True)
+        out[splits[lo] : splits[hi]] = count[inverse]
+        lo = hi
+    return out
+
+
 def _vocabulary(docs: DataFrame, most: int) -> np.ndarray:
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -110,13 +128,24 @@ def _chunks(docs: DataFrame, known) -> DataFrame:
     )
 
 
-def _totals(chunks: DataFrame, ids: DataFrame, cells: int | None) -> DataFrame:
+def _with_target(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """``chunks`` with ``target``: the places of the texts whose id is among ``ids``; null for none."""
+    places = chunks.select("chunk", F.posexplode("doc_id").alias("place", "doc_id"))
+    hits = places.join(ids, "doc_id", "left_semi").groupBy("chunk").agg(F.collect_list("place").alias("target"))
+    return chunks.join(hits, "chunk", "left")
+
+
+def _wanted(row: dict, texts: int) -> np.ndarray:
+    out = np.zeros(texts, bool)
+    out[row["target"] or []] = True
+    return out
+
+
+def _totals(chunks: DataFrame, cells: int | None) -> DataFrame:
     """For every chunk and range of keys the counts of its keys, in ascending order, in all documents (n) and in the
     target (t): chunk, part, n, t. Rows without a chunk have the words of a part: v, all, own."""
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
     bits = max(0, int(tokens // _RANGE).bit_length())
-    places = chunks.select("chunk", F.posexplode("doc_id").alias("place", "doc_id"))
-    hits = places.join(ids, "doc_id", "left_semi").groupBy("chunk").agg(F.collect_list("place").alias("target"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,9 +153,7 @@ def _totals(chunks: DataFrame, ids: DataFrame, cells: int | None) -> DataFrame:
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 words, number, splits = _chunk(row)
                 keys, places = _keys(words, number, splits, cells)
-                wanted = np.zeros(len(splits) - 1, bool)
-                wanted[row["target"] or []] = True
-                wanted = np.repeat(wanted, np.diff(splits))
+                wanted = np.repeat(_wanted(row, len(splits) - 1), np.diff(splits))
                 n, t = (sum(np.bincount(p[which], minlength=len(keys)) for p in places) for which in (slice(None), wanted))
                 part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
                 edge = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(keys))
@@ -146,8 +173,7 @@ def _totals(chunks: DataFrame, ids: DataFrame, cells: int | None) -> DataFrame:
         columns = [pa.array([*table.column("chunk").to_pylist(), None], pa.int64()), pa.array([*part, part[0]], pa.int64()), *packed, *sums]
         return pa.table(columns, ["chunk", "part", "n", "t", "v", "all", "own"])
 
-    flagged = chunks.select("chunk", "words", "number", "splits").join(hits, "chunk", "left")
-    sent = flagged.mapInArrow(counts, "chunk long, part long, keys binary, n binary, t binary")
+    sent = chunks.select("chunk", "words", "number", "splits", "target").mapInArrow(counts, "chunk long, part long, keys binary, n binary, t binary")
     return stored(sent.groupBy("part").applyInArrow(add, "chunk long, part long, n binary, t binary, v long, all long, own long"), "totals")
 
 
@@ -155,7 +181,8 @@ def score_against_target(docs: DataFrame, target_ids: DataFrame, vocabulary: int
     """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, difference.
 
     ``target_ids`` (doc_id) names the documents the target model counts; the
-    background model counts all. Losses are nats a token (words, A-Z lower-cased),
+    background model counts all; from both, a text's own counts are taken off
+    before it is scored (copies of it in other rows stay). Losses are nats a token (words, A-Z lower-cased),
     ``difference`` is target less background: the lower, the more like the target.
     Null and empty texts have no tokens and losses of 0. Repeated ids in
     ``target_ids`` count once, null ids never; an empty target gives the uniform
@@ -167,14 +194,14 @@ def score_against_target(docs: DataFrame, target_ids: DataFrame, vocabulary: int
     then reach the driver, or of pairs hashed into ``cells`` (a power of two).
     """
     known = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast(_vocabulary(docs, vocabulary))
-    chunks = _chunks(docs, known)
-    totals = _totals(chunks, target_ids.select("doc_id").dropna().distinct(), cells)
+    chunks = _with_target(_chunks(docs, known), target_ids.select("doc_id").dropna().distinct())
+    totals = _totals(chunks, cells)
     sums = totals.where("chunk is null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "all", "own"))).first()
     v = sums["v"] if known is None else len(known.value)
     sizes = [sums["own"], sums["all"]]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = {c: left.column(c)[0].as_py() for c in ("words", "number", "splits")}
+        row = {c: left.column(c)[0].as_py() for c in ("words", "number", "splits", "target")}
         words, number, splits = _chunk(row)
         ids = left.column("doc_id").combine_chunks().flatten()
         count, full = np.diff(splits), np.flatnonzero(np.diff(splits))
@@ -182,13 +209,16 @@ def score_against_target(docs: DataFrame, target_ids: DataFrame, vocabulary: int
         if len(full):
             _, places = _keys(words, number, splits, cells)
             right = right.sort_by("part")
+            own = [_own_counts(p, splits) for p in places]
+            within = np.repeat(count, count)
             for k, (column, total) in enumerate(zip("tn", sizes)):
                 counted = np.concatenate([_unpacked(x.as_py()) for x in right.column(column)])
-                losses = _losses(*(counted[p] for p in places), total, v)
+                mine = np.repeat(_wanted(row, len(ids)), count) if column == "t" else True
+                losses = _losses(*(counted[p] - o * mine for p, o in zip(places, own)), total - within * mine, v)
                 means[k, full] = np.add.reduceat(losses, splits[:-1][full]) / count[full]
         columns = [ids, pa.array(count.astype(np.int64)), *map(pa.array, means), pa.array(means[0] - means[1])]
         return pa.table(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
 
-    own = chunks.select("chunk", "doc_id", "words", "number", "splits").groupBy("chunk")
+    own = chunks.select("chunk", "doc_id", "words", "number", "splits", "target").groupBy("chunk")
     counted = totals.where("chunk is not null").select("chunk", "part", "n", "t").groupBy("chunk")
     return own.cogroup(counted).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
