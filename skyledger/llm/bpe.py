@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import most_frequent
+from skyledger.llm.text import released
 from skyledger.session import stored
 
 #: The published split pattern of the byte-level vocabulary, with Unicode classes; fixed value.
@@ -78,7 +79,7 @@ def common_words(words: DataFrame, most: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        for batch in batches:
+        for batch in released(batches):
             for lo in range(0, batch.num_rows, ROWS):
                 found = pc.value_counts(batch.column("words").slice(lo, ROWS).flatten())
                 for word, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
@@ -136,6 +137,18 @@ class _Lists:
         self.end = np.cumsum(size)
         self.begin = self.end - size
 
+    @classmethod
+    def of(cls, column: pa.BinaryArray, kind: str) -> _Lists:
+        """The items of an Arrow column of byte strings."""
+        lists = cls([], kind)
+        if len(column):
+            at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+            raw = np.frombuffer(column.buffers()[2], np.uint8) if at[-1] else np.zeros(0, np.uint8)
+            lists.flat = np.frombuffer(raw[at[0] : at[-1]].tobytes(), kind)
+            at = (at - at[0]) // np.dtype(kind).itemsize
+            lists.begin, lists.end = at[:-1], at[1:]
+        return lists
+
     def gather(self, which: np.ndarray) -> np.ndarray:
         """The numbered items end to end."""
         begin = self.begin[which]
@@ -182,14 +195,16 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, common: int
         split_words(F.col("text"), _specials(model)).alias("words"),
     )
     table = common_words(keyed, common).mapInArrow(_encoded(model, "word string, n long"), "word string, n long, ids binary")
-    rows = sorted(table.toArrow().to_pylist(), key=lambda r: (-r["n"], r["word"]))  # at most ``common``
-    known = context.broadcast(([r["word"] for r in rows], [r["ids"] for r in rows]))
-    pieces = context.broadcast(piece_bytes(model))
+    rows = table.toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # at most ``common``
+    columns = [pa.concat_arrays([pa.array([], k), *rows.column(c).cast(k).chunks]) for c, k in (("word", pa.string()), ("ids", pa.binary()))]
+    # as arrays, not as lists of objects: every worker holds them
+    known = context.broadcast((columns[0], _Lists.of(columns[1], "<u4")))
+    pieces = context.broadcast(_Lists(piece_bytes(model), "u1"))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
         """Batches, their words end to end, the words' numbers (rare ones: ``len(known)``), and each text's part."""
-        words = pa.array(known.value[0], pa.string())
-        for batch in batches:
+        words = known.value[0]
+        for batch in released(batches):
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
                 flat = part.column("words").flatten()
@@ -212,8 +227,8 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, common: int
     wanted = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, byte_lists = _Lists(known.value[1], "<u4"), _Lists(pieces.value, "u1")
-        for batch in batches:
+        base, byte_lists = known.value[1], pieces.value
+        for batch in released(batches):
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 own, numbers, used = [], [], len(base.end)
