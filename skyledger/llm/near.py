@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.bloom import key_filter, passing
 from skyledger.llm.components import connected_components
-from skyledger.llm.text import minima, mix, permutations, read_words, shingles, signed, slices
+from skyledger.llm.text import minima, mix, permutations, read_words, released, shingles, signed, slices
 from skyledger.session import stored
 
 _SUM = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _LANES = 0x5555555555555555
+#: Bytes of text that are in arrays at a time.
+_SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -87,7 +89,7 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
         factors = permutations(bands * rows)
         places = permutations(rows, 41)[0]
         names = permutations(bands, 43)[1]
-        for part in slices(batches):
+        for part in slices(released(batches), most=_SLICE):
             sets = _sets(part.column("text"), rule.size)
             count = np.fromiter(map(len, sets), np.int64, len(sets))
             splits = np.concatenate([[0], np.cumsum(count)])
@@ -131,8 +133,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
         pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"_{side}")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices([batch], "_u", 1 << 20):
+        for batch in released(batches):
+            for part in slices([batch], "_u", _SLICE):
                 linked = []
                 for k, (a, b) in enumerate(zip(*(_sets(part.column(c), rule.size) for c in ("_u", "_v")))):
                     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -182,8 +184,8 @@ def _edits(families: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, last, centre = rule.percent, None, np.zeros(0, np.uint64)
-        for batch in batches:
-            for part in slices([batch], "_own", 1 << 20):
+        for batch in released(batches):
+            for part in slices([batch], "_own", _SLICE):
                 hubs, found, head = part.column("hub").to_pylist(), [], []
                 for k, own in enumerate(_sets(part.column("_own"), rule.size)):
                     if hubs[k] != last:
@@ -217,9 +219,11 @@ def _pairs_by_edits(edits: DataFrame, components: DataFrame, rule: Rule) -> Data
     """
     p = rule.percent
     placed = _with_component(edits, components, "node", "component").withColumn("linked", _to_hub(rule))
-    held = edits.groupBy("hub", "edit").agg(F.count(F.lit(1)).alias("held"))
+    apart = (F.min("component") < F.max("component")).alias("apart")
+    held = placed.groupBy("hub", "edit").agg(F.count(F.lit(1)).alias("held"), apart)
     rank = F.row_number().over(Window.partitionBy("hub", "node").orderBy("held", "edit"))
-    ranked = placed.join(held, ["hub", "edit"]).withColumn("rank", rank).where("held > 1")
+    # what only one component holds finds no pair, however many of its members hold it
+    ranked = placed.join(held, ["hub", "edit"]).withColumn("rank", rank).where("apart")
     alone = F.ceil((2 * F.col("cost") - (100 - p) * F.col("size")) / F.lit(100 + p))
     need = F.when(F.col("linked"), F.floor(F.col("cost") / F.lit(100 + p)) + 1).otherwise(alone)
     y = ranked.where(F.col("rank") <= F.col("n") - need + 1).select(

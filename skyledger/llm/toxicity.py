@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from skyledger.llm.text import find_words, hash_spans, minima, permutations, signed, slices, utf8
+from skyledger.llm.text import find_words, hash_spans, minima, permutations, released, signed, slices, utf8
 from skyledger.session import stored
 
 #: Bounds of the classifier: labelled examples of each class, features, and nearest examples that vote.
@@ -30,6 +30,7 @@ THRESHOLD = 0.7
 _BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)
 _PRECISION = 0.5
 _DOUBT = 0.02
+_NOBODY = np.zeros(0, np.int64)
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
@@ -78,13 +79,18 @@ class Index:
     value: np.ndarray
     greatest: np.ndarray  # feature x block
     prior: float
+    texts: np.ndarray  # hash of each example's text
+
+    def own(self, text: int) -> np.ndarray:
+        """Places of the examples with this very text."""
+        return np.flatnonzero(self.texts == text)
 
     def vector(self, which: np.ndarray, count: np.ndarray) -> np.ndarray:
         raw = (1 + np.log(count)) * self.idf[which]
         return raw / np.sqrt((raw * raw).sum())
 
-    def nearest(self, which: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the ``k`` nearest examples with a positive cosine, ties by place."""
+    def nearest(self, which: np.ndarray, weights: np.ndarray, k: int, leave: np.ndarray = _NOBODY) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the ``k`` nearest examples with a positive cosine but those to ``leave`` out, ties by place."""
         bound = weights @ self.greatest[which]
         order = np.argsort(-bound, kind="stable")
         place, near = np.zeros(0, np.int64), np.zeros(0)
@@ -96,7 +102,7 @@ class Index:
                 lo, hi = self.begin[f, b], self.begin[f, b + 1]
                 score[self.example[lo:hi] - b * BLOCK] += w * self.value[lo:hi]
             hit = np.flatnonzero(score > 0)
-            hit = hit[hit + b * BLOCK != leave]
+            hit = hit[~np.isin(hit + b * BLOCK, leave)]
             place, near = np.concatenate([place, hit + b * BLOCK]), np.concatenate([near, score[hit]])
             best = np.lexsort((place, -np.round(near, 9)))[:k]
             place, near = place[best], near[best]
@@ -159,9 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Index | Non
             lists = [signed(value), count, marks.ravel()]
             ends = [splits, splits, np.arange(part.num_rows + 1) * marks.shape[1]]
             made = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x, pa.int64())) for e, x in zip(ends, lists)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *made], ["doc_id", "toxic", "features", "counts", "marks"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), part.column("hash"), *made], ["doc_id", "toxic", "hash", "features", "counts", "marks"])
 
-    seen = stored(table.mapInArrow(read, "doc_id long, toxic int, features array<long>, counts array<long>, marks array<long>"), "examples")
+    table = table.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    seen = stored(table.mapInArrow(read, "doc_id long, toxic int, hash long, features array<long>, counts array<long>, marks array<long>"), "examples")
     rows = seen.select("doc_id", "toxic", "marks").toArrow()  # at most (1 + CLEAN) * most rows of 16 numbers
     if not rows.num_rows:
         return None
@@ -210,11 +217,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Index | Non
                 which, at = _place(np.array(x, np.int64), shared.value)
                 out.append((which.tolist(), np.array(c, np.int64)[at].tolist()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), *(pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (0, 1))], ["doc_id", "toxic", "which", "count"]
+                [*(batch.column(c) for c in ("doc_id", "toxic", "hash")), *(pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (0, 1))], ["doc_id", "toxic", "hash", "which", "count"]
             )
 
     # at most (1 + CLEAN) * most rows of at most FEATURES numbers
-    examples = seen.mapInArrow(vectors, "doc_id long, toxic int, which array<long>, count array<long>").toArrow().to_pylist()
+    examples = seen.mapInArrow(vectors, "doc_id long, toxic int, hash long, which array<long>, count array<long>").toArrow().to_pylist()
     return _index(known, idf, examples, each)
 
 
@@ -248,7 +255,7 @@ def _index(known: np.ndarray, idf: np.ndarray, examples: list[dict], each: dict[
         if x["which"]:
             which = np.array(x["which"])
             raw = (1 + np.log(np.array(x["count"]))) * idf[which]
-            some.append((int(which[raw.argmax()]), x["doc_id"], x["toxic"], which, raw / np.sqrt((raw * raw).sum())))
+            some.append((int(which[raw.argmax()]), x["doc_id"], x["toxic"], which, raw / np.sqrt((raw * raw).sum()), x["hash"]))
     some.sort(key=lambda x: x[:2])
     blocks = -(-len(some) // BLOCK)
     feature = np.concatenate([x[3] for x in some]) if some else np.zeros(0, np.int64)
@@ -271,6 +278,7 @@ def _index(known: np.ndarray, idf: np.ndarray, examples: list[dict], each: dict[
         value,
         greatest,
         prior,
+        np.array([x[5] for x in some], np.int64),
     )
 
 
@@ -284,15 +292,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, ne
     votes among the nearest examples, ``predicted`` 1 from 0.7 on, ``evidence``
     up to three neighbours (doc_id, cosine, toxic). Texts without any feature,
     null and empty ones among them, get the rate of toxic examples without one.
-    Without examples of both classes all scores are 0. Equal texts score alike;
-    repeated rows repeat; an empty table gives an empty result.
+    Without examples of both classes all scores are 0. Equal texts score alike,
+    and an example with the very text that is scored has no vote on it, so no
+    label enters its own row's score. Very long texts are read whole; repeated
+    rows repeat; an empty table gives an empty result.
     """
     index = fit(docs, labels, most)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for part in slices(batches, "_text"):
+        for part in slices(released(batches), "_text", 1 << 20):
+            texts = part.column("_hash").to_numpy()
             scores = np.zeros(part.num_rows)
             evidence: list[list[dict]] = [[] for _ in range(part.num_rows)]
             if index is not None:
@@ -301,13 +312,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, ne
                 edges = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 for k in np.flatnonzero(np.diff(edges)):
                     own = slice(edges[k], edges[k + 1])
-                    place, near = index.nearest(which[own], index.vector(which[own], count[own]), nearest)
+                    place, near = index.nearest(which[own], index.vector(which[own], count[own]), nearest, index.own(texts[k]))
                     scores[k] = index.vote(place, near)
                     evidence[k] = [{"doc_id": int(index.ids[p]), "cosine": float(c), "toxic": int(index.toxic[p])} for p, c in zip(place[:3], near[:3])]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(scores), pa.array(evidence, kind)], ["doc", "score", "evidence"])
 
-    asked = docs.select(F.struct("*" if text else "doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("_text"))
+    own = F.coalesce("text", F.lit(""))
+    asked = docs.select(F.struct("*" if text else "doc_id").alias("doc"), own.alias("_text"), F.xxhash64(own).alias("_hash"))
     more = StructType.fromDDL("score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
     made = asked.mapInArrow(score, StructType([asked.schema["doc"], *more.fields])).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
     if text:
@@ -316,5 +328,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, ne
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
-    """The rows of ``docs`` that ``score_documents`` doesn't predict as toxic, with their columns."""
+    """The rows of ``docs`` that ``score_documents`` doesn't predict as toxic, with their columns: nulls, empty and very
+    long texts, repeated rows and an empty table as stated there."""
     return score_documents(docs, labels, most, text=True).where("predicted = 0").select("doc.*")

@@ -72,6 +72,25 @@ def test_a_large_group_of_near_copies(make, words):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr) == brute(rows, 2)
 
 
+def test_two_large_families_make_few_pairs(spark, make, words):
+    """Members of one family meet only where two components hold the same edit, so pairs grow with the members."""
+    rng = random.Random(9)
+    base = words(120, 1).split()
+    other = edit(rng, base, 26)
+    made = []
+    for m in (60, 240):
+        rows = [(k, " ".join(edit(rng, base if k % 2 else other, 1))) for k in range(2 * m)]
+        rule = near.Rule(size=2)
+        out = near.near_duplicate_groups(make(rows), rule).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr) == brute(rows, 2)
+        nodes = list(range(2 * m))
+        texts = spark.createDataFrame([(k, t) for k, t in rows], "node long, text string")
+        families = spark.createDataFrame([(1, k) for k in nodes], "hub long, node long")
+        components = spark.createDataFrame([(k, k % 2) for k in nodes], "node long, component long")
+        made.append(near._pairs_by_edits(near._edits(families, texts, rule), components, rule).count())
+    assert made[1] <= 8 * max(made[0], 60)
+
+
 ODD = [(5, None), (3, ""), (4, " \n"), (9, "one"), (8, "ONE"), (7, "one two"), (6, "one  two"), (None, "one two"), (2, "one two three"), (2, "one two three"), (2, "other words"), (1, "é"), (11, "É"), (12, "w " * 200_000), (13, "w w w")]
 
 

@@ -91,6 +91,19 @@ def test_dropping_and_degenerate_labels(spark, scored):
     assert tx.score_documents(docs.where("false"), table).count() == 0
 
 
+def test_an_example_has_no_vote_on_its_own_text(scored):
+    docs, table, out, labels, rows = scored
+    texts = dict(rows)
+    for r in out:
+        assert all(texts[e.doc_id] != texts[r.doc_id] for e in r.evidence)
+    index = tx.fit(docs, table)
+    assert len(index.texts) == len(index.ids) and len(index.own(int(index.texts[0]))) >= 1
+    which = np.array([0])
+    every, _ = index.nearest(which, np.ones(1), 16)
+    rest, _ = index.nearest(which, np.ones(1), 16, every[:2])
+    assert not set(every[:2].tolist()) & set(rest.tolist())
+
+
 def test_copies_among_the_examples_count_once():
     marks = np.array([[1, 2, 3, 4], [1, 2, 3, 9], [5, 6, 7, 8], [1, 6, 0, 0]])
     assert tx._first_of_copies(np.array([10, 3, 7, 8]), marks) == {3, 7, 8}
