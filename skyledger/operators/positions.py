@@ -117,17 +117,19 @@ def exclude_ranges(
         F.max(F.when(F.col("_end") == "lo", F.col("_group"))).alias("_first"),
         F.max(F.when(F.col("_end") == "hi", F.col("_group"))).alias("_last"),
     )
-    dropped = ends.where(F.col("_first").isNotNull()).select(F.array_agg(F.struct("_first", "_last")).alias("_dropped"))
+    # in the order of the ranges, so of the keys
+    dropped = ends.where(F.col("_first").isNotNull()).select(
+        F.array_sort(F.array_agg(F.struct("_span", "_first", "_last"))).alias("_dropped")
+    )
     partial = found.select("_group", "_before").distinct()
 
     rows = df.withColumn("_group", _leading(df, order_by, lead))
-    between = F.exists(
-        "_dropped", lambda s: (F.col("_group") > s["_first"]) & (s["_last"].isNull() | (F.col("_group") < s["_last"]))
-    )
+    between = F.exists(F.array("_dropped"), lambda spanned: _strictly_inside(F.col("_group"), spanned, len(spans)))
+    # asked behind the join, which has made each row's group once: pushed below it, the search would make it at each step
     whole = (
-        rows.withColumn("_dropped", dropped.scalar())
-        .where(~F.coalesce(between, F.lit(False)))
-        .join(F.broadcast(partial), "_group", "left_anti")
+        rows.join(F.broadcast(partial.select("_group", F.lit(True).alias("_partial"))), "_group", "left")
+        .withColumn("_dropped", dropped.scalar())
+        .where(~F.coalesce("_partial", between))
     )
     near = _where_ends_are(df, found, order_by[: lead or -1]).withColumn("_group", _leading(df, order_by, lead))
     rank = F.row_number().over(Window.partitionBy("_group").orderBy(*_total_order(df, order_by)))
@@ -140,6 +142,20 @@ def exclude_ranges(
     return whole.select(*df.columns).unionAll(ranked.select(*df.columns))
 
 
+def _strictly_inside(group: Column, spanned: Column, most: int) -> Column:
+    """Whether ``group`` lies between the two ends of one of the (at most ``most``) disjoint ascending ranges.
+
+    Halving steps count the ranges that begin in an earlier group; only the last of them can hold this one.
+    """
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(most.bit_length()))))
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda begun, step: F.when(F.get(spanned, begun + step - 1)["_first"] < group, begun + step).otherwise(begun),
+        lambda begun: (begun > 0) & F.coalesce(group < F.get(spanned, begun - 1)["_last"], F.lit(True)),
+    )
+
+
 def _where_ends_are(df: DataFrame, found: DataFrame, leading: Sequence[str]) -> DataFrame:
     """``df`` behind filters on single key columns that every group in ``found`` passes."""
     for c in leading:

@@ -115,6 +115,15 @@ def test_rows_stay_where_they_are_read(spark, conf, plan, tmp_path):
     assert "In(year," in text.split("Window")[1] or "year" in text.split("PushedFilters")[2]
 
 
+def test_a_row_makes_its_group_once(spark, plan, tmp_path):
+    minutes(spark).write.parquet(str(tmp_path / "m"))
+    text = plan(exclude_ranges(spark.read.parquet(str(tmp_path / "m")), [(100, 2000), (2500, 2600), (3000, 3100)], KEYS))
+    whole = text.split("Union")[1].split("Window")[0]
+    above, below = whole.split("BroadcastHashJoin")
+    assert "exists(array(" in above and "exists(array(" not in below
+    assert whole.count("struct(site, site") == 1
+
+
 def test_positions_count_kept_readings(spark):
     df = distinct_keys(spark)
     kept = {r.id for r in clean_minutes(df, [(1, 3)], KEYS).collect()}
