@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Literal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,11 +12,12 @@ from ..schema import GUST_EXCESS, GUST_SPEED, HOUR_KEYS
 from .quality import null_negative
 
 STATISTICS = ["wind_mean", "gust_time", "wind_sd", "wind_max", "wind_min", "wind_med"]
+ADDABLE = ["gust_time", "wind_max", "wind_min"]    # follow from those of an hour's parts, to the last digit
 
 
 def propagate_missing(summary: DataFrame) -> DataFrame:
     """E3. NULL every statistic of a group that misses a reading."""
-    return summary.withColumns({c: F.when(F.col("na_ct") == 0, F.col(c)) for c in STATISTICS})
+    return summary.withColumns({c: F.when(F.col("na_ct") == 0, F.col(c)) for c in STATISTICS if c in summary.columns})
 
 
 def counted_readings(minutes: DataFrame) -> DataFrame:
@@ -31,6 +33,7 @@ def hourly_summary(
     na: Literal["propagate", "skip"] = "propagate",
     gust_speed: float = GUST_SPEED,
     excess: float = GUST_EXCESS,
+    statistics: Sequence[str] = tuple(STATISTICS),
 ) -> DataFrame:
     """Z1 without the completeness rule: one row of statistics per site and hour.
 
@@ -40,12 +43,40 @@ def hourly_summary(
     the order statistics: the median is the mean of the readings that hold its
     lower and upper middle place. The refined gusts (E2b) are readings above the
     hour's own mean, which the same counts give. No buffer holds an hour.
+
+    If only simple gusts, extremes and counts are wanted (``statistics``), each
+    task adds them up by hour, and no reading is shuffled.
     """
+    wanted = [c for c in STATISTICS if c in statistics]
+    if gust == "simple" and set(wanted) <= set(ADDABLE):
+        summary = _added_up(minutes, gust_speed)
+    else:
+        summary = _placed_readings(minutes, gust, gust_speed, excess)
+    summary = summary.select(*HOUR_KEYS, *wanted, "nrow", "na_ct")
+    if na == "propagate":
+        summary = propagate_missing(summary)
+    return summary.withColumn("date", hour_instant())
+
+
+def _added_up(minutes: DataFrame, gust_speed: float) -> DataFrame:
+    speed = F.col("wind_spd")
+    return null_negative(minutes.select(*HOUR_KEYS, "wind_spd")).groupBy(*HOUR_KEYS).agg(
+        F.count_if(speed >= gust_speed).alias("gust_time"),
+        F.max(speed).alias("wind_max"),
+        F.min(speed).alias("wind_min"),
+        F.count(F.lit(1)).alias("nrow"),
+        F.count_if(speed.isNull()).alias("na_ct"),
+    )
+
+
+def _placed_readings(minutes: DataFrame, gust: str, gust_speed: float, excess: float) -> DataFrame:
     hour = Window.partitionBy(*HOUR_KEYS)
     speed, times = F.col("speed"), F.col("times")
     known = F.when(speed.isNotNull(), times).otherwise(F.lit(0))
     up_to = F.sum(known).over(hour.orderBy("speed"))    # equal readings are one row
-    placed = counted_readings(minutes).withColumns(
+    # dealt by hour before anything else: with all sums over the hour unused, Spark would count each partition's hours once
+    # more before the shuffle, though equal readings are all that meet there
+    placed = counted_readings(minutes).repartition(*HOUR_KEYS).withColumns(
         {
             "_up_to": up_to,
             "_known": F.sum(known).over(hour),
@@ -64,7 +95,7 @@ def hourly_summary(
     # the least reading with at least half of all readings up to it, and with more than half
     lower = at_place(F.floor((F.col("_known") + 1) / 2))
     upper = at_place(F.floor(F.col("_known") / 2) + 1)
-    summary = placed.groupBy(*HOUR_KEYS).agg(
+    return placed.groupBy(*HOUR_KEYS).agg(
         F.max("_mean").alias("wind_mean"),
         F.coalesce(F.sum(F.when(gusty, times)), F.lit(0)).alias("gust_time"),
         F.sqrt(F.try_divide(F.sum(away * away * times), F.nullif(count - 1, F.lit(0)))).alias("wind_sd"),
@@ -74,6 +105,3 @@ def hourly_summary(
         F.sum("times").alias("nrow"),
         F.coalesce(F.sum(F.when(speed.isNull(), times)), F.lit(0)).alias("na_ct"),
     )
-    if na == "propagate":
-        summary = propagate_missing(summary)
-    return summary.withColumn("date", hour_instant())

@@ -127,6 +127,11 @@ def _combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine(views.hours(spark, sf_dir), _summary(spark, sf_dir))
 
 
+def _combined_gusts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``_combined``, of the statistics only ``gust_time``."""
+    return combine(views.hours(spark, sf_dir), _summary(spark, sf_dir, statistics=("gust_time",)))
+
+
 def _stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stability(_combined(spark, sf_dir))
 
@@ -289,7 +294,7 @@ def stored_join_suffixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stability_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Z3: B7-B15."""
     return rounded(
-        _stable(spark, sf_dir).select(
+        stability(_combined_gusts(spark, sf_dir)).select(
             "site", "date", "t_difference", "richardson_bulk", "avg_temp_K", "delta_p", "p_10m",
             "pot_temp_2m", "pot_temp_10m", "delta_theta", "richardson_potential",
         )

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 
 from helpers import collect_by, hour_of_minutes
 from skyledger.operators.rollup import STATISTICS, hourly_summary
+from skyledger.plans.catalog import registered
 from skyledger.plans.station import complete_hours
 
 
@@ -93,3 +94,26 @@ def test_crowded_hour(spark):
         row = hourly_summary(crowd.unionAll(rest), gust=gust).where("day = 1").first()
         assert (row.nrow, row.wind_med) == (30000, 6.5)
         assert row.gust_time == sum(i % 13 + 0.5 >= (10 if gust == "simple" else max(10, 1.5 * row.wind_mean)) for i in range(30000))
+
+
+def test_sums_of_an_hour_move_no_readings(spark, plan):
+    minutes = hour_of_minutes(spark, [1, 12, None, -5], 0).unionAll(hour_of_minutes(spark, [11, 3, 30], 1, site=None))
+    for na in ("propagate", "skip"):
+        few = hourly_summary(minutes, na=na, statistics=("wind_max", "gust_time"))
+        assert few.columns == ["site", "year", "month", "day", "hour", "gust_time", "wind_max", "nrow", "na_ct", "date"]
+        assert plan(few).count("Exchange") == 1 and "Window" not in plan(few)
+        every = hourly_summary(minutes, na=na).select(*few.columns)
+        assert few.dtypes == every.dtypes and sorted(few.collect(), key=str) == sorted(every.collect(), key=str)
+    assert hourly_summary(minutes, statistics=("wind_med",)).columns[5:] == ["wind_med", "nrow", "na_ct", "date"]
+
+
+def test_stability_counts_no_readings(spark, plan):
+    text = plan(registered()["stability"](spark, "/root/testdata/sf0.001"))
+    assert text.count("lineitem.parquet") == 1 and "speed#" not in text.split("lineitem.parquet")[0].split("Join")[1]
+
+
+def test_hours_are_not_summed_up_before_they_meet(spark, plan):
+    """With sums alone in use, a partial sum by hour would hold every reading's hour a second time."""
+    text = plan(hourly_summary(hour_of_minutes(spark, range(60))).select("site", "hour", "gust_time"))
+    counting = text.split("Exchange")[1]
+    assert counting.count("HashAggregate") == 1
