@@ -75,8 +75,10 @@ def _placed_readings(minutes: DataFrame, gust: str, gust_speed: float, excess: f
     known = F.when(speed.isNotNull(), times).otherwise(F.lit(0))
     up_to = F.sum(known).over(hour.orderBy("speed"))    # equal readings are one row
     # dealt by hour before anything else: with all sums over the hour unused, Spark would count each partition's hours once
-    # more before the shuffle, though equal readings are all that meet there
-    placed = counted_readings(minutes).repartition(*HOUR_KEYS).withColumns(
+    # more before the shuffle, though equal readings are all that meet there. The number keeps adaptive execution from
+    # merging partitions: a task sorts its readings and holds its hours, so merged ones need many times their shuffled size
+    tasks = int(minutes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = counted_readings(minutes).repartition(tasks, *HOUR_KEYS).withColumns(
         {
             "_up_to": up_to,
             "_known": F.sum(known).over(hour),

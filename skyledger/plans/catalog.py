@@ -247,7 +247,8 @@ def combined_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("combined_any_site")
 def combined_any_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours with temperature and speed at the instants of hours that are complete at any site."""
-    return rounded(combine(views.hours(spark, sf_dir), _summary(spark, sf_dir), ("t_2m", "wind_spd")))
+    summary = stored(_summary(spark, sf_dir), "summary")    # for the join and for the instants
+    return rounded(combine(views.hours(spark, sf_dir), summary, ("t_2m", "wind_spd")))
 
 
 @_query("left_join_suffixed")

@@ -117,3 +117,15 @@ def test_hours_are_not_summed_up_before_they_meet(spark, plan):
     text = plan(hourly_summary(hour_of_minutes(spark, range(60))).select("site", "hour", "gust_time"))
     counting = text.split("Exchange")[1]
     assert counting.count("HashAggregate") == 1
+
+
+def test_partitions_of_sorted_hours_are_not_merged(spark, conf, plan):
+    conf(shuffle__partitions="7")
+    summary = hourly_summary(hour_of_minutes(spark, range(60)))
+    assert summary.collect()[0].wind_max == 59.0
+    text = plan(summary)
+    assert "REPARTITION_BY_NUM" in text and text.split("Initial Plan")[0].count("coalesced") <= 1
+
+
+def test_instants_of_complete_hours_roll_up_once(spark, plan):
+    assert "lineitem.parquet" not in plan(registered()["combined_any_site"](spark, "/root/testdata/sf0.001"))
